@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from memlake.llm.sharding import op3_sharding
 from memlake.llm.topk import op7_topk
+from memlake.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op7_topk": op7_topk,
 }
