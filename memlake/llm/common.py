@@ -37,9 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from there."""
+    """Writes df to the shared checkpoint folder and goes on from there, with columns of its own."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(c).alias(c) for c in done.columns])
 
 
 def join_counted(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -100,10 +101,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for turn in range(200):
         if not edges.take(1):
             break
-        prio = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c))
+        prio = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(prio("b")).alias("p"))
-        head = cut(least.select(F.col("a").alias("node"), F.least(F.col("p"), prio("a"))["col2"].alias("head")))
+        head = cut(least.select(F.col("a").alias("node"), F.least(F.col("p"), prio("a"))["n"].alias("head")))
         maps.append(head)
         left = edges.join(head.select(F.col("node").alias("a"), F.col("head").alias("ha")), "a")
         left = left.join(head.select(F.col("node").alias("b"), F.col("head").alias("hb")), "b").filter("ha <> hb")

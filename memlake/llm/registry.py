@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from memlake.llm.mixing import op5_mixing
 from memlake.llm.sharding import op3_sharding
 from memlake.llm.topk import op7_topk
 from memlake.llm.toxicity import op2_toxicity
+from memlake.llm.vector_dedup import op9_vector_dedup
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op5_mixing": op5_mixing,
     "op7_topk": op7_topk,
+    "op9_vector_dedup": op9_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
