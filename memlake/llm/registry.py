@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from memlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from memlake.llm.mixing import op5_mixing
 from memlake.llm.sharding import op3_sharding
+from memlake.llm.token_counts import op1_token_counts
 from memlake.llm.topk import op7_topk
 from memlake.llm.toxicity import op2_toxicity
 from memlake.llm.vector_dedup import op9_vector_dedup
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op7_topk": op7_topk,
     "op9_vector_dedup": op9_vector_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
