@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from memlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from memlake.llm.mixing import op5_mixing
+from memlake.llm.packing import op6_packing
 from memlake.llm.sharding import op3_sharding
 from memlake.llm.token_counts import op1_token_counts
 from memlake.llm.topk import op7_topk
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op7_topk": op7_topk,
     "op9_vector_dedup": op9_vector_dedup,
 }
