@@ -6,6 +6,7 @@ from memlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from memlake.llm.mixing import op5_mixing
 from memlake.llm.packing import op6_packing
 from memlake.llm.sharding import op3_sharding
+from memlake.llm.shingle_join import op10_shingle_join
 from memlake.llm.token_counts import op1_token_counts
 from memlake.llm.topk import op7_topk
 from memlake.llm.toxicity import op2_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_topk": op7_topk,
     "op9_vector_dedup": op9_vector_dedup,
+    "op10_shingle_join": op10_shingle_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
