@@ -22,17 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import table
+from memlake.llm.text import spread, word_codes
 
 WINDOW, TIERS, END = 4096, (512, 1024, 2048, 4096), 2
 VOCABULARY = "word_bpe_49k.json"
 GROUP_DOCS, STEP_WINDOWS = 1024, 16
 #: Words a worker remembers between batches; beyond, it starts anew.
 CACHE_WORDS = 600_000
+BATCH_DOCS = 2000
 TOKENS = "doc_id long, doc_tokens long, whole array<long>, rest binary, base long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, seq long, offset long, tier int, step long"
 
 _tokenizers: dict[str, object] = {}
-_words: dict[str, dict[bytes, bytes]] = {}
+_ends: dict[str, np.ndarray] = {}
+_words: dict[str, dict[str, bytes]] = {}
 
 
 def tokenizer(vocabulary: str):
@@ -45,25 +48,70 @@ def tokenizer(vocabulary: str):
     return _tokenizers[vocabulary]
 
 
-def split_words(text: str) -> list[bytes]:
-    """UTF-8 words, cut at ASCII white space only: the tokenizer drops it and never joins across it."""
-    return text.encode("utf-8").split()
-
-
-def encode(texts: list[str | None], vocabulary: str = VOCABULARY, end: int = END) -> list[bytes]:
-    """Each text's ids and the end id, as little-endian unsigned 32-bit numbers."""
+#: Marks that the tokenizer splits from a word of letters, as one piece each run (no apostrophe: it may contract).
+MARKS = ".,!?:;|%$*&#"
+
+
+def word_ends(vocabulary: str) -> np.ndarray:
+    """Whether each id ends a word."""
+    if vocabulary not in _ends:
+        names = tokenizer(vocabulary).get_vocab()
+        ends = np.zeros(max(names.values()) + 1, bool)
+        ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        _ends[vocabulary] = ends
+    return _ends[vocabulary]
+
+
+def encode_words(words: list[str], vocabulary: str) -> list[bytes]:
+    """Ids of each word (32 bits each). Words of letters are encoded many in one text and told apart by word ends."""
+    out: dict[str, bytes] = {}
+    letters = [w for w in words if w.isalpha()]
+    run = tokenizer(vocabulary).encode_batch_fast
+    for i in range(0, len(letters), 1000):
+        part = letters[i : i + 1000]
+        ids = np.array(run([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        stop = np.flatnonzero(word_ends(vocabulary)[ids]) + 1
+        if len(stop) == len(part):
+            data, stop = ids.astype("<u4").tobytes(), (stop * 4).tolist()
+            out.update((w, data[a:b]) for w, a, b in zip(part, [0, *stop], stop, strict=False))
+    rest = [w for w in words if w not in out]
+    for i in range(0, len(rest), 20_000):
+        part = rest[i : i + 20_000]
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, run(part, add_special_tokens=False), strict=True))
+    return [out[w] for w in words]
+
+
+def parts_of(word: str) -> tuple[str, str]:
+    """A word of letters in lower case and the marks after it; any other word as it is."""
+    core = word.rstrip(MARKS)
+    if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:  # letters whose lower case depends on the place
+        return core.lower(), word[len(core) :]
+    return word, ""
+
+
+def encode(texts: pa.Array, vocabulary: str = VOCABULARY, end: int = END) -> list[np.ndarray]:
+    """Each text's ids and the end id.
+
+    Texts are cut at ASCII white space, which the tokenizer drops and never joins
+    across; each distinct word of the batch is looked up, or encoded, once.
+    """
+    offsets, codes, words = word_codes(texts)
     known = _words.setdefault(vocabulary, {})
-    split = [split_words(t) if t else [] for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    if len(known) + len(new) > CACHE_WORDS:
+    parts = [parts_of(w) for w in words]
+    need = {p for two in parts for p in two}.difference(known)
+    if len(known) + len(need) > CACHE_WORDS:
         known.clear()
-        new = list(set().union(*split).difference(known))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        got = tokenizer(vocabulary).encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-    last = np.array([end], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) + last for words in split]
+        need = {p for two in parts for p in two}
+    need = list(need)
+    known.update(zip(need, encode_words(need, vocabulary), strict=True))
+    got = [known[a] + known[b] if b else known[a] for a, b in parts]
+    size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    flat, begin = np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size
+    sizes = size[codes]
+    ids = flat[spread(begin[codes], sizes)]
+    at = np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
+    last = np.array([end], "<u4")
+    return [np.concatenate((ids[at[i] : at[i + 1]], last)) for i in range(len(texts))]
 
 
 def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -71,16 +119,15 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.slice(i, 500)
+            for i in range(0, len(b), BATCH_DOCS):
+                part = b.slice(i, BATCH_DOCS)
                 out = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist(), vocabulary, end), strict=True):
-                    n = len(ids) // 4
-                    full = n // window
-                    whole = [zlib.crc32(ids[4 * window * k : 4 * window * (k + 1)]) for k in range(full)]
-                    rest = np.frombuffer(ids, "<u4", offset=4 * window * full)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"), vocabulary, end), strict=True):
+                    full = len(ids) // window
+                    whole = [zlib.crc32(ids[window * k : window * (k + 1)]) for k in range(full)]
+                    rest = ids[window * full :]
                     small = rest.astype("<u2") if len(rest) and rest.max() < 65_536 else rest
-                    out.append((doc, n, whole, small.tobytes(), full * window))
+                    out.append((doc, len(ids), whole, small.tobytes(), full * window))
                 cols = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "doc_tokens", "whole", "rest", "base"])

@@ -45,7 +45,7 @@ def check(got, data):
 
 def test_round_trip(spark, tables, monkeypatch):
     rng = random.Random(6)
-    words = ["été", "idiot", "don't", "x<|endoftext|>y", "naïve word", "ÁB", "...", "42nd", "日本語", "a\x1cb", "it's"]
+    words = ["été", "idiot", "don't", "x<|endoftext|>y", "naïve word", "ÁB", "...", "42nd", "日本語", "a\x1cb", "it's", "ΣΊΣΥΦΟΣ,", "İstanbul!!", "word.,", "e\u0301té", "ǅem|", "we'll.", "ﬁne,", "straße?!", "1st.", "<|startoftext|>", "q\u00a0r"]
     data = [(i, rng.choice([" ", "\n", "\t ", "\r\n"]).join(rng.choice(words) for _ in range(rng.choice([1, 5, 60, 400, 3000]))), "en", "s", 1, 1, 1) for i in range(120)]
     data += [(500, None, "en", "s", 0, 1, 1), (501, "", "en", "s", 0, 1, 1), (502, " \n", "en", "s", 0, 1, 1), (503, "word " * 30_000, "en", "s", 0, 1, 1), (504, "é" * 5000, None, None, 0, 1, 1)]
     data += [data[3], data[3]]
