@@ -5,6 +5,7 @@ from __future__ import annotations
 from memlake.llm.line_dedup import OP4_SQL, op4_line_dedup
 from memlake.llm.mixing import op5_mixing
 from memlake.llm.packing import op6_packing
+from memlake.llm.ppm import op8_ppm
 from memlake.llm.sharding import op3_sharding
 from memlake.llm.shingle_join import op10_shingle_join
 from memlake.llm.token_counts import op1_token_counts
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_topk": op7_topk,
+    "op8_ppm": op8_ppm,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_shingle_join": op10_shingle_join,
 }
