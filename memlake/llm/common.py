@@ -16,6 +16,8 @@ BROADCAST_ROWS = 20_000
 #: Rows of one rank bucket, on average; larger groups are split by their seeded hash.
 RANK_BUCKET = 128
 UNIT = float(2**53)
+#: Rounds of contraction by least id, before random orders.
+ID_ROUNDS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,36 +90,47 @@ def group_rank(df: DataFrame, keys: list[str], unit: str, ties: list[str], count
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
-    Contraction in rounds: each node points to the neighbour of least random
-    priority (or itself), edges are renamed to those heads, loops and repeats
-    go. The number of edges falls by a constant share a round in expectation,
-    whatever the order of ids; every step is a pre-aggregated group or an
-    equi-join whose skewed side the adaptive planner may split. Null ends and
-    loops are ignored; an empty input gives an empty result.
+    Contraction in rounds: each node points to its least neighbour (or itself),
+    edges are renamed to those heads, loops and repeats go. The first rounds take
+    the least id, which settles stars at once; later ones a random order that is
+    new each round, in which a constant share of the nodes goes whatever the
+    graph. Every step is a pre-aggregated group or an equi-join whose skewed side
+    the adaptive planner may split. Null ends and loops are ignored; an empty
+    input gives an empty result.
     """
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps: list[DataFrame] = []
-    for turn in range(200):
-        if not edges.take(1):
-            break
-        prio = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
+    label, turn = None, 0
+    while not edges.isEmpty():
+        if turn == 500:
+            raise RuntimeError("contraction did not end")
+        by = (lambda c: F.lit(0).cast("long")) if turn < ID_ROUNDS else (lambda c, t=turn: F.xxhash64(F.lit(t), F.col(c)))
+        prio = lambda c: F.struct(by(c).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(prio("b")).alias("p"))
         head = cut(least.select(F.col("a").alias("node"), F.least(F.col("p"), prio("a"))["n"].alias("head")))
-        maps.append(head)
+        # The first heads name every node; later ones rename those heads in turn.
+        label = head if label is None else label.join(head.select(F.col("node").alias("head"), F.col("head").alias("next")), "head", "left").select("node", F.coalesce("next", "head").alias("head"))
+        if turn % 6 == 5:
+            label = cut(label)
         left = edges.join(head.select(F.col("node").alias("a"), F.col("head").alias("ha")), "a")
         left = left.join(head.select(F.col("node").alias("b"), F.col("head").alias("hb")), "b").filter("ha <> hb")
         edges = cut(left.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct())
-    else:
-        raise RuntimeError("contraction did not end")
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    # The first map holds every node; later ones rename its heads in turn.
-    label = maps[0]
-    for head in maps[1:]:
-        renamed = head.select(F.col("node").alias("head"), F.col("head").alias("next"))
-        label = label.join(renamed, "head", "left").select("node", F.coalesce("next", "head").alias("head"))
+        turn += 1
+    if label is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if turn <= ID_ROUNDS:
+        return label.select("node", F.col("head").alias("component"))
     label = cut(label)
     names = label.groupBy("head").agg(F.min("node").alias("component"))
     return label.join(names, "head").select("node", "component")
+
+
+def merge_components(comp: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """comp (node, component) after more edges; only components that the edges touch are looked at."""
+    name = lambda c: F.coalesce(F.col(f"c{c}"), F.col(c))
+    edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
+    named = edges.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    more = cut(connected_components(named.select(name("a").alias("a"), name("b").alias("b"))))
+    moved = comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(more.join(comp.select("node"), "node", "left_anti"))

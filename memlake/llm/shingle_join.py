@@ -1,10 +1,11 @@
 """N-gram Jaccard join with signature trees.
 
-Documents become sets of hashed word shingles; equal sets are one class. Two
-sets at or above the threshold must share one of the first p shingles of
-either in any fixed order (p = size - ceil(threshold * size) + 1), so classes
-meet in cells made of those shingles (common shingles come last in the order).
-In a cell, a signature tree holds OR-combined token bitmaps and size ranges;
+Documents become sets of hashed word shingles; equal sets are one class. In any
+fixed order of all shingles, two sets at or above the threshold share l of the
+first size - ceil(threshold * size) + l shingles of either. So a class whose
+beginning (with l - 1 a twentieth of its size) shares too few shingles with
+others has no partner and goes, and the others meet in cells made of shared
+shingles; common shingles come last in the order. In a cell, a signature tree holds OR-combined token bitmaps and size ranges;
 a dual traversal drops pairs of nodes whose largest possible overlap is too
 small, or that are connected already, and the rest is checked exactly.
 
@@ -26,42 +27,51 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import connected_components, cut, table
+from memlake.llm.common import connected_components, cut, merge_components, table
+from memlake.llm.text import word_codes
 
 WORDS, NUM, DEN = 4, 85, 100
-BITS = 512
+BITS = 1024
 LEAF, FAN = 8, 8
-CELL_DOCS, HOT_KEY = 512, 512
+#: A beginning is longer by a share of the set, which a partner must share in turn.
+EXTRA = 20
+CELL_DOCS, HOT_KEY, CROWD = 512, 512, 64
 #: Shingles that at least one document in so many holds count as common and come last in the order.
 COMMON_SHARE = 500
-BATCH_DOCS = 1000
+BATCH_DOCS = 2000
 #: Ids of documents still in play are broadcast up to this number of them; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of the whole text (A-Z lower-cased); a text with fewer
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Each whole text's sorted distinct 64-bit shingle hashes (A-Z lower-cased); a text with fewer
     words has its whole sequence as one shingle, one without words none."""
-    tokens = text.encode("utf-8").lower().split() if text else []
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    offsets, codes, names = word_codes(texts, lower=True)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[codes]
+    n = max(len(w) - words + 1, 0)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        if len(w) < words:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens), seed=len(w))], np.uint64)
-        h = np.zeros(len(w) - words + 1, np.uint64)
         for k in range(words):
-            h = (h ^ (h >> np.uint64(31))) * _MUL[4] + w[k : len(w) - words + 1 + k] * _MUL[k % 4]
+            h = (h ^ (h >> np.uint64(31))) * _MUL[4] + w[k : n + k] * _MUL[k % 4]
         h ^= h >> np.uint64(32)
         h *= _MUL[3]
         h ^= h >> np.uint64(29)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if b - a >= words:
+            own = np.sort(h[a : b - words + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        elif b > a:
+            out.append(np.array([xxhash.xxh3_64_intdigest(w[a:b].tobytes(), seed=b - a)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def prefix_size(n: int, num: int = NUM, den: int = DEN) -> int:
-    return n - -(-num * n // den) + 1
+    """So many first shingles of n hold 1 + n // EXTRA that a partner of no smaller size shares."""
+    return min(n, n - -(-num * n // den) + 1 + n // EXTRA)
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
@@ -139,8 +149,8 @@ def _common(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, len(b), BATCH_DOCS):
-                texts = b.column("text").slice(s, BATCH_DOCS).to_pylist()
-                sets = [shingles(t, words) for t in texts]
+                texts = b.column("text").slice(s, BATCH_DOCS)
+                sets = shingle_sets(texts, words)
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 on = n >= max(3, len(texts) // COMMON_SHARE)
                 yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on])], names=["h", "n"])
@@ -154,8 +164,7 @@ def _describe(words: int, num: int, den: int, common: np.ndarray):
             for s in range(0, len(b), BATCH_DOCS):
                 part = b.slice(s, BATCH_DOCS)
                 n, digest, keys, bits = [], [], [], []
-                for t in part.column("text").to_pylist():
-                    h = shingles(t, words)
+                for h in shingle_sets(part.column("text"), words):
                     n.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     if len(h):
@@ -183,22 +192,23 @@ def _sets(words: int):
         for b in batches:
             for s in range(0, len(b), BATCH_DOCS):
                 part = b.slice(s, BATCH_DOCS)
-                got = [shingles(t, words).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cell"), part.column("key"), pa.array(got, pa.binary())], names=["doc_id", "cell", "key", "h"])
+                got = [h.tobytes() for h in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lo"), part.column("hi"), pa.array(got, pa.binary())], names=["doc_id", "lo", "hi", "h"])
 
     return run
 
 
 def _join_cell(num: int, den: int):
-    """Exact links within a cell, as edges of a spanning forest; `best` marks the class with most links of each component."""
+    """Components of the exact links within a cell: (a, b = its least id, links checked for a), for those of two or more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(h, np.uint64) for h in pdf["h"]]
         size = np.array([len(h) for h in sets], np.int64)
         order = np.lexsort((size, pdf["key"].to_numpy()))
         sets, size, ids = [sets[i] for i in order], size[order], pdf["doc_id"].to_numpy()[order]
-        tree = SignatureTree(np.stack([bitmap(h) for h in sets]), size, np.arange(len(sets)))
-        root = list(range(len(sets)))
+        _, comp = np.unique(pdf["comp"].to_numpy()[order], return_inverse=True)
+        tree = SignatureTree(np.stack([bitmap(h) for h in sets]), size, comp)
+        root = [int(x) for x in np.unique(comp, return_index=True)[1][comp]]
         degree = np.zeros(len(sets), np.int64)
 
         def find(x: int) -> int:
@@ -207,7 +217,6 @@ def _join_cell(num: int, den: int):
                 x = root[x]
             return x
 
-        out = []
         for a, b, cap in tree.pairs(num, den):
             for i in np.argsort(-cap, kind="stable"):
                 x, y = int(a[i]), int(b[i])
@@ -219,34 +228,55 @@ def _join_cell(num: int, den: int):
                     root[max(rx, ry)] = min(rx, ry)
                     degree[x] += 1
                     degree[y] += 1
-                    out.append((ids[x], ids[y]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        got = pd.DataFrame({"a": ids, "root": [find(x) for x in range(len(sets))], "d": degree})
+        got["b"] = got.groupby("root")["a"].transform("min")
+        return got.loc[got["d"] > 0, ["a", "b", "d"]].astype("int64")
 
     return run
 
 
 def _candidates(num: int, den: int):
-    """Pairs of classes in a cell that share one of its shingles, aren't connected, and may reach the threshold."""
+    """Pairs of classes in a cell that share some of its shingles, aren't connected, and may reach the threshold:
+    (a, b, shingles shared here, shingles needed in all cells together). Each shingle's classes have a tree; one of
+    at most CROWD classes is a single leaf, and leaves of a size are tested together."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        keys = pdf.groupby("doc_id", sort=False)["key"].agg(frozenset)
-        docs = pdf.drop_duplicates("doc_id").sort_values(["comp", "n", "doc_id"])
+        none = pd.DataFrame({"a": [], "b": [], "shared": [], "need": []}, dtype="int64")
+        docs = pdf.drop_duplicates("doc_id").sort_values(["n", "comp", "doc_id"])
         if len(docs) < 2:
             return none
-        side = docs["side"].to_numpy() if "side" in docs else None
-        ids, own = docs["doc_id"].to_numpy(), [keys[d] for d in docs["doc_id"]]
-        tree = SignatureTree(np.stack([np.frombuffer(b, np.uint64) for b in docs["bits"]]), docs["n"].to_numpy(), docs["comp"].to_numpy())
-        out = []
-        for a, b, _ in tree.pairs(num, den):
-            if side is not None:
-                meet = (side[a] != side[b]) | (side[a] < 0)
-                a, b = a[meet], b[meet]
-            out += [(ids[x], ids[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True) if not own[x].isdisjoint(own[y])]
-        if not out:
-            return none
-        got = pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        return pd.DataFrame({"a": got.min(axis=1), "b": got.max(axis=1)})
+        ids, size, comp = (docs[c].to_numpy() for c in ("doc_id", "n", "comp"))
+        bits = np.frombuffer(b"".join(docs["bits"]), np.uint64).reshape(len(docs), -1)
+        side = docs["side"].to_numpy() if "side" in docs else np.full(len(docs), -1)
+        place = pd.Series(np.arange(len(docs)), ids)
+        rows = pd.DataFrame({"key": pdf["key"].to_numpy(), "at": place[pdf["doc_id"].to_numpy()].to_numpy()}).drop_duplicates().sort_values(["key", "at"])
+        at = rows["at"].to_numpy()
+        _, start, crowd = np.unique(rows["key"].to_numpy(), return_index=True, return_counts=True)
+        found = []
+
+        def test(a: np.ndarray, b: np.ndarray) -> None:
+            for s in range(0, len(a), 100_000):
+                x, y = a[s : s + 100_000], b[s : s + 100_000]
+                ok = (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] < 0)) & (den * size[x] >= num * size[y])  # size[x] <= size[y]
+                x, y = x[ok], y[ok]
+                only_x, only_y = np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1), np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1)
+                cap = np.minimum(size[x] - only_x, size[y] - only_y)
+                ok = (num + den) * cap >= num * (size[x] + size[y])
+                found.append(x[ok].astype(np.int64) * len(ids) + y[ok])
+
+        for g in np.unique(crowd[(crowd > 1) & (crowd <= CROWD)]):
+            members = at[start[crowd == g][:, None] + np.arange(g)]
+            i, j = np.triu_indices(g, 1)
+            for s in range(0, len(members), max(1, 400_000 // len(i))):
+                m = members[s : s + max(1, 400_000 // len(i))]
+                test(m[:, i].ravel(), m[:, j].ravel())
+        for k in np.flatnonzero(crowd > CROWD):
+            own = at[start[k] : start[k] + crowd[k]]
+            for a, b, _ in SignatureTree(bits[own], size[own], comp[own]).pairs(num, den):
+                test(own[a], own[b])
+        pair, shared = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        x, y = np.divmod(pair, len(ids))
+        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "shared": shared, "need": 1 + np.minimum(size[x], size[y]) // EXTRA}).astype("int64")
 
     return run
 
@@ -290,52 +320,63 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
     told = cut(docs.mapInArrow(_describe(words, num, den, common), schema))
     live = told.filter("n > 0 and doc_id is not null")
     rep = cut(live.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    classes = live.join(rep.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
-    keyed = classes.select("doc_id", "digest", F.posexplode("keys").alias("pos", "key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
-    rows = cut(keyed.select("doc_id", "pos", "key").join(shared, "key"))
-
-    # Stage 1: whole sets that share their first shared shingle.
-    first = rows.groupBy("doc_id").agg(F.min(F.struct("pos", "key"))["key"].alias("key"))
-    crowd = first.groupBy("key").agg(F.count("*").alias("crowd"))
-    first = cut(first.join(crowd, "key"))
-    n_live = first.count()
-    n_cells = max(1, -(-n_live // CELL_DOCS))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("crowd") / CELL_DOCS))
-    first = first.select("doc_id", "key", F.pmod(F.xxhash64("key", chunk), F.lit(n_cells)).alias("cell"))
-    sets = cut(with_cells(docs, first).mapInArrow(_sets(words), "doc_id long, cell long, key long, h binary"))
-    links = cut(sets.groupBy("cell").applyInPandas(_join_cell(num, den), "a long, b long"))
+    copies = cut(live.select("digest", "doc_id").join(rep, "digest").filter("doc_id <> rep").select("digest", "doc_id"))
+    classes = live.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["digest", "doc_id"], "left_anti")
+    keyed = classes.select("doc_id", F.explode("keys").alias("key"))
+    crowds = lambda r: r.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = cut(keyed.join(crowds(keyed), "key"))
+    # Classes that share enough shingles to have a partner; then the shingles that these share.
+    need = F.lit(1) + F.floor(F.ceil(F.col("n") * num / den) / EXTRA)
+    able = classes.select("doc_id", "n").join(rows.groupBy("doc_id").agg(F.count("*").alias("c")), "doc_id").filter(F.col("c") >= need).select("doc_id")
+    rows = cut(rows.drop("df").join(able, "doc_id"))
+    rows = cut(rows.join(crowds(rows), "key"))
+
+    # Stage 1: whole sets that share their least shared shingle, then those not connected that share their greatest.
+    ends = cut(rows.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")))
+    n_cells = max(1, -(-ends.count() // CELL_DOCS))
+    sets = cut(with_cells(docs, ends).mapInArrow(_sets(words), "doc_id long, lo long, hi long, h binary"))
+    link = "a long, b long, d long"
+
+    def cells(some: DataFrame, key: str, seed: int) -> DataFrame:
+        """Classes that share the key in one cell, or in as many as hold their crowd."""
+        crowd = some.groupBy(key).agg(F.count("*").alias("__crowd"))
+        chunk = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.ceil(F.col("__crowd") / CELL_DOCS))
+        cell = F.pmod(F.xxhash64("__key", chunk), F.lit(n_cells))
+        return some.withColumnRenamed(key, "__key").join(crowd.withColumnRenamed(key, "__key"), "__key").select("doc_id", F.col("__key").alias("key"), cell.alias("cell"), "comp", "h")
+
+    def with_comp(some: DataFrame) -> DataFrame:
+        return some.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+    links = cut(cells(sets.withColumn("comp", F.col("doc_id")), "lo", 1).groupBy("cell").applyInPandas(_join_cell(num, den), link))
     comp = cut(connected_components(links))
+    comp = cut(merge_components(comp, cells(with_comp(sets), "hi", 2).groupBy("cell").applyInPandas(_join_cell(num, den), link)))
 
-    # Between: one class of each component, the one with most links, meets the others that share its first shingle.
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
-    lead = ends.join(comp.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component").agg(F.max(F.struct("d", "doc_id"))["doc_id"].alias("doc_id")).select("doc_id")
-    again = sets.drop("cell").join(lead, "doc_id")
-    crowd = again.groupBy("key").agg(F.count("*").alias("crowd"))
-    again = again.join(crowd, "key").withColumn("cell", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.ceil(F.col("crowd") / CELL_DOCS))), F.lit(n_cells))).select("doc_id", "cell", "key", "h")
-    links = cut(links.unionByName(again.groupBy("cell").applyInPandas(_join_cell(num, den), "a long, b long")))
-    comp = cut(connected_components(links))
+    # Where crowds were cut into several cells, the class with most links of each component meets its like.
+    if not ends.groupBy("lo").count().filter(F.col("count") > CELL_DOCS).isEmpty():
+        lead = links.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.max(F.struct("d", "a"))["a"].alias("doc_id")).select("doc_id")
+        comp = cut(merge_components(comp, cells(with_comp(sets.join(lead, "doc_id")), "lo", 3).groupBy("cell").applyInPandas(_join_cell(num, den), link)))
 
     # Stage 2: shingles whose classes are not all connected.
-    named = rows.select("doc_id", "key", "df").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    named = cut(named)
+    named = cut(with_comp(rows.select("doc_id", "key", "df")))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_rows = named.join(open_keys, "key").join(classes.select("doc_id", "n", "bits"), "doc_id")
     open_rows = cut(open_rows.select("doc_id", "key", "df", "comp", "n", "bits"))
     n_open = max(1, -(-open_rows.count() // (4 * CELL_DOCS)))
     small = open_rows.filter(F.col("df") <= HOT_KEY).withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(n_open))).drop("df")
-    pairs = small.groupBy("cell").applyInPandas(_candidates(num, den), "a long, b long")
+    pair = "a long, b long, shared long, need long"
+    pairs = small.groupBy("cell").applyInPandas(_candidates(num, den), pair)
     # A hot shingle's classes meet in tiles, each pair of parts in one.
     parts = F.ceil(F.col("df") / HOT_KEY).cast("int")
     hot = open_rows.filter(F.col("df") > HOT_KEY).withColumn("part", F.pmod(F.xxhash64(F.lit(8), "doc_id"), parts).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     hot = hot.withColumn("side", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise((F.col("part") < F.col("other")).cast("int")))
     hot = hot.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("df", "part", "other")
-    tiles = hot.groupBy("key", "i", "j").applyInPandas(_candidates(num, den), "a long, b long")
-    pairs = cut(pairs.unionByName(tiles).distinct())
+    tiles = hot.groupBy("key", "i", "j").applyInPandas(_candidates(num, den), pair)
+    pairs = pairs.unionByName(tiles).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    pairs = cut(pairs.filter("shared >= need").select("a", "b"))
     checked = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     more = checked.select("a", "b", "ha", "hb").mapInPandas(_verify(num, den), "a long, b long")
-    comp = connected_components(links.unionByName(more))
+    comp = merge_components(comp, more)
 
     of_rep = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = told.select("doc_id", "n", "digest").join(of_rep, "digest", "left")

@@ -14,6 +14,8 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     A null text has none.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if lower:  # ascii_lower misreads offsets that do not begin at 0, as those of a slice: copy it first
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten().dictionary_encode()
     if isinstance(flat, pa.ChunkedArray):
