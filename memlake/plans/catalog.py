@@ -4,8 +4,492 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from memlake.operators import facts, graph, lifecycle, recall, scope, timeline
+from memlake.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+NOW = "2026-01-02 00:00:00"
+QUESTIONS = [(1, "the license of attion"), (2, "worthless idiot and with"), (3, "der und la que")]
+QUESTIONS_SQL = "questions AS (SELECT * FROM (VALUES (1::BIGINT, 'the license of attion'), (2::BIGINT, 'worthless idiot and with'), (3::BIGINT, 'der und la que')) q(query_id, query))"
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Registers a query under its function's name; ctes stand before the SQL twin."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return put
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "query_id long, query string")
+
+
+def six(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# Retrieval.
+
+TOKENS_SQL = r"tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)"
+BM25_SQL = (
+    TOKENS_SQL,
+    QUESTIONS_SQL,
+    r"terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS term FROM questions)",
+    "post AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL)",
+    "dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)",
+    "st AS (SELECT count(*) AS n, avg(coalesce(len(t), 0))::DOUBLE AS al FROM tok)",
+    "bm AS (SELECT query_id, id, sum(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS score FROM post JOIN dfs USING (term) JOIN terms USING (term), st GROUP BY query_id, id)",
+)
+
+
+@query("SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10", *BM25_SQL)
+def bm25_topk(spark, sf):
+    docs = src.table(spark, sf, "documents")
+    scored = recall.bm25(docs, questions(spark), "doc_id", "text").withColumn("score", F.round("score", 9))
+    return recall.top_k(scored, 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"))
+
+
+@query("SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY term", TOKENS_SQL)
+def document_frequency(spark, sf):
+    docs = src.table(spark, sf, "documents").select(F.explode(F.array_distinct(recall.tokens(F.col("text")))).alias("term"))
+    return docs.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("SELECT count(*) AS n, round(avg(coalesce(len(t), 0)), 6) AS avg_len FROM tok", TOKENS_SQL)
+def corpus_stats(spark, sf):
+    return recall.corpus_stats(src.table(spark, sf, "documents"), "text").select("n", six(F.col("avg_len")).alias("avg_len"))
+
+
+@query(r"SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])is the([^\p{L}\p{N}_]|$)')")
+def phrase_search(spark, sf):
+    docs = src.table(spark, sf, "documents")
+    return docs.filter(F.lower("text").rlike(r"(^|[^\p{L}\p{N}_])is the([^\p{L}\p{N}_]|$)")).select(F.col("doc_id").alias("id"))
+
+
+CENTROIDS_SQL = "centroids AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i)"
+
+
+def centroids(vectors: DataFrame, by: str) -> DataFrame:
+    """The mean vector of each group, component by component."""
+    parts = vectors.select(by, F.posexplode("embedding").alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return parts.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+@query("SELECT label, round(sqrt(sum(m * m)), 6) AS norm, count(*)::INT AS dim FROM centroids GROUP BY label", CENTROIDS_SQL)
+def centroid_by_label(spark, sf):
+    c = centroids(src.table(spark, sf, "embeddings"), "label")
+    return c.select("label", six(F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.size("centroid").alias("dim"))
+
+
+COS_SQL = (
+    CENTROIDS_SQL,
+    "cs AS (SELECT c.label AS query_id, v.vec_id AS id, sum(c.m * v.x) / sqrt(sum(c.m * c.m) * sum(v.x * v.x)) AS cosine FROM centroids c JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) v USING (i) GROUP BY ALL)",
+)
+
+
+def _cosines(spark, sf):
+    """All vectors against a bounded set of queries: the labels' centroids, broadcast."""
+    v = src.table(spark, sf, "embeddings")
+    q = centroids(v, "label").select(F.col("label").cast("long").alias("query_id"), "centroid")
+    return v.crossJoin(F.broadcast(q)).select("query_id", F.col("vec_id").alias("id"), recall.cosine(F.col("centroid"), F.col("embedding")).alias("cosine"))
+
+
+@query("SELECT query_id::BIGINT AS query_id, rank, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM cs) WHERE rank <= 10", *COS_SQL)
+def cosine_topk(spark, sf):
+    scored = _cosines(spark, sf).withColumn("cosine", F.round("cosine", 9))
+    return recall.top_k(scored, 10, "cosine").select("query_id", "rank", "id", six(F.col("cosine")).alias("cosine"))
+
+
+@query("SELECT query_id::BIGINT AS query_id, id, round(cosine / max(cosine) OVER (PARTITION BY query_id), 6) AS norm FROM cs", *COS_SQL)
+def normalised_cosine(spark, sf):
+    return recall.normalised(_cosines(spark, sf)).select("query_id", "id", six(F.col("norm")).alias("norm"))
+
+
+FUSE_SQL = (
+    *BM25_SQL,
+    "frag AS (SELECT doc_id AS id, CASE WHEN l.quality = 1 THEN 0.8::DOUBLE WHEN l.quality = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS importance, CASE WHEN l.toxic = 1 THEN 0.2::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM documents LEFT JOIN labels l USING (doc_id))",
+    "lex AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)",
+    "pri AS (SELECT query_id, lex.id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, lex.id) AS rank FROM lex JOIN frag USING (id))",
+    "fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, id, rank FROM lex WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM pri WHERE rank <= 50) GROUP BY query_id, id)",
+    "seeded AS (SELECT f.*, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(b.score, 0) / 10)) AS relevance FROM fused f LEFT JOIN bm b USING (query_id, id))",
+    "ranked AS (SELECT s.query_id, s.id, s.relevance, round((0.5 * least(1.0::DOUBLE, rrf / (2.0::DOUBLE / 61)) + 0.5 * relevance) * (0.75 + 0.25 * (0.55 * importance + 0.20 * confidence + 0.25 * 0.5)), 6) AS score FROM seeded s JOIN frag USING (id))",
+)
+
+
+def _fused(spark, sf):
+    """The lexical channel and an importance channel, fifty rows a query each, fused by rank."""
+    frags = src.fragments(spark, sf).select("id", "importance", "confidence")
+    scored = recall.bm25(src.table(spark, sf, "documents"), questions(spark), "doc_id", "text").withColumn("score", F.round("score", 9))
+    lexical = recall.top_k(scored, 50)
+    prior = recall.top_k(scored.join(frags, "id").select("query_id", "id", "importance"), 50, "importance")
+    both = lexical.select("query_id", "id", "rank").unionByName(prior.select("query_id", "id", "rank"))
+    fused = recall.rrf(both).join(scored, ["query_id", "id"], "left")
+    fused = fused.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0)) / 10))).drop("score")
+    return recall.rrf_seed(fused), frags
+
+
+@query("SELECT query_id, id, round(rrf, 6) AS rrf FROM fused", *FUSE_SQL)
+def rrf_fusion(spark, sf):
+    fused, _ = _fused(spark, sf)
+    return fused.select("query_id", "id", six(F.col("rrf")).alias("rrf"))
+
+
+@query("SELECT query_id, id, round(0.5 * least(1.0::DOUBLE, rrf / (2.0::DOUBLE / 61)) + 0.5 * relevance, 6) AS seed FROM seeded", *FUSE_SQL)
+def rrf_seeds(spark, sf):
+    fused, _ = _fused(spark, sf)
+    return fused.select("query_id", "id", six(F.col("seed")).alias("seed"))
+
+
+def _reranked(spark, sf):
+    fused, frags = _fused(spark, sf)
+    return recall.rerank(fused.join(frags, "id").withColumn("node_weight", F.lit(0.5)).withColumn("demotion", F.lit(1.0)))
+
+
+@query("SELECT query_id, id, score FROM ranked", *FUSE_SQL)
+def rerank_priors(spark, sf):
+    return _reranked(spark, sf).select("query_id", "id", "score")
+
+
+@query("SELECT query_id, rank, id, round(max(relevance) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ranked) WHERE rank <= 10", *FUSE_SQL)
+def recall_display(spark, sf):
+    """The flagship plan from channels to the list as shown."""
+    return recall.display(recall.top_k(_reranked(spark, sf), 10)).select("query_id", "rank", "id", six(F.col("shown")).alias("shown"))
+
+
+@query("SELECT query_id, id FROM (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS top FROM ranked) WHERE relevance >= 0.9 OR (relevance >= 0.3 * top AND relevance >= 0.1)", *FUSE_SQL)
+def relevance_floor(spark, sf):
+    return recall.floor(_reranked(spark, sf)).select("query_id", "id")
+
+
+@query("SELECT query_id, severity FROM questions LEFT JOIN (SELECT query_id, CASE WHEN max(relevance) < 0.3 THEN 'high' WHEN max(relevance) < 0.4 THEN 'medium' ELSE 'none' END AS severity FROM ranked GROUP BY query_id) USING (query_id)", *FUSE_SQL)
+def gap_report(spark, sf):
+    return recall.gap(_reranked(spark, sf), questions(spark)).select("query_id", "severity")
+
+
+@query("SELECT query_id, id FROM (SELECT r.query_id, r.id, row_number() OVER (PARTITION BY r.query_id, f.source ORDER BY r.score DESC, r.id) AS d FROM ranked r JOIN documents f ON f.doc_id = r.id) WHERE d <= 2", *FUSE_SQL)
+def diversity_cap(spark, sf):
+    ranked = recall.rank(_reranked(spark, sf)).join(src.fragments(spark, sf).select("id", "agent_id"), "id")
+    return recall.diversify(ranked, "agent_id").select("query_id", "id")
+
+
+@query(r"SELECT query_id, id FROM (SELECT r.query_id, r.id, row_number() OVER (PARTITION BY r.query_id, lower(trim(regexp_replace(f.text, '\s+', ' ', 'g'))) ORDER BY r.score DESC, r.id) AS d FROM ranked r JOIN documents f ON f.doc_id = r.id) WHERE d = 1", *FUSE_SQL)
+def keep_best_content(spark, sf):
+    rows = _reranked(spark, sf).join(src.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+    return recall.keep_best_content(rows).select("query_id", "id")
+
+
+@query("SELECT q.query_id, term FROM (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM questions) q WHERE term NOT IN (SELECT term FROM post)", *BM25_SQL)
+def missing_anchors(spark, sf):
+    terms = recall.query_terms(questions(spark))
+    post = recall.postings(src.table(spark, sf, "documents"), "doc_id", "text", terms)
+    return scope.missing(terms, post.select("term").distinct(), "term").select("query_id", "term")
+
+
+# Scope and scans.
+
+
+@query("SELECT agent_id, id, importance FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY importance DESC, created_at DESC, id DESC) AS r FROM fragments) WHERE r <= 200", src.FRAGMENTS_SQL)
+def agent_scan(spark, sf):
+    """Each agent's 200 most important memories: the scan's own limit."""
+    w = Window.partitionBy("agent_id").orderBy(F.col("importance").desc(), F.col("created_at").desc(), F.col("id").desc())
+    return src.fragments(spark, sf).withColumn("r", F.row_number().over(w)).filter("r <= 200").select("agent_id", "id", "importance")
+
+
+@query("SELECT id FROM fragments ORDER BY importance DESC, created_at DESC, id DESC LIMIT 50 OFFSET 25", src.FRAGMENTS_SQL)
+def importance_page(spark, sf):
+    return scope.page(src.fragments(spark, sf), 25, 50).select("id")
+
+
+@query("SELECT id FROM fragments WHERE state IN ('unverified', 'verified', 'promoted') AND (ttl_seconds IS NULL OR epoch(TIMESTAMP '2026-01-02') - epoch(created_at) <= ttl_seconds) AND block_id <> 'b3'", src.FRAGMENTS_SQL)
+def scope_filter(spark, sf):
+    bad = spark.createDataFrame([("b3",)], "block_id string")
+    return scope.retrievable(src.fragments(spark, sf), bad, now()).select("id")
+
+
+@query("SELECT id FROM fragments WHERE ttl_seconds IS NULL OR epoch(TIMESTAMP '2026-01-02') - epoch(created_at) <= ttl_seconds", src.FRAGMENTS_SQL)
+def ttl_live(spark, sf):
+    return src.fragments(spark, sf).filter(scope.live(now())).select("id")
+
+
+@query("SELECT id FROM fragments WHERE list_contains(tags, 'lang:en') AND list_contains(tags, 'kind:bug') AND NOT list_contains(tags, 'resolved') AND created_at >= TIMESTAMP '2026-01-01' AND created_at < TIMESTAMP '2026-01-04'", src.FRAGMENTS_SQL)
+def session_filter(spark, sf):
+    where = scope.SessionFilter(tags=("lang:en", "kind:bug"), exclude_tags=("resolved",), since="2026-01-01", until="2026-01-03")
+    return src.fragments(spark, sf).filter(where.column()).select("id")
+
+
+@query("SELECT substr(list_filter(tags, lambda t: starts_with(t, 'kind:'))[1], 6) AS kind, count(*) AS n FROM fragments WHERE NOT list_has_any(tags, ['superseded', 'resolved']) GROUP BY 1", src.FRAGMENTS_SQL)
+def open_kinds(spark, sf):
+    return scope.open_memories(src.fragments(spark, sf)).groupBy(scope.kind(F.col("tags")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT session_id, max(created_at) AS latest, count(*) AS n FROM fragments GROUP BY session_id", src.FRAGMENTS_SQL)
+def recent_sessions(spark, sf):
+    return src.fragments(spark, sf).groupBy("session_id").agg(F.max("created_at").alias("latest"), F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT tag FROM (SELECT unnest(tags) AS tag FROM fragments) WHERE starts_with(tag, 'kind:')", src.FRAGMENTS_SQL)
+def tags_with_prefix(spark, sf):
+    return src.fragments(spark, sf).select(F.explode("tags").alias("tag")).filter(F.col("tag").startswith("kind:")).distinct()
+
+
+@query("SELECT block_id, count(*) FILTER (state = 'raw') AS raw, count(*) FILTER (state = 'unverified') AS unverified, count(*) FILTER (state = 'verified') AS verified, count(*) FILTER (state = 'quarantined') AS quarantined FROM fragments GROUP BY block_id", src.FRAGMENTS_SQL)
+def state_histogram(spark, sf):
+    states = ["raw", "unverified", "verified", "quarantined"]
+    return src.fragments(spark, sf).groupBy("block_id").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])
+
+
+@query("SELECT state, new_state, ok, count(*) AS n FROM (SELECT state, CASE id % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'promoted' END AS new_state FROM fragments) JOIN (VALUES ('raw', 'unverified', true), ('raw', 'verified', false), ('raw', 'promoted', false), ('unverified', 'verified', true), ('unverified', 'unverified', false), ('unverified', 'promoted', false), ('verified', 'promoted', true), ('verified', 'verified', false), ('verified', 'unverified', false), ('quarantined', 'unverified', true), ('quarantined', 'verified', false), ('quarantined', 'promoted', false)) v(state, new_state, ok) USING (state, new_state) GROUP BY ALL", src.FRAGMENTS_SQL)
+def state_transitions(spark, sf):
+    new = F.when(F.col("id") % 3 == 0, "verified").when(F.col("id") % 3 == 1, "unverified").otherwise("promoted")
+    return scope.allowed(spark, src.fragments(spark, sf).select("id", "state", new.alias("new_state"))).groupBy("state", "new_state", "ok").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(ttl) AS soonest, block_id FROM (SELECT block_id, created_at + to_seconds(ttl_seconds) AS ttl FROM fragments WHERE ttl_seconds IS NOT NULL) GROUP BY block_id", src.FRAGMENTS_SQL)
+def next_expiry(spark, sf):
+    return src.fragments(spark, sf).filter("ttl_seconds is not null").groupBy("block_id").agg(F.min(F.timestamp_add("SECOND", F.col("ttl_seconds"), F.col("created_at"))).alias("soonest")).select("soonest", "block_id")
+
+
+@query("SELECT source AS agent_id FROM documents UNION SELECT event_type FROM events")
+def agents_union(spark, sf):
+    return src.table(spark, sf, "documents").select(F.col("source").alias("agent_id")).union(src.table(spark, sf, "events").select("event_type")).distinct()
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_ids(spark, sf):
+    return scope.missing(src.table(spark, sf, "documents"), src.table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+def scope_intersect(spark, sf):
+    good = src.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    return src.table(spark, sf, "documents").select("doc_id").intersect(good)
+
+
+@query("SELECT id FROM fragments f WHERE created_at >= TIMESTAMP '2026-01-02' AND state <> 'quarantined' AND NOT (id % 4 = 0)", src.FRAGMENTS_SQL)
+def sync_delta(spark, sf):
+    frags = src.fragments(spark, sf)
+    return scope.sync_delta(frags, now(), frags.filter("id % 4 = 0")).select("id")
+
+
+# Facts.
+
+
+@query("SELECT subject, attribute, value, valid_from, lead(valid_from) OVER (PARTITION BY subject, attribute ORDER BY valid_from, recorded_at, seq) AS valid_to FROM facts", src.FACTS_SQL)
+def fact_chain(spark, sf):
+    return facts.chain(src.fact_events(spark, sf)).select("subject", "attribute", "value", "valid_from", "valid_to")
+
+
+@query("SELECT subject, attribute, value, min(valid_from) AS valid_from, max_by(valid_to, (valid_from, seq)) AS valid_to FROM (SELECT *, sum(c) OVER (PARTITION BY subject, attribute ORDER BY valid_from, recorded_at, seq) AS run FROM (SELECT *, CASE WHEN lag(value) OVER w = value THEN 0 ELSE 1 END AS c, lead(valid_from) OVER w AS valid_to FROM facts WINDOW w AS (PARTITION BY subject, attribute ORDER BY valid_from, recorded_at, seq))) GROUP BY subject, attribute, run, value", src.FACTS_SQL)
+def fact_history(spark, sf):
+    return facts.history(src.fact_events(spark, sf)).select("subject", "attribute", "value", "valid_from", "valid_to")
+
+
+MIDDLE = "mid AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS t FROM events)"
+CHAIN = "ch AS (SELECT *, lead(valid_from) OVER (PARTITION BY subject, attribute ORDER BY valid_from, recorded_at, seq) AS valid_to FROM facts)"
+
+
+def _middle(spark, sf):
+    a, b = src.table(spark, sf, "events").agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    return F.timestamp_micros(F.lit(a + (b - a) // 2))
+
+
+@query("SELECT subject, attribute, value FROM ch, mid WHERE valid_from <= t AND (valid_to IS NULL OR valid_to > t)", src.FACTS_SQL, CHAIN, MIDDLE)
+def fact_current(spark, sf):
+    return facts.current(src.fact_events(spark, sf), _middle(spark, sf)).select("subject", "attribute", "value")
+
+
+@query("SELECT subject, attribute, value, valid_from FROM ch, mid WHERE valid_from > t", src.FACTS_SQL, CHAIN, MIDDLE)
+def fact_scheduled(spark, sf):
+    return facts.scheduled(src.fact_events(spark, sf), _middle(spark, sf)).select("subject", "attribute", "value", "valid_from")
+
+
+@query("SELECT o.o_orderkey AS question_id, f.value, f.valid_from AS since FROM (SELECT o_orderkey, o_custkey % 150 AS subject, 'click' AS attribute, (SELECT min(ts) FROM events) + to_seconds(o_orderkey * 37 % 2000000) AS at FROM orders) o LEFT JOIN ch f ON f.subject = o.subject AND f.attribute = o.attribute AND f.valid_from <= o.at AND (f.valid_to IS NULL OR f.valid_to > o.at) QUALIFY row_number() OVER (PARTITION BY o.o_orderkey ORDER BY f.valid_from DESC, f.seq DESC) = 1", src.FACTS_SQL, CHAIN)
+def fact_as_of(spark, sf):
+    start = src.table(spark, sf, "events").agg(F.unix_micros(F.min("ts"))).first()[0]
+    at = F.timestamp_micros(F.lit(start) + (F.col("o_orderkey") * 37 % 2_000_000) * 1_000_000)
+    asked = src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), (F.col("o_custkey") % 150).alias("subject"), F.lit("click").alias("attribute"), at.alias("at"))
+    return facts.as_of(asked, src.fact_events(spark, sf)).select("question_id", "value", "since")
+
+
+@query("SELECT subject, attribute, value, valid_from, lead(valid_from) OVER (PARTITION BY subject, attribute ORDER BY valid_from, recorded_at, seq) AS valid_to FROM facts WHERE seq % 9 <> 0", src.FACTS_SQL)
+def fact_retract(spark, sf):
+    events = src.fact_events(spark, sf)
+    return facts.chain(facts.retract(events, events.filter("seq % 9 = 0"))).select("subject", "attribute", "value", "valid_from", "valid_to")
+
+
+@query("SELECT subject, attribute, valid_from, value FROM (SELECT *, row_number() OVER (PARTITION BY subject, attribute, valid_from ORDER BY seq DESC) AS r FROM (SELECT subject, attribute, value, date_trunc('day', valid_from) AS valid_from, seq FROM facts)) WHERE r = 1", src.FACTS_SQL)
+def fact_correction(spark, sf):
+    daily = src.fact_events(spark, sf).withColumn("valid_from", F.date_trunc("day", "valid_from")).withColumn("recorded_at", F.col("valid_from"))
+    return facts.correct(daily).select("subject", "attribute", "valid_from", "value")
+
+
+@query("SELECT subject, attribute, value, valid_from, valid_to FROM (SELECT *, lag(op) OVER w AS b, min(CASE WHEN op = 'remove' THEN valid_from END) OVER (PARTITION BY subject, attribute, value ORDER BY valid_from, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS valid_to FROM (SELECT subject, 'tag' AS attribute, attribute AS value, valid_from, seq, CASE WHEN seq % 3 = 0 THEN 'remove' ELSE 'add' END AS op FROM facts) WINDOW w AS (PARTITION BY subject, attribute, value ORDER BY valid_from, seq)) WHERE op = 'add' AND (b IS NULL OR b = 'remove')", src.FACTS_SQL)
+def fact_multi(spark, sf):
+    e = src.fact_events(spark, sf)
+    e = e.select("subject", F.lit("tag").alias("attribute"), F.col("attribute").alias("value"), "valid_from", "seq", F.when(F.col("seq") % 3 == 0, "remove").otherwise("add").alias("op"))
+    return facts.multi(e).select("subject", "attribute", "value", "valid_from", "valid_to")
+
+
+@query("SELECT DISTINCT subject FROM facts", src.FACTS_SQL)
+def fact_subjects(spark, sf):
+    return src.fact_events(spark, sf).select("subject").distinct()
+
+
+# Lifecycle.
+
+HALF_SQL = "CASE tier WHEN 'working' THEN 48.0 WHEN 'session' THEN 168.0 ELSE 720.0 END::DOUBLE"
+DECAYED_SQL = f"decayed AS (SELECT id, state, block_id, CASE WHEN state = 'promoted' THEN importance ELSE greatest(0.05::DOUBLE, importance * exp(-ln(2.0::DOUBLE) * greatest((epoch(TIMESTAMP '2026-02-01') - epoch(created_at)) / 3600.0::DOUBLE, 0) / ({HALF_SQL}))) END AS importance FROM fragments)"
+
+
+@query("SELECT id, round(importance, 6) AS importance FROM decayed", src.FRAGMENTS_SQL, DECAYED_SQL)
+def decay_importance(spark, sf):
+    return lifecycle.decay(src.fragments(spark, sf), F.lit("2026-02-01").cast("timestamp")).select("id", six(F.col("importance")).alias("importance"))
+
+
+@query("SELECT CASE WHEN importance <= 0.05 AND state NOT IN ('quarantined', 'contradicted', 'promoted') AND block_id NOT IN ('b0', 'b5') THEN 'delete' ELSE 'keep' END AS action, count(*) AS n FROM decayed GROUP BY 1", src.FRAGMENTS_SQL, DECAYED_SQL)
+def prune_counts(spark, sf):
+    sealed = spark.createDataFrame([("b0",), ("b5",)], "block_id string")
+    return lifecycle.prune(src.fragments(spark, sf), F.lit("2026-02-01").cast("timestamp"), sealed).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN NOT (ttl_seconds IS NULL OR epoch(TIMESTAMP '2026-01-02') - epoch(created_at) <= ttl_seconds) THEN 'expire' WHEN importance >= 0.7 THEN 'promote' ELSE 'keep' END AS action, count(*) AS n FROM fragments WHERE tier = 'working' GROUP BY 1", src.FRAGMENTS_SQL)
+def consolidate_counts(spark, sf):
+    return lifecycle.consolidate(src.fragments(spark, sf), now()).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, round(least(1.0::DOUBLE, importance + 0.05 * (1 - exp(-access_count / 10.0::DOUBLE))), 6) AS importance FROM fragments", src.FRAGMENTS_SQL)
+def hebbian_boost(spark, sf):
+    return lifecycle.hebbian(src.fragments(spark, sf)).select("id", six(F.col("importance")).alias("importance"))
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS kept FROM documents")
+def dedup_exact(spark, sf):
+    return lifecycle.exact_duplicates(src.table(spark, sf, "documents"), "text", [F.col("doc_id")]).select("doc_id", "kept")
+
+
+@query("SELECT o_orderkey AS id, max(o_orderkey) OVER (PARTITION BY o_custkey) AS tail FROM orders")
+def revision_tail(spark, sf):
+    """Each customer's orders as revisions of one memory."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    nxt = src.table(spark, sf, "orders").withColumn("superseded_by", F.lead("o_orderkey").over(w))
+    links = nxt.filter("superseded_by is not null").select(F.col("o_orderkey").alias("id"), "superseded_by")
+    from memlake.sources.shared import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    tails = lifecycle.revision_tail(links)
+    return nxt.select(F.col("o_orderkey").alias("id")).join(tails, "id", "left").select("id", F.coalesce("tail", "id").alias("tail"))
+
+
+# Graph and blocks.
+
+
+@query("SELECT DISTINCT origin, node, min(depth) AS depth FROM nb GROUP BY origin, node", src.GRAPH_SQL, "bw AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", "nb AS (SELECT 'r' || r_regionkey AS origin, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT origin, dst, depth + 1 FROM nb JOIN bw ON nb.node = bw.src WHERE depth < 2)")
+def graph_neighborhood(spark, sf):
+    start = src.table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return graph.neighborhood(src.edges(spark, sf), start, 2)
+
+
+@query("SELECT origin, node, round(max(score), 6) AS score FROM (SELECT origin, node, score FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT s1.origin, st.dst, s1.score * gain * 0.5 FROM s1 JOIN st ON st.src = s1.node) GROUP BY origin, node", src.GRAPH_SQL, "bw AS (SELECT src, dst, weight FROM edges WHERE relation <> 'contradicts' UNION ALL SELECT dst, src, weight FROM edges WHERE relation <> 'contradicts')", "st AS (SELECT src, dst, max(bw.weight * nodes.weight) AS gain FROM bw JOIN nodes ON nodes.node = dst GROUP BY src, dst)", "s0 AS (SELECT node AS origin, node, 1.0::DOUBLE AS score FROM nodes WHERE node_type = 'nation')", "s1 AS (SELECT s0.origin, st.dst AS node, max(s0.score * gain * 0.5) AS score FROM s0 JOIN st ON st.src = s0.node GROUP BY ALL)")
+def graph_expand(spark, sf):
+    nodes = src.nodes(spark, sf)
+    seeds = nodes.filter("node_type = 'nation'").select(F.col("node").alias("origin"), "node", F.lit(1.0).alias("score"))
+    got = graph.expand(src.edges(spark, sf), nodes, seeds, 2)
+    return got.select("origin", "node", six(F.col("score")).alias("score"))
+
+
+@query("SELECT DISTINCT 'n' || n_nationkey AS origin, 's' || s_suppkey AS node FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def contradiction_ids(spark, sf):
+    seeds = src.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("origin"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return graph.contradicted_by(src.edges(spark, sf), seeds)
+
+
+SEAL_SQL = (
+    "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS block, o_orderkey AS id, sha256(o_orderpriority || '|' || o_orderstatus) AS hash, o_orderdate FROM orders)",
+    "sl AS (SELECT block, sha256(string_agg(id || ':' || hash, ',' ORDER BY id || ':' || hash)) AS content_hash, max(o_orderdate) AS sealed_at, count(*) AS members FROM m GROUP BY block)",
+)
+
+
+def _members(spark, sf):
+    o = src.table(spark, sf, "orders")
+    return o.select(F.date_format("o_orderdate", "yyyy-MM").alias("block"), F.col("o_orderkey").cast("string").alias("id"), F.sha2(F.concat_ws("|", "o_orderpriority", "o_orderstatus"), 256).alias("hash"), "o_orderdate")
+
+
+@query("SELECT block, content_hash, members, lag(content_hash) OVER (ORDER BY sealed_at, block) AS prev_hash FROM sl", *SEAL_SQL)
+def block_seal(spark, sf):
+    return graph.seal(_members(spark, sf), "block", "o_orderdate").select("block", "content_hash", "members", "prev_hash")
+
+
+@query("SELECT block, block NOT IN (SELECT block FROM m WHERE id % 1000 = 1) AS content_ok, true AS link_ok FROM sl", *SEAL_SQL)
+def chain_verify(spark, sf):
+    """Blocks of which one member's content was changed afterwards no longer match."""
+    m = _members(spark, sf)
+    changed = m.withColumn("hash", F.when(F.col("id").cast("long") % 1000 == 1, F.sha2("hash", 256)).otherwise(F.col("hash")))
+    return graph.verify(graph.seal(m, "block", "o_orderdate"), changed, "block", "o_orderdate").select("block", "content_ok", "link_ok")
+
+
+@query("SELECT block, id::VARCHAR AS id, CASE WHEN id % 500 = 2 THEN 'missing' ELSE 'corrupted' END AS change FROM m WHERE id % 500 IN (2, 3)", SEAL_SQL[0])
+def member_changes(spark, sf):
+    m = _members(spark, sf)
+    n = F.col("id").cast("long") % 500
+    return graph.member_changes(m, m.filter(n != 2).withColumn("hash", F.when(n == 3, F.lit("x")).otherwise(F.col("hash"))), "block")
+
+
+# Timelines, conversations, streams as batch.
+
+CLOCK_SQL = "ev AS (SELECT user_id AS subject, event_id, CASE WHEN event_id % 5 <> 0 THEN ts END AS declared, ts + to_minutes(event_id % 60) AS stored FROM events)"
+
+
+@query("SELECT subject, event_id, row_number() OVER (PARTITION BY subject ORDER BY bucket, declared NULLS LAST, stored, event_id) AS position FROM (SELECT *, CASE WHEN declared IS NOT NULL THEN 1 WHEN coalesce(stored >= max(CASE WHEN declared IS NOT NULL THEN stored END) OVER (PARTITION BY subject), true) THEN 2 ELSE 0 END AS bucket FROM ev)", CLOCK_SQL)
+def two_clock_timeline(spark, sf):
+    e = src.table(spark, sf, "events").select(F.col("user_id").alias("subject"), "event_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("declared"), F.timestamp_add("MINUTE", F.col("event_id") % 60, F.col("ts")).alias("stored"))
+    return timeline.two_clock(e, "subject", "declared", "stored", "event_id").select("subject", "event_id", "position")
+
+
+@query("SELECT event_id, k || ' of ' || m AS label FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, ts::DATE) AS m FROM events) WHERE m > 1")
+def same_day_labels(spark, sf):
+    return timeline.same_day(src.table(spark, sf, "events"), "user_id", "ts", "event_id").select("event_id", timeline.label(F.col("k"), F.col("m")).alias("label"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20")
+def timeline_newest(spark, sf):
+    return timeline.newest(src.table(spark, sf, "events"), "user_id", "ts", "event_id", 20).select("user_id", "event_id")
+
+
+@query("SELECT conv_id, turn, question, CASE WHEN nr = 'assistant' THEN nt END AS answer FROM (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'")
+def conversation_exchanges(spark, sf):
+    return timeline.exchanges(src.table(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 OR role = 'system'")
+def history_window(spark, sf):
+    return timeline.keep_last(src.table(spark, sf, "conversations"), 4).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) AS r FROM conversations) WHERE r = 1")
+def unseen_messages(spark, sf):
+    return timeline.unseen(src.table(spark, sf, "conversations")).select("conv_id", "turn")
+
+
+@query("SELECT user_id, s AS session, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 3600000000 THEN 1 ELSE 0 END AS g FROM events)) GROUP BY user_id, s")
+def event_sessions(spark, sf):
+    return timeline.sessions(src.table(spark, sf, "events"), 3600)
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf):
+    return timeline.tumbling(src.table(spark, sf, "events"), "1 hour")
