@@ -3,8 +3,8 @@
 Targets share the corpus by weight, no source above MOST_TIMES its size. A
 source's whole passes come off its target; the remaining budget is fitted on
 the histogram of its document lengths: every length gives its proportional
-share, and a bounded knapsack over the lengths' spare documents fills the
-rest. Documents of a length are then drawn in seeded order.
+share (less, where the rest could not be met), and a bounded knapsack over the
+lengths' spare documents fills the rest. Documents of a length are then drawn in seeded order.
 """
 
 from __future__ import annotations
@@ -87,9 +87,17 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = int(np.floor(target + 0.5))
         passes = min(whole // total, MOST_TIMES)
         budget = whole - passes * total if passes < MOST_TIMES else 0
-        take = n * budget // total if total < 2**31 and n.max() < 2**31 else np.array([int(k) * budget // total for k in n], np.int64)
-        budget -= int((take * size).sum())
-        take = take + subset_counts(size, n - take, budget)
+        # Every length gives its share, and the knapsack what is left; where too few documents are left to
+        # meet the budget, the shares make room for it.
+        gap = None
+        for share in (10, 9, 5, 0):
+            part = np.array([int(k) * budget * share // (total * 10) for k in n], np.int64)
+            got = part + subset_counts(size, n - part, budget - int((part * size).sum()))
+            left = budget - int((got * size).sum())
+            if gap is None or left < gap:
+                take, gap = got, left
+            if gap * 1000 <= budget:
+                break
     return pdf.assign(passes=np.int64(passes), extra=take)[["skey", "size", "passes", "extra", "n"]]
 
 

@@ -31,6 +31,8 @@ from memlake.llm.text import spread, word_codes
 
 ORDER = 5
 PART_BYTES, PART_DOCS, SHARD_BYTES, FAN_IN = 6 << 20, 50_000, 4 << 20, 64
+#: Bytes whose grams are made at once.
+BLOCK = 1 << 19
 ROWS = "kind string, part long, shard int, grp long, a binary, b binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, raw double, score double"
 
@@ -93,29 +95,39 @@ class Part:
         n, w = len(self.doc_ids), len(self.words)
         pieces = [x.encode("utf-8") + b" " for x in self.words] + [b"\n" * ORDER, b"\n"]  # before the text, and its end
         size = np.fromiter(map(len, pieces), np.int64, w + 2)
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        per_doc = np.diff(self.offsets) + 2
-        first = np.cumsum(per_doc) - per_doc
-        token = np.empty(int(per_doc.sum()), np.int64)
-        inner = np.ones(len(token), bool)
-        inner[first] = inner[first + per_doc - 1] = False
-        token[inner] = self.codes
-        token[first], token[first + per_doc - 1] = w, w + 1
-        sizes = size[token]
-        stream = flat[spread((np.cumsum(size) - size)[token], sizes)].astype(np.uint64)
-        doc_bytes = np.add.reduceat(sizes, first) if n else np.zeros(0, np.int64)
-        g = stream.copy()
-        for k in range(1, ORDER + 1):
-            g[k:] |= stream[:-k] << np.uint64(8 * k)
-        start = np.cumsum(doc_bytes) - doc_bytes
-        keep = np.ones(len(g), bool)
-        for k in range(ORDER):
-            keep[start + k] = False
-        key = (g << np.uint64(16)) | np.repeat(np.arange(n, dtype=np.uint64), doc_bytes)
-        key = np.sort(key[keep])
-        doc, key = (key & np.uint64(0xFFFF)).astype(np.int64), key >> np.uint64(16)
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        return key[begin], begin, doc
+        flat, place = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        inner = np.concatenate(([0], np.cumsum(size[self.codes])))[self.offsets]
+        keys = np.empty(int(inner[-1]) + n, np.uint64)  # a text's bytes and its end
+        doc = 0
+        while doc < n:  # so many documents at a time as hold about BLOCK bytes
+            last = max(doc + 1, int(np.searchsorted(inner, inner[doc] + BLOCK, "right")) - 1)
+            codes = self.codes[self.offsets[doc] : self.offsets[last]]
+            per_doc = np.diff(self.offsets[doc : last + 1]) + 2
+            first = np.cumsum(per_doc) - per_doc
+            token = np.empty(int(per_doc.sum()), np.int64)
+            middle = np.ones(len(token), bool)
+            middle[first] = middle[first + per_doc - 1] = False
+            token[middle] = codes
+            token[first], token[first + per_doc - 1] = w, w + 1
+            sizes = size[token]
+            stream = flat[spread(place[token], sizes)]
+            doc_bytes = np.add.reduceat(sizes, first)
+            g = stream.astype(np.uint64)
+            for k in range(1, ORDER + 1):
+                g[k:] |= stream[:-k].astype(np.uint64) << np.uint64(8 * k)
+            g <<= np.uint64(16)
+            g |= np.repeat(np.arange(doc, last, dtype=np.uint64), doc_bytes)
+            keep = np.ones(len(g), bool)
+            start = np.cumsum(doc_bytes) - doc_bytes
+            for k in range(ORDER):
+                keep[start + k] = False
+            keys[int(inner[doc]) + doc : int(inner[last]) + last] = g[keep]
+            doc = last
+        keys.sort()
+        of = keys.astype(np.uint16)
+        keys >>= np.uint64(16)
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        return keys[begin], begin, of
 
 
 def code_lengths(grams: np.ndarray, counts: np.ndarray, c1: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -288,8 +300,10 @@ def _score(shards: int, ends: int):
         grams, begin, of = p.grams()
         lp = np.zeros(len(grams))
         lp[np.argsort(shard_of(grams, shards), kind="stable")] = np.concatenate([unsqueeze(by["r"][s], np.float32) for s in sorted(by["r"])])
-        runs = np.diff(np.append(begin, len(of)))
-        score = np.bincount(of, np.repeat(lp, runs), n)
+        runs, score = np.diff(np.append(begin, len(of))), np.zeros(n)
+        for a in range(0, len(begin), BLOCK):
+            z = begin[a + BLOCK] if a + BLOCK < len(begin) else len(of)
+            score += np.bincount(of[begin[a] : z], np.repeat(lp[a : a + BLOCK], runs[a : a + BLOCK]), n)
         return pa.table({"doc_id": pa.array(p.doc_ids, pa.int64()), "held_out": pa.array(p.held), "n_tokens": np.diff(p.offsets) + 1, "n_known": known, "raw": raw, "score": score})
 
     return run
