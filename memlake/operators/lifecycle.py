@@ -94,8 +94,8 @@ def contradictions(rows: DataFrame, by: str, most_common: float = 0.4) -> DataFr
     rows = rows.select("id", F.col(by).alias("g"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("k"), F.arrays_overlap(words, F.array(*map(F.lit, NEGATIONS))).alias("neg"))
     rows = rows.filter(F.size("k") > 0)
     keys = F.slice("k", 1, F.greatest(F.size("k") - F.ceil(F.size("k") * most_common).cast("int") + 1, F.lit(1)))
-    small = rows.filter("neg").select(F.col("id").alias("a"), "g", F.col("k").alias("ka"), F.explode(keys).alias("w"))
+    small = rows.select(F.col("id").alias("a"), "g", F.col("k").alias("ka"), F.col("neg").alias("na"), F.explode(keys).alias("w"))
     every = rows.select(F.col("id").alias("b"), "g", F.col("k").alias("kb"), F.col("neg").alias("nb"), F.explode("k").alias("w"))
-    near = small.join(every, ["g", "w"]).filter("a <> b").dropDuplicates(["a", "b"])
+    near = small.join(every, ["g", "w"]).filter((F.col("a") != F.col("b")) & (F.col("na") | F.col("nb")) & (F.size("ka") <= F.size("kb"))).dropDuplicates(["a", "b"])
     shared = F.size(F.array_intersect("ka", "kb")) / F.least(F.size("ka"), F.size("kb"))
     return near.withColumn("overlap", shared).filter(F.col("overlap") >= most_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").distinct()
