@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.operators import lifecycle, similarity, text
-from memlake.plans.catalog import QUESTIONS_SQL, query, questions, six
+from memlake.operators import lifecycle, ordering, recall, similarity, text
+from memlake.plans.catalog import QUESTIONS_SQL, _reranked, query, questions, six
 from memlake.sources import tables as src
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -119,3 +119,42 @@ def briefing(spark, sf):
     top = src.fragments(spark, sf).withColumn("place", F.row_number().over(w)).filter("place <= 30")
     lines = top.select("agent_id", "place", (1 - F.col("importance")).alias("priority"), F.substring("content", 1, 160).alias("line"))
     return text.fit_budget(lines, "agent_id", "priority", "line", "place", 200)
+
+
+@query()
+def question_classes(spark, sf):
+    """Policy and signs of every user turn read as a question."""
+    turns = src.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    got = ordering.classified(turns).withColumn("asked", ordering.time_asked("query"))
+    return got.select("conv_id", "turn", "policy", "complexity", "depth", "asked")
+
+
+def _listed(spark, sf):
+    """The ten best memories of each question with their texts and times."""
+    top = recall.top_k(_reranked(spark, sf), 10)
+    return top.join(src.fragments(spark, sf).select("id", "content", "agent_id", F.col("created_at").alias("event_time")), "id")
+
+
+@query()
+def supersession_order(spark, sf):
+    rows = _listed(spark, sf).select("query_id", "id", "rank", "content", "event_time", F.lit("none").alias("asked"))
+    return ordering.by_supersession(rows).select("query_id", "id", "rank", "place", "state")
+
+
+@query()
+def temporal_band_order(spark, sf):
+    rows = ordering.shared_terms(_listed(spark, sf).withColumn("asked", F.lit("current")), "agent_id")
+    return ordering.temporal_band(rows).select("query_id", "id", "rank", "band", "place")
+
+
+@query()
+def rendered_results(spark, sf):
+    return ordering.render(_listed(spark, sf), "query_id", "rank", F.substring("content", 1, 120), 200)
+
+
+@query("SELECT id, round(least(1.0::DOUBLE, importance + CASE WHEN relevance >= 0.4 THEN 0.05 WHEN relevance IS NULL THEN 0 ELSE 0 END), 6) AS importance, access_count + CASE WHEN relevance IS NULL THEN 0 ELSE 1 END AS access_count FROM fragments LEFT JOIN (SELECT id, max(relevance) AS relevance FROM (SELECT id % 500 AS id, (id % 10) / 10.0::DOUBLE AS relevance FROM fragments) GROUP BY id) r USING (id)", src.FRAGMENTS_SQL)
+def reinforce_reads(spark, sf):
+    frags = src.fragments(spark, sf)
+    results = frags.select((F.col("id") % 500).alias("id"), (F.col("id") % 10 / 10).alias("relevance"))
+    got = ordering.reinforce(frags, results, 0.4, F.lit("2026-02-01").cast("timestamp"))
+    return got.select("id", six(F.col("importance")).alias("importance"), "access_count")
