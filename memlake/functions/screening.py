@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 # Shapes of secrets by kind, in the order they are looked for.
@@ -73,6 +74,31 @@ def redact(text: str, pii: bool = False) -> tuple[str, list[str]]:
     return text, sorted(set(kinds))
 
 
+SENSITIVE_KEY = re.compile(r"(?:^|[_\-. ])(?:password|passwd|pwd|secret|token|api_?key|private_?key|credential|authorization)s?(?:$|[_\-. ])", re.I)
+COUNTER_KEY = re.compile(r"(?:max|min|total|prompt|completion|input|output|num|n)[_\-. ]?tokens?|tokens?[_\-. ]?(?:count|used|limit|budget)", re.I)
+
+
+def redact_value(value, pii: bool = False):
+    """A JSON value with every text redacted and the values of sensitive keys masked whole; counters of tokens stay."""
+    if isinstance(value, str):
+        return redact(value, pii)[0]
+    if isinstance(value, list):
+        return [redact_value(v, pii) for v in value]
+    if isinstance(value, dict):
+        hide = lambda k: SENSITIVE_KEY.search(k) and not COUNTER_KEY.search(k)
+        return {k: "[REDACTED:secret]" if hide(str(k)) and v not in (None, "") else redact_value(v, pii) for k, v in value.items()}
+    return value
+
+
+def redact_json(payload: str, pii: bool = False) -> str:
+    """A JSON text redacted by structure; any other text as text."""
+    try:
+        value = json.loads(payload)
+    except ValueError:
+        return redact(payload, pii)[0]
+    return json.dumps(redact_value(value, pii), ensure_ascii=False)
+
+
 # Own patterns: what planted instructions do, by reason.
 _TO_RULES = r"(?:instructions?|prompts?|rules?|guidelines?|directives?)"
 SIGNS: list[tuple[str, re.Pattern]] = [

@@ -115,8 +115,30 @@ def token_estimate(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
+# Hiragana, Katakana, Han (with extension A and compatibility) and Hangul.
+CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af\u1100-\u11ff\u3130-\u318f"
+_PART = re.compile(rf"[{CJK}]+|[^\W{CJK}]+|[^\w\s]")
+_IN_CJK = re.compile(rf"[{CJK}]")
+
+
+def is_symbol(char: str) -> bool:
+    """A symbol beyond ASCII (emoji, currency, arrows), but no skin tone or selector."""
+    return char > "\x7f" and unicodedata.category(char)[0] == "S" and not "\U0001f3fb" <= char <= "\U0001f3ff"
+
+
+def segment(text: str) -> list[str]:
+    """Words; runs of CJK letters as overlapping pairs (one letter alone as it is); symbols as words."""
+    out: list[str] = []
+    for part in _PART.findall(text):
+        if _IN_CJK.match(part):
+            out += [part[i : i + 2] for i in range(len(part) - 1)] or [part]
+        elif part[0].isalnum() or part[0] == "_" or is_symbol(part):
+            out.append(part)
+    return out
+
+
 def _features(text: str) -> Counter:
-    words = WORD.findall(re.sub(r"(\w)['’]s\b", r"\1", text.lower()))
+    words = segment(re.sub(r"(\w)['’]s\b", r"\1", text.lower()))
     topic = [w for w in words if w not in STOP] or words
     grams = Counter(("w", w) for w in topic)
     grams.update(("b", f"{a} {b}") for a, b in zip(topic, topic[1:], strict=False))

@@ -62,3 +62,19 @@ def multi(events: DataFrame) -> DataFrame:
     ends = F.min(F.when(F.col("op") == "remove", F.col("valid_from"))).over(w)
     before = F.lag("op").over(Window.partitionBy(*KEY, "value").orderBy("valid_from", "seq"))
     return events.withColumn("valid_to", ends).withColumn("__b", before).filter((F.col("op") == "add") & (F.col("__b").isNull() | (F.col("__b") == "remove"))).drop("__b")
+
+
+def matching(queries: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, subject, attribute, value): facts whose subject a query names, those whose attribute it also names first,
+    a few for each subject. Subjects meet queries by an equi-join on their first word and are then compared whole."""
+    from memlake.functions import questions, words
+    from memlake.functions.arrow import over
+
+    asked = queries.select("query_id", over(questions.normal, "string", "query").alias("__q"))
+    asked = asked.withColumn("__w", F.explode(F.array_distinct(F.split("__q", " "))))
+    rows = known.withColumn("__s", over(lambda s: questions.normal(words.fact_key(s)), "string", F.col("subject").cast("string")))
+    rows = rows.withColumn("__w", F.element_at(F.split("__s", " "), 1))
+    inside = lambda part: F.contains(F.concat(F.lit(" "), F.col("__q"), F.lit(" ")), F.concat(F.lit(" "), part, F.lit(" ")))
+    met = rows.join(F.broadcast(asked), "__w").filter(inside(F.col("__s"))).withColumn("__a", inside(F.lower("attribute")))
+    w = Window.partitionBy("query_id", "__s").orderBy(F.col("__a").desc(), "attribute", "value")
+    return met.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("query_id", "subject", "attribute", "value")

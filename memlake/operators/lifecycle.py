@@ -99,3 +99,18 @@ def contradictions(rows: DataFrame, by: str, most_common: float = 0.4) -> DataFr
     near = small.join(every, ["g", "w"]).filter((F.col("a") != F.col("b")) & (F.col("na") | F.col("nb")) & (F.size("ka") <= F.size("kb"))).dropDuplicates(["a", "b"])
     shared = F.size(F.array_intersect("ka", "kb")) / F.least(F.size("ka"), F.size("kb"))
     return near.withColumn("overlap", shared).filter(F.col("overlap") >= most_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").distinct()
+
+
+def closed_todos(todos: DataFrame, others: DataFrame, by: str, least: float = 0.6) -> DataFrame:
+    """(todo, closer): later memories of the group that hold at least 0.6 of a todo's words.
+
+    A closer holds one of the first n - ceil(0.6 n) + 1 of the todo's n words in any
+    fixed order, so both meet on those words only.
+    """
+    keys = lambda c: F.array_sort(F.transform(F.array_distinct(tokens(F.col(c))), lambda w: F.xxhash64(w)))
+    t = todos.select(F.col("id").alias("todo"), F.col(by).alias("g"), F.col("created_at").alias("__t"), keys("content").alias("kt")).filter(F.size("kt") > 0)
+    first = F.slice("kt", 1, (F.size("kt") - F.ceil(F.size("kt") * least) + 1).cast("int"))
+    o = others.select(F.col("id").alias("closer"), F.col(by).alias("g"), F.col("created_at").alias("__o"), keys("content").alias("ko"))
+    met = t.withColumn("w", F.explode(first)).join(o.withColumn("w", F.explode("ko")), ["g", "w"]).filter((F.col("__o") > F.col("__t")) & (F.col("todo") != F.col("closer")))
+    share = F.size(F.array_intersect("kt", "ko")) / F.size("kt")
+    return met.dropDuplicates(["todo", "closer"]).filter(share >= least).select("todo", "closer")

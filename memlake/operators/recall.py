@@ -127,3 +127,34 @@ def gap(ranked: DataFrame, queries: DataFrame, policy: str = "balanced") -> Data
     best = ranked.groupBy("query_id").agg(F.max("relevance").alias("best"))
     level = F.when(F.col("best").isNull(), "critical").when(F.col("best") < 0.75 * t, "high").when(F.col("best") < t, "medium").otherwise("none")
     return queries.select("query_id").join(best, "query_id", "left").withColumn("severity", level)
+
+
+def running_floor(ranked: DataFrame, score: str = "score") -> DataFrame:
+    """score made non-increasing down the list: each row shows at most what the rows above it do."""
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn(score, F.min(score).over(w))
+
+
+def in_dates(candidates: DataFrame, reference: str, outside: float = 0.7) -> DataFrame:
+    """seed times 0.7 for rows outside the days that the query names; a query without dates changes nothing.
+
+    candidates hold query, seed, event_time. adds window_gap: whether no row of the query lies inside.
+    """
+    from memlake.operators.text import find_dates
+
+    day = F.to_date("event_time")
+    rows = candidates.withColumn("__d", find_dates("query", reference))
+    hit = F.exists("__d", lambda d: (d["start"] <= day) & (day <= d["end"]))
+    dated = F.size("__d") > 0
+    rows = rows.withColumn("seed", F.when(dated & ~F.coalesce(hit, F.lit(False)), F.col("seed") * outside).otherwise(F.col("seed")))
+    gap = F.max((~dated | F.coalesce(hit, F.lit(False))).cast("int")).over(Window.partitionBy("query_id")) == 0
+    return rows.withColumn("window_gap", gap).drop("__d")
+
+
+def of_kind(candidates: DataFrame, off_kind: float = 0.5) -> DataFrame:
+    """seed halved for rows that are not of the kind (or not open) that the query asks to list. candidates hold query, seed, tags."""
+    from memlake.operators.ordering import kind_asked
+
+    rows = candidates.withColumn("__k", kind_asked("query"))
+    good = F.array_contains("tags", F.concat(F.lit("kind:"), F.col("__k.kind"))) & (~F.col("__k.only_open") | ~F.arrays_overlap("tags", F.array(F.lit("resolved"), F.lit("superseded"))))
+    return rows.withColumn("seed", F.when(F.col("__k").isNotNull() & ~F.coalesce(good, F.lit(False)), F.col("seed") * off_kind).otherwise(F.col("seed"))).drop("__k")

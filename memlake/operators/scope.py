@@ -68,6 +68,23 @@ def kind(tags: Column) -> Column:
     return F.substring(F.try_element_at(found, F.lit(1)), 6, 100)
 
 
+# Labels at the start of a memory, and the kinds they name.
+LABELS = {"todo": "todo", "task": "todo", "bug": "bug", "issue": "bug", "fix": "fix", "fixed": "fix", "decision": "decision", "decided": "decision", "note": "note", "preference": "preference"}
+STAMP = r"^\s*(?:\[(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)\]\s*)?"
+
+
+def labelled_kind(content: Column) -> Column:
+    """The kind that a leading label names, after an optional date stamp; or null."""
+    label = F.lower(F.regexp_extract(content, STAMP + r"([A-Za-z]+)\s*:", 2))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), label)
+
+
+def event_time(content: Column, declared: Column, stored: Column) -> Column:
+    """When a memory's event was: as declared, else by its leading stamp, else when it was stored."""
+    stamp = F.nullif(F.regexp_extract(content, STAMP, 1), F.lit(""))
+    return F.coalesce(declared, F.try_to_timestamp(stamp), stored)
+
+
 def page(fragments: DataFrame, offset: int, limit: int) -> DataFrame:
     return fragments.orderBy(F.col("importance").desc(), F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
 
