@@ -68,3 +68,63 @@ def facts(text: str) -> list[tuple[str, str, str]]:
             for rule, attribute in RULES:
                 out += [_row(m["s"], attribute, m["v"]) for m in rule.finditer(sentence)]
     return list(dict.fromkeys(r for r in out if r))
+
+
+# Own rules for what a user says of themselves, and for what holds no more or held before.
+SELF: list[tuple[re.Pattern, str]] = [
+    (re.compile(p, re.I), a)
+    for p, a in [
+        (rf"\bI (?:live|am based|'m based) in {V}{END}", "location"),
+        (rf"\bI (?:work|am working|'m working) (?:at|for) {V}{END}", "employer"),
+        (rf"\bI(?: am|'m) allergic to {V}{END}", "allergy"),
+        (rf"\bI (?:like|love|prefer|enjoy) {V}{END}", "likes"),
+        (rf"\bI (?:dislike|hate|can't stand) {V}{END}", "dislikes"),
+        (rf"\bI (?:use|am using|'m using) {V}{END}", "uses"),
+        (rf"\bmy name is {V}{END}", "name"),
+    ]
+]
+MINE = re.compile(rf"\b[Mm]y (?P<a>[a-z]+(?: [a-z]+)?) is (?:now )?{V}{END}")
+OPPOSITE = {"likes": "dislikes", "dislikes": "likes"}
+STOPPED: list[tuple[re.Pattern, str, str]] = [
+    (re.compile(p), op, a)
+    for p, op, a in [
+        (rf"\b{S} (?:no longer|doesn't|does not) uses? {V}(?: any ?more)?{END}", "retract", "uses"),
+        (rf"\b{S} stopped using {V}{END}", "retract", "uses"),
+        (rf"\b{S} is no longer owned by {V}{END}", "retract", "owner"),
+        (rf"\b{S} used to (?:be owned by|belong to) {V}{END}", "previous", "owner"),
+        (rf"\b{S} used to (?:use|run on) {V}{END}", "previous", "uses"),
+        (rf"\b{S} (?:moved|switched|migrated) from {V} to\b", "previous", "uses"),
+    ]
+]
+STOPPED_SELF: list[tuple[re.Pattern, str, str]] = [
+    (re.compile(p, re.I), op, a)
+    for p, op, a in [
+        (rf"\bI (?:no longer|don't) live in {V}(?: any ?more)?{END}", "retract", "location"),
+        (rf"\bI used to live in {V}{END}", "previous", "location"),
+        (rf"\bI (?:no longer|don't) work (?:at|for) {V}(?: any ?more)?{END}", "retract", "employer"),
+        (rf"\bI used to work (?:at|for) {V}{END}", "previous", "employer"),
+    ]
+]
+
+
+def statements(text: str) -> list[tuple[str, str, str, str]]:
+    """(op, subject, attribute, value): add for what holds, retract for what holds no more, previous for what held before.
+    First persons are the subject user; liking what was disliked retracts the dislike."""
+    out = [("add", *r) for r in facts(text)]
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
+        for rule, op, a in STOPPED:
+            out += [(op, *r) for m in rule.finditer(sentence) if (r := _row(m["s"], a, m["v"]))]
+        for rule, op, a in STOPPED_SELF:
+            out += [(op, *r) for m in rule.finditer(sentence) if (r := _row("user", a, m["v"]))]
+        if NEGATED.search(sentence):
+            continue
+        for rule, a in SELF:
+            for m in rule.finditer(sentence):
+                if r := _row("user", a, m["v"]):
+                    out.append(("add", *r))
+                    if a in OPPOSITE:
+                        out.append(("retract", r[0], OPPOSITE[a], r[2]))
+        for m in MINE.finditer(sentence):
+            if m["a"] != "name" and (r := _row("user", m["a"], m["v"])):
+                out.append(("add", *r))
+    return list(dict.fromkeys(out))

@@ -56,6 +56,18 @@ def correct(events: DataFrame) -> DataFrame:
     return events.withColumn("__r", F.row_number().over(same)).filter("__r = 1").drop("__r")
 
 
+def from_statements(rows: DataFrame) -> DataFrame:
+    """Fact events from statements (op, subject, attribute, value, at, seq): what held before stands one microsecond
+    ahead of the statement that says so, and what holds no more ends there as a null value."""
+    before = F.timestamp_micros(F.unix_micros("at") - 1)
+    start = F.when(F.col("op") == "previous", before).otherwise(F.col("at"))
+    value = F.when(F.col("op") != "retract", F.col("value"))
+    events = rows.select("subject", "attribute", value.alias("value"), start.alias("valid_from"), F.col("at").alias("recorded_at"), "seq", F.col("op"), F.col("value").alias("__was"))
+    # A retraction counts only where the retracted value is the one that holds.
+    held = F.last(F.when(F.col("op") != "retract", F.col("value")), ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("valid_from", "recorded_at", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("__h", held).filter((F.col("op") != "retract") | (F.lower("__h") == F.lower("__was"))).drop("__h", "__was", "op")
+
+
 def multi(events: DataFrame) -> DataFrame:
     """Many-valued facts from op = add or remove: an added value is open until the next removal of that value."""
     w = Window.partitionBy(*KEY, "value").orderBy("valid_from", "seq").rowsBetween(1, Window.unboundedFollowing)

@@ -63,6 +63,13 @@ def stated_facts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(made).alias("f")).select("id", "f.*")
 
 
+def statements(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row for each statement, with its op: add, retract or previous."""
+    run = lambda t: [{"op": o, "subject": s, "attribute": a, "value": v} for o, s, a, v in extract.statements(t)]
+    made = over(run, "array<struct<op:string,subject:string,attribute:string,value:string>>", F.col(text))
+    return docs.select(F.col(id_col).alias("id"), F.explode(made).alias("f")).select("id", "f.*")
+
+
 def write_policy(rows: DataFrame, text: str, pii: bool = False) -> DataFrame:
     """Redacts, then screens: adds kinds, reasons and accepted (false sends the row to quarantine)."""
     cleaned = rows.withColumn("__r", redact(text, pii)).withColumn(text, F.col("__r.text")).withColumn("kinds", F.col("__r.kinds")).drop("__r")

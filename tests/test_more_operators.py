@@ -2,8 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from memlake.functions import screening, words
-from memlake.operators import facts, lifecycle, recall, scope
+from memlake.functions import extract, screening, words
+from memlake.operators import facts, lifecycle, recall, scope, text
 
 
 def test_segments():
@@ -48,3 +48,17 @@ def test_dates_kinds_and_floor_shape_the_list(spark):
     assert got == {(1, 1): (0.8, False), (1, 2): (0.7, False), (2, 1): (1.0, False), (2, 2): (0.8, False), (3, 1): (0.7, True)}
     assert {(r.query_id, r["rank"]): r.seed for r in recall.of_kind(rows).collect()}[2, 1] == 0.5
     assert [r.seed for r in recall.running_floor(rows, "seed").orderBy("query_id", "rank").collect()] == [0.8, 0.8, 1.0, 0.8, 1.0]
+
+
+def test_statements_of_users_and_of_the_past():
+    got = extract.statements("I live in Lisbon. I used to work at Acme. My favourite colour is blue. I like tea.")
+    assert {("add", "user", "location", "Lisbon"), ("previous", "user", "employer", "Acme"), ("add", "user", "favourite colour", "blue"), ("add", "user", "likes", "tea"), ("retract", "user", "dislikes", "tea")} <= set(got)
+    assert ("retract", "billing", "uses", "MySQL") in extract.statements("Billing no longer uses MySQL.")
+    assert {("previous", "billing", "uses", "MySQL"), ("add", "billing", "uses", "Postgres")} <= set(extract.statements("Billing switched from MySQL to Postgres."))
+
+
+def test_statements_become_a_chain(spark):
+    rows = spark.createDataFrame([(1, "Billing switched from MySQL to Postgres.", "2026-01-02"), (2, "Billing no longer uses Postgres.", "2026-01-05"), (3, "Billing no longer uses Oracle.", "2026-01-06")], "id long, content string, t string")
+    said = text.statements(rows, "id", "content").join(rows.select("id", F.col("t").cast("timestamp").alias("at")), "id").withColumn("seq", F.col("id"))
+    got = [(r.value, str(r.valid_to)[:10]) for r in facts.chain(facts.from_statements(said)).orderBy("valid_from").collect()]
+    assert got == [("MySQL", "2026-01-02"), ("Postgres", "2026-01-05"), (None, "None")]
