@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.operators import lifecycle, ordering, recall, similarity, text
+from memlake.operators import brief, lifecycle, ordering, recall, similarity, text
 from memlake.plans.catalog import QUESTIONS_SQL, _reranked, query, questions, six
 from memlake.sources import tables as src
 
@@ -158,3 +158,11 @@ def reinforce_reads(spark, sf):
     results = frags.select((F.col("id") % 500).alias("id"), (F.col("id") % 10 / 10).alias("relevance"))
     got = ordering.reinforce(frags, results, 0.4, F.lit("2026-02-01").cast("timestamp"))
     return got.select("id", six(F.col("importance")).alias("importance"), "access_count")
+
+
+@query()
+def session_briefings(spark, sf):
+    """Every agent's current facts and open memories in 300 tokens; a user's facts belong to one of twenty agents."""
+    agent = F.concat(F.lit("src"), (F.col("subject") % 20).cast("string"))
+    rows = brief.lines(src.fragments(spark, sf), src.fact_events(spark, sf), agent, F.lit("2030-01-01").cast("timestamp"))
+    return brief.briefing(rows, 300)

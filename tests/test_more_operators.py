@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from memlake.functions import extract, screening, words
-from memlake.operators import facts, lifecycle, recall, scope, text
+from memlake.operators import brief, facts, lifecycle, recall, scope, text
 
 
 def test_segments():
@@ -62,3 +62,14 @@ def test_statements_become_a_chain(spark):
     said = text.statements(rows, "id", "content").join(rows.select("id", F.col("t").cast("timestamp").alias("at")), "id").withColumn("seq", F.col("id"))
     got = [(r.value, str(r.valid_to)[:10]) for r in facts.chain(facts.from_statements(said)).orderBy("valid_from").collect()]
     assert got == [("MySQL", "2026-01-02"), ("Postgres", "2026-01-05"), (None, "None")]
+
+
+def test_briefings_fill_sections_in_order_and_fit(spark):
+    frags = spark.createDataFrame([(i, "a", f"TODO: thing {i}", ["open"], f"2026-01-{i:02d}") for i in range(1, 10)] + [(50, "a", "Decision: go", ["kind:decision", "resolved"], "2026-01-01"), (51, "b", "note", ["kind:note"], "2026-01-01")], "id long, agent_id string, content string, tags array<string>, t string")
+    frags = frags.withColumn("created_at", F.col("t").cast("timestamp"))
+    events = spark.createDataFrame([("svc", "port", "80", "2026-01-01", 1), ("svc", "port", "81", "2026-01-02", 2)], "subject string, attribute string, value string, t string, seq long")
+    events = events.withColumn("valid_from", F.col("t").cast("timestamp")).withColumn("recorded_at", F.col("valid_from"))
+    rows = brief.lines(frags, events, F.lit("a"), F.lit("2026-06-01").cast("timestamp"))
+    assert rows.groupBy("section").count().orderBy("section").collect() == [("fact", 1), ("todo", 6)]
+    got = brief.briefing(rows, 24).collect()
+    assert [r.agent_id for r in got] == ["a"] and got[0].text.split("\n")[:2] == ["svc port is 81", "- TODO: thing 9"] and len(got[0].text) <= 24 * 4
