@@ -98,6 +98,10 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
                 take, gap = got, left
             if gap * 1000 <= budget:
                 break
+        else:  # what is left out may come nearer to its own budget, and so a little over this one
+            leave = subset_counts(size, n, total - budget)
+            if total - int((leave * size).sum()) - budget < gap:
+                take = n - leave
     return pdf.assign(passes=np.int64(passes), extra=take)[["skey", "size", "passes", "extra", "n"]]
 
 

@@ -68,5 +68,13 @@ def test_subset_counts_is_best(spark):
         assert (near <= spare).all() and int((near * n).sum()) <= budget
 
 
+def test_a_little_over_is_nearer_than_far_below(spark, tables):
+    data = [(i, "w " * n, "en", s, 1, 0.0) for i, (n, s) in enumerate([(100, "a"), (90, "a"), (80, "a"), (269, "b"), (270, "b")])]
+    got = op5_mixing(spark, tables(documents=(data, DOCS))).collect()
+    target = {r.source_size: r.target for r in got}
+    taken = {k: sum(r.taken for r in got if r.source_size == k) for k in target}
+    assert target[270] == 809 / 3 and taken[270] == 270 and abs(taken[539] - target[539]) <= 270
+
+
 def test_empty(spark, tables):
     assert op5_mixing(spark, tables(documents=([], DOCS))).collect() == []
