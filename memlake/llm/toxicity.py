@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import cut, seeded_unit, table
+from memlake.llm.common import seeded_unit, table
+from memlake.llm.text import tidy
 
 ORDER, DISCOUNT = 9, 0.75
 #: Longer runs of letters are spelled in pieces of this length; nothing is left out.
@@ -35,7 +36,11 @@ WORD = re.compile(rf"\w{{1,{PIECE}}}")
 SAMPLE_ROWS, SEED = 2000, 7
 THRESHOLD = 0.7
 #: Words whose scores a worker remembers between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Documents split into words at once.
+SLICE = 400
+#: Words spelled at once.
+CHUNK = 20_000
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,12 +104,15 @@ class KneserNey:
             return self
         least = min(toxic.sum(), ordinary.sum())
         weight = np.stack([toxic * (least / toxic.sum()), ordinary * (least / ordinary.sum())])
-        marks, size = spell(words)
-        marks = marks[:, : int(size.max())]
-        row, col = np.nonzero(np.arange(1, marks.shape[1])[None, :] < size[:, None])
-        col = col + 1  # the start mark itself is given
-        prefix = prefixes(marks)
-        key, ctx = prefix[row, col], prefix[row, col - 1]
+        parts = []
+        for at in range(0, len(words), CHUNK):
+            marks, size = spell(words[at : at + CHUNK])
+            row, col = np.nonzero(np.arange(1, marks.shape[1])[None, :] < size[:, None])
+            col += 1  # the start mark itself is given
+            prefix = prefixes(marks)
+            parts.append((prefix[row, col], prefix[row, col - 1], (row + at).astype(np.int32), col.astype(np.int8)))
+        key, ctx, row, col = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         self.keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         n = np.stack([np.bincount(inverse, weight[c][row], len(self.keys)) for c in (0, 1)])
         own_ctx = ctx[first]
@@ -112,33 +120,41 @@ class KneserNey:
         total = np.stack([np.bincount(of_ctx, n[c], len(self.ctx)) for c in (0, 1)])
         taken = np.stack([np.bincount(of_ctx, np.minimum(n[c], self.discount), len(self.ctx)) for c in (0, 1)])
         left = np.where(total > 0, taken / np.maximum(total, 1e-300), 1.0)  # mass that goes to the shared model
-        shared = self._shared(marks, row[first], col[first])
+        shared = self._shared(words, row[first], col[first])
         p = np.where(total[:, of_ctx] > 0, np.maximum(n - self.discount, 0) / np.maximum(total[:, of_ctx], 1e-300), 0) + left[:, of_ctx] * shared
         self.value = np.log(p[0] / p[1]).astype(np.float32)
         self.ctx_value = np.log(left[0] / left[1]).astype(np.float32)
         return self
 
-    def _shared(self, marks: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-        """Interpolated Kneser-Ney over all distinct grams, whichever class they come from."""
-        letters = max(len(np.unique(marks)), 2)
-        p = np.full(len(row), 1.0 / letters)
-        ctx = np.zeros(len(row), np.uint64)  # of the single marks
-        own = ctx_next = wide = None
-        for h in all_grams(marks, self.order + 1):
-            own, wide, ctx_next_own = wide, h[row, col], h[row, col - 1]
-            if own is None:
-                ctx_next = ctx_next_own
-                continue
-            _, one = np.unique(wide, return_index=True)  # distinct left extensions of each gram
-            g, cont = np.unique(own[one], return_counts=True)
-            at = np.searchsorted(g, own)
+    def _shared(self, words: list[str], row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Interpolated Kneser-Ney over all distinct grams, whichever class they come from, at the
+        given places of the words."""
+        last = np.zeros((self.order + 1, len(row)), np.uint64)  # hashes of the last 1, 2, ... marks up to each place
+        before = np.zeros((self.order, len(row)), np.uint64)  # and up to the one before
+        by_row = np.argsort(row, kind="stable")
+        bound = np.searchsorted(row[by_row], np.arange(0, len(words) + CHUNK, CHUNK))
+        letters: set[int] = set()
+        for n, at in enumerate(range(0, len(words), CHUNK)):
+            own = by_row[bound[n] : bound[n + 1]]
+            marks, _ = spell(words[at : at + CHUNK])
+            letters.update(np.unique(marks).tolist())
+            i, j = row[own] - at, col[own].astype(np.int64)
+            for k, h in enumerate(all_grams(marks, self.order + 1)):
+                last[k, own] = h[i, j]
+                if k < self.order:
+                    before[k, own] = h[i, j - 1]
+        p = np.full(len(row), 1.0 / max(len(letters), 2))
+        for k in range(self.order):
+            _, one = np.unique(last[k + 1], return_index=True)  # distinct left extensions of each gram
+            g, cont = np.unique(last[k][one], return_counts=True)
+            at = np.searchsorted(g, last[k])
             lead = np.zeros(len(g), np.uint64)
-            lead[at] = ctx
+            if k:
+                lead[at] = before[k - 1]
             c, of = np.unique(lead, return_inverse=True)
             total, kinds = np.bincount(of, cont, len(c)), np.bincount(of, minlength=len(c))
             i = of[at]
             p = (np.maximum(cont[at] - self.discount, 0) + self.discount * kinds[i] * p) / total[i]
-            ctx, ctx_next = ctx_next, ctx_next_own
         return p
 
     def ratios(self, words: list[str]) -> np.ndarray:
@@ -162,13 +178,18 @@ class KneserNey:
 def evidence(texts: list[str | None], ratio: dict[str, float], model: KneserNey) -> np.ndarray:
     """Two features a document: the mean log-likelihood ratio of its words, and that of the
     words that speak clearly (more than 2 nats) for the toxic class."""
+    parts = [_evidence(texts[i : i + SLICE], ratio, model) for i in range(0, len(texts), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, 2))
+
+
+def _evidence(texts: list[str | None], ratio: dict[str, float], model: KneserNey) -> np.ndarray:
     split = [words_of(t) for t in texts]
     new = list(set().union(*split).difference(ratio)) if split else []
     if len(ratio) + len(new) > CACHE_WORDS:
         ratio.clear()
         new = list(set().union(*split))
-    for i in range(0, len(new), 50_000):
-        ratio.update(zip(new[i : i + 50_000], model.ratios(new[i : i + 50_000]).tolist(), strict=True))
+    for i in range(0, len(new), CHUNK):
+        ratio.update(zip(new[i : i + CHUNK], model.ratios(new[i : i + CHUNK]).tolist(), strict=True))
     out = np.zeros((len(texts), 2))
     for i, words in enumerate(split):
         if words:
@@ -203,9 +224,10 @@ def score_of(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def count_words(texts: list[str | None], toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The documents of each class that hold a word: one that repeats it says no more."""
     both = (Counter(), Counter())
     for t, y in zip(texts, toxic, strict=True):
-        both[0 if y else 1].update(words_of(t))
+        both[0 if y else 1].update(set(words_of(t)))
     words = sorted(set(both[0]) | set(both[1]))
     return words, *(np.array([c[w] for w in words], float) for c in both)
 
@@ -226,6 +248,7 @@ def train(texts: list[str | None], toxic: np.ndarray, part: np.ndarray, parts: i
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id")
     model = train(pdf["text"].to_list(), pdf["toxic"].to_numpy() == 1, pdf["part"].to_numpy())
+    tidy()
     return pd.DataFrame({"model": [pickle.dumps(model, 5)]})
 
 
@@ -264,8 +287,11 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
         kn, w = pickle.loads(shared.value)
         ratio: dict[str, float] = {}
         for b in batches:
-            got = score_of(evidence(b.column("text").to_pylist(), ratio, kn), w)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*fields, "score"])
+            for s in range(0, len(b), SLICE):
+                part = b.slice(s, SLICE)
+                got = score_of(evidence(part.column("text").to_pylist(), ratio, kn), w)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*fields, "score"])
+            tidy()
 
     return docs.mapInArrow(run, schema)
 
