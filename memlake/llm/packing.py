@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import table
-from memlake.llm.text import spread, word_codes
+from memlake.llm.text import spread, tidy, word_codes
 
 WINDOW, TIERS, END = 4096, (512, 1024, 2048, 4096), 2
 VOCABULARY = "word_bpe_49k.json"
 GROUP_DOCS, STEP_WINDOWS = 1024, 16
 #: Words a worker remembers between batches; beyond, it starts anew.
-CACHE_WORDS = 600_000
-BATCH_DOCS = 2000
+CACHE_WORDS = 200_000
+BATCH_DOCS = 1000
 TOKENS = "doc_id long, doc_tokens long, whole array<long>, rest binary, base long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, seq long, offset long, tier int, step long"
 
@@ -131,6 +131,7 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
                 cols = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "doc_tokens", "whole", "rest", "base"])
+            tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 

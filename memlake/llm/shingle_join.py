@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import connected_components, cut, merge_components, table
-from memlake.llm.text import word_codes
+from memlake.llm.text import tidy, word_codes
 
 WORDS, NUM, DEN = 4, 85, 100
 BITS = 1024
@@ -38,7 +38,7 @@ EXTRA = 20
 CELL_DOCS, HOT_KEY, CROWD = 512, 512, 64
 #: Shingles that at least one document in so many holds count as common and come last in the order.
 COMMON_SHARE = 500
-BATCH_DOCS = 2000
+BATCH_DOCS = 500
 #: Ids of documents still in play are broadcast up to this number of them; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -154,6 +154,7 @@ def _common(words: int):
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 on = n >= max(3, len(texts) // COMMON_SHARE)
                 yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(n[on])], names=["h", "n"])
+            tidy()
 
     return run
 
@@ -183,6 +184,7 @@ def _describe(words: int, num: int, den: int, common: np.ndarray):
                 offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), flat, pa.array(bits, pa.binary())], names=["doc_id", "n", "digest", "keys", "bits"])
+            tidy()
 
     return run
 
@@ -194,6 +196,7 @@ def _sets(words: int):
                 part = b.slice(s, BATCH_DOCS)
                 got = [h.tobytes() for h in shingle_sets(part.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lo"), part.column("hi"), pa.array(got, pa.binary())], names=["doc_id", "lo", "hi", "h"])
+            tidy()
 
     return run
 
