@@ -144,7 +144,8 @@ class SignatureTree:
 
 
 def _common(words: int):
-    """Shingles frequent in a batch, with their documents there: whatever is common in all is common in some batch."""
+    """Shingles that three documents of a batch hold, with their number there. They decide an order only: the
+    result does not depend on which are found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
