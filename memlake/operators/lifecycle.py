@@ -61,19 +61,24 @@ def exact_duplicates(rows: DataFrame, text: str, order: list[Column]) -> DataFra
     return rows.join(first, "__h").withColumn("kept", F.struct(*order) == F.col("__first")).drop("__h", "__first")
 
 
-def revision_tail(links: DataFrame, rounds: int = 20) -> DataFrame:
+def revision_tail(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, tail): the newest revision of each memory of links (id, superseded_by), by pointer doubling.
 
-    A cycle never reaches a tail; its members come back with null.
+    A cycle never reaches a tail; its members come back with null. Only when the
+    doubled distance exceeds the number of links is what still moves a cycle; if
+    rounds ends before that, it is an error and no guess.
     """
     state = links.select("id", F.col("superseded_by").alias("tail"))
-    for _ in range(rounds):
+    needed = links.count().bit_length()
+    for _ in range(needed if rounds is None else min(rounds, needed)):
         step = state.select(F.col("id").alias("tail"), F.col("tail").alias("__next"))
         state = state.join(step, "tail", "left").select("id", F.coalesce("__next", "tail").alias("tail"), F.col("__next").isNotNull().alias("__moved"))
         state = state.checkpoint()
         if state.filter("__moved").isEmpty():
             return state.drop("__moved")
         state = state.drop("__moved")
+    if rounds is not None and rounds < needed:
+        raise ValueError(f"{rounds} rounds do not tell long chains from cycles; {needed} do")
     inside = state.select(F.col("id").alias("tail")).distinct().withColumn("__c", F.lit(True))
     return state.join(inside, "tail", "left").select("id", F.when(F.col("__c").isNull(), F.col("tail")).alias("tail"))
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import facts, graph, lifecycle, similarity, text
@@ -32,6 +33,14 @@ def test_revision_tails_and_cycles(spark):
     assert got == {1: 4, 2: 4, 3: 4, 10: 11, 20: None, 21: None}
 
 
+def test_too_few_rounds_are_no_cycle(spark):
+    ensure_checkpoint_dir(spark)
+    links = spark.range(20).select("id", (F.col("id") + 1).alias("superseded_by"))
+    with pytest.raises(ValueError):
+        lifecycle.revision_tail(links, rounds=2)
+    assert {r.tail for r in lifecycle.revision_tail(links).collect()} == {20}
+
+
 def test_contradictions_against_all_pairs(spark):
     rng = random.Random(4)
     vocab = ["server", "uses", "postgres", "never", "port", "cache", "not", "large", "no", "disk", "api"]
