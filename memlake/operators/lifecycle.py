@@ -88,22 +88,25 @@ NEGATIONS = ("not", "never", "without", "cannot", "stopped")
 
 
 def contradictions(rows: DataFrame, by: str, most_common: float = 0.4) -> DataFrame:
-    """Pairs of a group's memories that share at least 0.4 of the smaller set of keywords (three letters or more),
-    one of which negates.
+    """(g, a, b, overlap): pairs of a group's memories that share at least 0.4 of the smaller set of keywords (three
+    letters or more), one of which negates. Ids name a memory within its group only; of repeated ids the best overlap counts.
 
     A pair must share one of the first n - ceil(0.4 n) + 1 keywords of its smaller
     set in alphabetical order of their hashes, so only rows with a common keyword
-    meet, never all pairs of a group.
+    meet, never all pairs of a group. They meet without their sets, which follow for the pairs that met.
     """
     words = F.array_distinct(F.filter(tokens(F.col("content")), lambda w: F.length(w) >= 3))
     rows = rows.select("id", F.col(by).alias("g"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("k"), F.arrays_overlap(words, F.array(*map(F.lit, NEGATIONS))).alias("neg"))
     rows = rows.filter(F.size("k") > 0)
     keys = F.slice("k", 1, F.greatest(F.size("k") - F.ceil(F.size("k") * most_common).cast("int") + 1, F.lit(1)))
-    small = rows.select(F.col("id").alias("a"), "g", F.col("k").alias("ka"), F.col("neg").alias("na"), F.explode(keys).alias("w"))
-    every = rows.select(F.col("id").alias("b"), "g", F.col("k").alias("kb"), F.col("neg").alias("nb"), F.explode("k").alias("w"))
-    near = small.join(every, ["g", "w"]).filter((F.col("a") != F.col("b")) & (F.col("na") | F.col("nb")) & (F.size("ka") <= F.size("kb"))).dropDuplicates(["a", "b"])
+    small = rows.select(F.col("id").alias("a"), "g", F.size("k").alias("ka"), F.col("neg").alias("na"), F.explode(keys).alias("w"))
+    every = rows.select(F.col("id").alias("b"), "g", F.size("k").alias("kb"), F.col("neg").alias("nb"), F.explode("k").alias("w"))
+    met = small.join(every, ["g", "w"]).filter((F.col("a") != F.col("b")) & (F.col("na") | F.col("nb")) & (F.col("ka") <= F.col("kb"))).select("g", "a", "b").distinct()
+    side = lambda c: rows.select("g", F.col("id").alias(c), F.col("k").alias(f"k{c}"), F.col("neg").alias(f"n{c}"))
+    near = met.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).filter(F.col("na") | F.col("nb"))
     shared = F.size(F.array_intersect("ka", "kb")) / F.least(F.size("ka"), F.size("kb"))
-    return near.withColumn("overlap", shared).filter(F.col("overlap") >= most_common).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").distinct()
+    found = near.withColumn("overlap", shared).filter(F.col("overlap") >= most_common)
+    return found.groupBy("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("overlap").alias("overlap"))
 
 
 def closed_todos(todos: DataFrame, others: DataFrame, by: str, least: float = 0.6) -> DataFrame:

@@ -98,9 +98,10 @@ def stated_facts(spark, sf):
 
 @query()
 def conversation_contradictions(spark, sf):
-    turns = src.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.col("text").alias("content"))
-    pairs = lifecycle.contradictions(turns, "conv_id")
-    return turns.select("id").join(pairs.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("b").alias("against"))
+    """Turns and the later turns of their conversation that they contradict; a turn is named by (conv_id, turn)."""
+    turns = src.table(spark, sf, "conversations").select(F.col("turn").alias("id"), "conv_id", F.col("text").alias("content"))
+    pairs = lifecycle.contradictions(turns, "conv_id").select(F.col("g").alias("conv_id"), F.col("a").alias("turn"), F.col("b").alias("against"))
+    return turns.select("conv_id", F.col("id").alias("turn")).join(pairs, ["conv_id", "turn"], "left").select("conv_id", "turn", "against")
 
 
 @query()
