@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.operators import brief, lifecycle, ordering, recall, similarity, text
+from memlake.operators import brief, lifecycle, ordering, recall, scope, similarity, text
 from memlake.plans.catalog import QUESTIONS_SQL, _reranked, query, questions, six
 from memlake.sources import tables as src
 
@@ -113,12 +113,19 @@ def dedup_greedy(spark, sf):
 
 @query()
 def briefing(spark, sf):
-    """Each agent's most important open memories as lines that fit 200 tokens."""
+    """Each agent's most important open memories as lines that fit 200 tokens.
+
+    Of lines of equal cost no more than the budget holds can be chosen, so the rest
+    goes before fitting, and nothing that fits is lost. place counts what is left.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("agent_id").orderBy(F.col("importance").desc(), F.col("id"))
-    top = src.fragments(spark, sf).withColumn("place", F.row_number().over(w)).filter("place <= 30")
-    lines = top.select("agent_id", "place", (1 - F.col("importance")).alias("priority"), F.substring("content", 1, 160).alias("line"))
+    rows = scope.open_memories(src.fragments(spark, sf, 160)).select("agent_id", "id", "importance", F.col("content").alias("line"))
+    rows = rows.withColumn("cost", F.ceil(F.length("line") / 4) + 1)
+    order = F.col("importance").desc(), F.col("id")
+    could = rows.withColumn("r", F.row_number().over(Window.partitionBy("agent_id", "cost").orderBy(*order))).filter(F.col("r") <= 200).filter(F.col("r") * F.col("cost") <= 200)
+    top = could.withColumn("place", F.row_number().over(Window.partitionBy("agent_id").orderBy(*order)))
+    lines = top.select("agent_id", "place", (1 - F.col("importance")).alias("priority"), "line")
     return text.fit_budget(lines, "agent_id", "priority", "line", "place", 200)
 
 

@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memories: the source is the agent, the language the session; labels give state and importance."""
+def fragments(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    """Documents as memories: the source is the agent, the language the session; labels give state and importance.
+
+    With chars given, content is that many first characters, and no more is shuffled.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    if chars is not None:
+        docs = docs.withColumn("text", F.substring("text", 1, chars))
     i = F.col("doc_id")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(

@@ -2,8 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from memlake.functions import extract, screening, words
+from memlake.functions import chunks, extract, screening, words
 from memlake.operators import brief, facts, lifecycle, recall, scope, text
+from memlake.plans import texts
 
 
 def test_segments():
@@ -73,3 +74,13 @@ def test_briefings_fill_sections_in_order_and_fit(spark):
     assert rows.groupBy("section").count().orderBy("section").collect() == [("fact", 1), ("todo", 6)]
     got = brief.briefing(rows, 24).collect()
     assert [r.agent_id for r in got] == ["a"] and got[0].text.split("\n")[:2] == ["svc port is 81", "- TODO: thing 9"] and len(got[0].text) <= 24 * 4
+
+
+def test_a_briefing_takes_every_line_that_fits(spark, tables):
+    docs = [(i, f"{i} " + "long " * 40 if i < 60 else f"note {i}" * (i % 5), "en", "a", 0) for i in range(1, 120)]
+    labels = [(i, 1, 0) for i in range(1, 60)]
+    path = tables(documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), labels=(labels, "doc_id long, quality int, toxic int"))
+    still = sorted((0.2 if i < 60 else 0.5, i, t[:160]) for i, t, *_ in docs if i % 10)
+    want = [still[k][2] for k in chunks.fit([(p, t) for p, _, t in still], 200)]
+    got = sorted(texts.briefing(spark, path).collect(), key=lambda r: r.place)
+    assert [r.line for r in got] == want and any(t.startswith("note") for t in want) and not any(t.startswith("10 ") for t in want)
