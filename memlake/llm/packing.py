@@ -12,106 +12,122 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import table
-from memlake.llm.text import spread, tidy, word_codes
+from memlake.llm.text import coded_words, slices, spread, tidy
 
 WINDOW, TIERS, END = 4096, (512, 1024, 2048, 4096), 2
 VOCABULARY = "word_bpe_49k.json"
 GROUP_DOCS, STEP_WINDOWS = 1024, 16
-#: Words a worker remembers between batches; beyond, it starts anew.
-CACHE_WORDS = 200_000
-BATCH_DOCS = 1000
+#: Words a worker remembers between batches; beyond, it keeps those of the last batch.
+CACHE_WORDS = 250_000
+#: Texts encoded at once, so that a word that several of them hold is looked up once.
+BATCH_BYTES, BATCH_DOCS = 6 << 20, 4000
 TOKENS = "doc_id long, doc_tokens long, whole array<long>, rest binary, base long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, seq long, offset long, tier int, step long"
 
-_tokenizers: dict[str, object] = {}
-_ends: dict[str, np.ndarray] = {}
+_tokenizers: dict[str, tuple] = {}
 _words: dict[str, dict[str, bytes]] = {}
 
+#: Letters whose lower case and normal form do not depend on their neighbours: Latin without the dotted capital I.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Marks that the tokenizer splits from a word of letters, as one piece each run (no apostrophe: it may contract).
+MARKS = ".,!?:;|%$*&#"
+
 
 def tokenizer(vocabulary: str):
+    """The tokenizer of a vocabulary file, and the same one for lower-case letters parted by blanks, without the steps that change nothing there."""
     if vocabulary not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        _tokenizers[vocabulary] = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-    return _tokenizers[vocabulary]
-
-
-#: Marks that the tokenizer splits from a word of letters, as one piece each run (no apostrophe: it may contract).
-MARKS = ".,!?:;|%$*&#"
-
-
-def word_ends(vocabulary: str) -> np.ndarray:
-    """Whether each id ends a word."""
-    if vocabulary not in _ends:
-        names = tokenizer(vocabulary).get_vocab()
+        path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
+        full, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = full.get_vocab()
         ends = np.zeros(max(names.values()) + 1, bool)
         ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        _ends[vocabulary] = ends
-    return _ends[vocabulary]
+        _tokenizers[vocabulary] = full, plain, ends
+    return _tokenizers[vocabulary]
 
 
 def encode_words(words: list[str], vocabulary: str) -> list[bytes]:
-    """Ids of each word (32 bits each). Words of letters are encoded many in one text and told apart by word ends."""
+    """Ids of each word (32 bits each). Words of lower-case letters are encoded many in one text and told apart by word ends."""
+    full, plain, ends = tokenizer(vocabulary)
     out: dict[str, bytes] = {}
-    letters = [w for w in words if w.isalpha()]
-    run = tokenizer(vocabulary).encode_batch_fast
-    for i in range(0, len(letters), 1000):
-        part = letters[i : i + 1000]
-        ids = np.array(run([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-        stop = np.flatnonzero(word_ends(vocabulary)[ids]) + 1
+    letters = [w for w in words if _PLAIN.fullmatch(w)]
+    for i in range(0, len(letters), 200):
+        part = letters[i : i + 200]
+        ids = np.array(plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        stop = np.flatnonzero(ends[ids]) + 1
         if len(stop) == len(part):
             data, stop = ids.astype("<u4").tobytes(), (stop * 4).tolist()
             out.update((w, data[a:b]) for w, a, b in zip(part, [0, *stop], stop, strict=False))
     rest = [w for w in words if w not in out]
     for i in range(0, len(rest), 20_000):
         part = rest[i : i + 20_000]
-        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, run(part, add_special_tokens=False), strict=True))
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, full.encode_batch_fast(part, add_special_tokens=False), strict=True))
     return [out[w] for w in words]
 
 
-def parts_of(word: str) -> tuple[str, str]:
-    """A word of letters in lower case and the marks after it; any other word as it is."""
-    core = word.rstrip(MARKS)
-    if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:  # letters whose lower case depends on the place
-        return core.lower(), word[len(core) :]
-    return word, ""
+_PLAIN = re.compile(f"[{LETTER}]+")
+
+
+def parts_of(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words of letters in lower case, and the marks after them; any other word as it is."""
+    words = words.cast(pa.string())
+    plain = pc.match_substring_regex(words, f"^[{LETTER}]+[{re.escape(MARKS)}]*$")
+    core = pc.utf8_lower(pc.utf8_rtrim(words, characters=MARKS))
+    marks = pc.replace_substring_regex(words, f"^[{LETTER}]+", "")
+    return pc.if_else(plain, core, words), pc.if_else(plain, marks, "")
 
 
-def encode(texts: pa.Array, vocabulary: str = VOCABULARY, end: int = END) -> list[np.ndarray]:
-    """Each text's ids and the end id.
+def encode(texts: pa.Array, vocabulary: str = VOCABULARY, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]], its end id among them.
 
     Texts are cut at ASCII white space, which the tokenizer drops and never joins
-    across; each distinct word of the batch is looked up, or encoded, once.
+    across; each distinct word of the texts is looked up, or encoded, once.
     """
-    offsets, codes, words = word_codes(texts)
+    offsets, codes, words = coded_words(texts)
     known = _words.setdefault(vocabulary, {})
-    parts = [parts_of(w) for w in words]
-    need = {p for two in parts for p in two}.difference(known)
-    if len(known) + len(need) > CACHE_WORDS:
-        known.clear()
-        need = {p for two in parts for p in two}
-    need = list(need)
-    known.update(zip(need, encode_words(need, vocabulary), strict=True))
-    got = [known[a] + known[b] if b else known[a] for a, b in parts]
-    size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-    flat, begin = np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size
-    sizes = size[codes]
-    ids = flat[spread(begin[codes], sizes)]
-    at = np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
-    last = np.array([end], "<u4")
-    return [np.concatenate((ids[at[i] : at[i + 1]], last)) for i in range(len(texts))]
+    flat, begin, sizes = [], [], []
+    at = 0
+    for part in parts_of(words):
+        part = part.dictionary_encode()
+        names = part.dictionary.to_pylist()
+        new = [w for w in names if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            kept = {w: known[w] for w in names if w in known}
+            known.clear()
+            known.update(kept)
+        known.update(zip(new, encode_words(new, vocabulary), strict=True))
+        data = [known[w] for w in names]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        which = part.indices.to_numpy(zero_copy_only=False)
+        begin.append((at + np.cumsum(size) - size)[which])
+        sizes.append(size[which])
+        flat += data
+        at += int(size.sum())
+    # Each distinct word is its letters and its marks; the word after the last is the end id.
+    flat = np.frombuffer(b"".join([*flat, np.array([end], "<u4").tobytes()]), "<u4")
+    begin, sizes = (np.append(np.stack(x, 1).ravel(), [last, 0]) for x, last in ((begin, at), (sizes, 1)))
+    flat, sizes = flat[spread(begin, sizes)], sizes[::2] + sizes[1::2]
+    codes = np.insert(codes, offsets[1:], len(words))
+    begin, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+    ids = flat[spread(begin, sizes)]
+    return ids, np.concatenate(([0], np.cumsum(sizes)))[offsets + np.arange(len(offsets))]
 
 
 def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -119,18 +135,16 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), BATCH_DOCS):
-                part = b.slice(i, BATCH_DOCS)
-                out = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"), vocabulary, end), strict=True):
-                    full = len(ids) // window
-                    whole = [zlib.crc32(ids[window * k : window * (k + 1)]) for k in range(full)]
-                    rest = ids[window * full :]
-                    small = rest.astype("<u2") if len(rest) and rest.max() < 65_536 else rest
-                    out.append((doc, len(ids), whole, small.tobytes(), full * window))
-                cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "doc_tokens", "whole", "rest", "base"])
+            for i, n in slices(b.column("text"), BATCH_BYTES, BATCH_DOCS):
+                part = b.slice(i, n)
+                ids, at = encode(part.column("text"), vocabulary, end)
+                size = np.diff(at)
+                full = size // window
+                whole = [[zlib.crc32(ids[a + window * k : a + window * (k + 1)]) for k in range(m)] for a, m in zip(at.tolist(), full.tolist(), strict=False)]
+                small = ids.astype("<u2") if ids.max() < 65_536 else ids
+                rest = [small[a:z].tobytes() for a, z in zip((at[:-1] + full * window).tolist(), at[1:].tolist(), strict=True)]
+                cols = [part.column("doc_id"), pa.array(size), pa.array(whole, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(full * window)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_tokens", "whole", "rest", "base"])
             tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,12 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     Words are runs of anything but ASCII white space; lower turns A-Z to a-z.
     A null text has none.
     """
+    offsets, codes, words = coded_words(texts, lower)
+    return offsets, codes, words.to_pylist()
+
+
+def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """word_codes with the words as an Arrow array."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:  # ascii_lower misreads offsets that do not begin at 0, as those of a slice: copy it first
         texts = texts.take(pa.array(np.arange(len(texts))))
@@ -24,9 +31,9 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
     offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
-    codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-    if "" in words:
-        real = codes != words.index("")
+    codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+    if (blank := pc.index(words, "").as_py()) >= 0:
+        real = codes != blank
         offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
         codes = codes[real]
     return offsets, codes, words
@@ -35,7 +42,20 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of runs of the given sizes, one after another."""
     ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def slices(texts: pa.Array, most_bytes: int, most: int) -> Iterator[tuple[int, int]]:
+    """(begin, length) of runs of at most so many texts, and of so many bytes unless one text alone has more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        before = int(size[at - 1]) if at else 0
+        end = min(max(at + 1, int(np.searchsorted(size, before + most_bytes, "right"))), at + most)
+        yield at, end - at
+        at = end
 
 
 def tidy() -> None:
