@@ -25,43 +25,34 @@ STOP = frozenset(
 )
 WORD = re.compile(r"\w+")
 CREDIT = 0.8  # for a word met only through its -ing form
-_SUFFIX = (("ments", 5), ("ment", 4), ("ing", 3), ("ers", 3), ("er", 2), ("ed", 2))
 
-
-def _strip_plural(w: str) -> str | None:
-    if len(w) > 4 and w[-3:] in ("ies", "ied"):
-        return w[:-3] + "y"
-    if w.endswith("es") and re.search(r"(?:ss|x|z|ch|sh)$", w[:-2]):
-        return w[:-2]
-    if w.endswith("s") and w[-2:] not in ("ss", "us", "is"):
-        return w[:-1]
-    return None
-
-
-def _strip(w: str) -> str:
-    """One suffix off, where three letters or more stay."""
-    if len(w) < 4:
-        return w
-    if (plural := _strip_plural(w)) is not None:
-        return plural
-    hit = next((n for s, n in _SUFFIX if w.endswith(s) and len(w) - n >= 3), 0)
-    rest = w[: len(w) - hit]
-    doubled = hit and len(rest) >= 4 and rest[-1] == rest[-2] and rest[-1] not in "lsz"
-    return rest[:-1] if doubled else rest
+#: Endings and what stands in their place; a round takes the first that fits. Three letters stay before the longer
+#: endings, and of a doubled letter before them (not l, s or z) one.
+ENDINGS = [
+    (re.compile(pattern), instead)
+    for pattern, instead in (
+        (r"(?<=..)(?:ies|ied)$", "y"),
+        (r"(?<=ss|ch|sh)es$|(?<=[xz])es$", ""),
+        (r"(?<![sui])s$", ""),
+        (r"(?<=..)([^lsz])\1(?:ment|ing|er|ed)$", r"\1"),
+        (r"(?<=...)(?:ment|ing|er|ed)$", ""),
+    )
+]
+ROUNDS = 3
 
 
 @lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
-    """Suffixes off until nothing changes (three at most), then a last e; short and non-letter tokens stay."""
+    """Endings off until none fits (three at most), then a last e; short and non-letter tokens stay."""
     word = IRREGULAR.get(word, word)
     if len(word) < 4 or not word.isalpha():
         return word
-    for _ in range(3):
-        shorter = _strip(word)
-        if shorter == word:
+    for _ in range(ROUNDS):
+        shorter = next((r for r in (p.sub(instead, word, count=1) for p, instead in ENDINGS) if r != word), word)
+        if shorter == word or len(word) < 4:
             break
         word = shorter
-    return word[:-1] if len(word) >= 4 and word[-1] == "e" else word
+    return word.removesuffix("e") if len(word) > 3 else word
 
 
 def fold(text: str) -> str:
