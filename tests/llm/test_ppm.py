@@ -72,8 +72,9 @@ def test_against_a_plain_trie(spark, tables, monkeypatch):
     d = tables(documents=([(i, t, "en", "s", 1, 1, True) for i, t in data], DOCS))
     want = brute(data)
     same(ppm.op8_ppm(spark, d).collect(), want)
-    for name, value in (("PART_BYTES", 300), ("SHARD_BYTES", 500), ("FAN_IN", 2)):
+    for name, value in (("PART_BYTES", 300), ("SHARD_BYTES", 500), ("FAN", 8)):
         monkeypatch.setattr(ppm, name, value)
+    assert ppm.levels(40, 30) == (2, 7, 6)
     same(ppm.op8_ppm(spark, d).collect(), want)
 
 
@@ -89,10 +90,27 @@ def test_probabilities_of_a_context_sum_to_one():
     s = rng.choice(np.frombuffer(b"abcde \n", np.uint8), 4000)
     g = sum(s[ORD : len(s) - K + ORD].astype(np.uint64) << np.uint64(8 * (K - ORD)) for ORD in range(K + 1))
     grams, n = np.unique(g, return_counts=True)
-    shard = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
-    c1 = np.bincount((grams & np.uint64(0xFFFF)).astype(int), n, 65_536)
+    shard = (grams >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    low, of = np.unique(grams & np.uint64(0xFFFFFF), return_inverse=True)
+    short = ppm.Short(low, np.bincount(of, n))
     for ctx in (grams[0] >> np.uint64(8), grams[len(grams) // 2] >> np.uint64(8), np.uint64(0x7A7A7A6162)):
-        own = shard == (ctx & np.uint64(0xFFFF))
+        own = shard == (ctx & np.uint64(0xFFFFFF))
         q = (np.uint64(ctx) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        p = 10 ** ppm.code_lengths(grams[own], n[own], c1, q)
+        p = 10 ** ppm.code_lengths(grams[own], n[own], short, q)
         assert abs(p.sum() - 1) < 1e-9
+
+
+def test_rows_on_the_way_grow_with_the_input(monkeypatch):
+    """Rows that a part writes, and nodes of each level, for ever more parts."""
+    monkeypatch.setattr(ppm, "FAN", 16)
+    for parts in (17, 85, 350, 5000, 100_000):
+        depth, joined, branches = ppm.levels(parts, parts * 3 // 2)
+        assert joined <= 16 and branches <= 16 and joined**depth >= parts and branches**depth >= parts * 3 // 2
+        for level in range(1, depth + 1):  # nodes of a level times the rows that each splits into
+            assert joined ** (depth - level) * branches**level <= 40 * parts, (parts, level)
+
+
+def test_shards_of_a_level_are_within_those_before():
+    keys = np.random.default_rng(1).integers(0, 1 << 48, 5000).astype(np.uint64)
+    for kind in "gw":
+        assert (ppm.shard_of(kind, keys << np.uint64(16 * (kind == "w")), 60) // 12 == ppm.shard_of(kind, keys << np.uint64(16 * (kind == "w")), 5)).all()
