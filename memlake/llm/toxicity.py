@@ -6,9 +6,14 @@ has its own discounted counts at that context; both back off to one
 Kneser-Ney model of the last marks (ORDER at most, with the letter), whose
 continuation counts they share. A letter in a context that neither class has
 seen therefore counts the same for both, and an expression that one of them
-uses much more often counts for that one. A document's evidence is the
-difference of the two length-normalised log-likelihoods; a logistic curve
-fitted on labelled rows held out of the counts turns it into a score.
+uses much more often counts for that one.
+
+Even a toxic document is ordinary text for the most part, so its model draws a
+share MIX of the words from the toxic counts and the rest from the ordinary
+ones. The score rests on one number, the difference of the length-normalised
+log-likelihoods of the document under that model and the ordinary one; a
+logistic curve fitted on labelled rows that the counts did not see turns it
+into a probability.
 """
 
 from __future__ import annotations
@@ -26,21 +31,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.llm.common import seeded_unit, table
-from memlake.llm.text import tidy
+from memlake.llm.text import spread, tidy
 
 ORDER, DISCOUNT = 9, 0.75
-#: Longer runs of letters are spelled in pieces of this length; nothing is left out.
-PIECE = 24
-WORD = re.compile(rf"\w{{1,{PIECE}}}")
-#: The classifier is fitted on at most about so many labelled rows a class, drawn by a seeded hash of the id.
-SAMPLE_ROWS, SEED = 2000, 7
+WORD = re.compile(r"\w+")
+#: The share of toxic expressions among the words of a toxic document.
+MIX = 0.01
+#: The classifier is fitted on at most about so many labelled rows a class, drawn by a seeded hash of the id among
+#: those with texts of at most so many bytes. Scoring reads every text whole.
+SAMPLE_ROWS, SAMPLE_TEXT, SEED = 2000, 100_000, 7
+#: Each of so many parts of them is scored by the counts of the others, for the curve.
+PARTS = 8
 THRESHOLD = 0.7
 #: Words whose scores a worker remembers between batches.
 CACHE_WORDS = 250_000
 #: Documents split into words at once.
 SLICE = 400
-#: Words spelled at once.
-CHUNK = 20_000
+#: Words spelled at once, and the marks that they may have together.
+CHUNK, MARKS = 20_000, 1 << 19
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,15 +58,29 @@ def words_of(text: str | None) -> list[str]:
 
 def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Marks (start 1, end 2, letters from 3) of each word as a row, and the lengths."""
-    chars = np.array(words, dtype=f"U{PIECE}").view(np.uint32).reshape(len(words), PIECE).astype(np.uint64)
-    size = (chars > 0).sum(axis=1)
-    marks = np.zeros((len(words), PIECE + 2), np.uint64)
+    width = max(map(len, words))
+    chars = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    marks = np.zeros((len(words), width + 2), np.uint64)
     marks[:, 0] = 1
-    marks[:, 1:-1] = np.where(chars > 0, chars + np.uint64(3), 0)
+    marks[:, 1:-1] = np.where(np.arange(width) < size[:, None], chars + np.uint64(3), 0)
     marks[np.arange(len(words)), size + 1] = 2
     return marks, size + 2
 
 
+def spelled(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, marks, lengths) of bounded numbers of words of about the same length; a word may be of any length."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        widest = size[order[at : at + CHUNK]] + 2
+        n = max(1, int(np.searchsorted(widest * np.arange(1, len(widest) + 1), MARKS, "right")))
+        own = order[at : at + n]
+        yield own, *spell([words[i] for i in own])
+        at += n
+
+
 def all_grams(marks: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For k = 1 to order: a hash of the last k marks (fewer at the start) up to each place."""
     with np.errstate(over="ignore"):
@@ -98,33 +120,43 @@ class KneserNey:
         self.value = self.ctx_value = np.zeros(0, np.float32)
 
     def fit(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey:
-        """Counts of each word in the two classes; the larger class is scaled to the mass of the smaller,
-        so that what neither has seen is no evidence for the one with fewer words."""
-        if not words or not toxic.sum() or not ordinary.sum():
-            return self
-        least = min(toxic.sum(), ordinary.sum())
-        weight = np.stack([toxic * (least / toxic.sum()), ordinary * (least / ordinary.sum())])
+        return self.weighed(self.spelling(words), toxic, ordinary)
+
+    def spelling(self, words: list[str]) -> dict[str, np.ndarray]:
+        """What the words alone decide: their letters in context, and the shared model of these."""
         parts = []
-        for at in range(0, len(words), CHUNK):
-            marks, size = spell(words[at : at + CHUNK])
+        for own, marks, size in spelled(words):
             row, col = np.nonzero(np.arange(1, marks.shape[1])[None, :] < size[:, None])
             col += 1  # the start mark itself is given
             prefix = prefixes(marks)
-            parts.append((prefix[row, col], prefix[row, col - 1], (row + at).astype(np.int32), col.astype(np.int8)))
+            parts.append((prefix[row, col], prefix[row, col - 1], own[row].astype(np.int32), col.astype(np.int32)))
+        if not parts:
+            return {}
         key, ctx, row, col = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        self.keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        n = np.stack([np.bincount(inverse, weight[c][row], len(self.keys)) for c in (0, 1)])
-        own_ctx = ctx[first]
-        self.ctx, of_ctx = np.unique(own_ctx, return_inverse=True)
-        total = np.stack([np.bincount(of_ctx, n[c], len(self.ctx)) for c in (0, 1)])
-        taken = np.stack([np.bincount(of_ctx, np.minimum(n[c], self.discount), len(self.ctx)) for c in (0, 1)])
-        left = np.where(total > 0, taken / np.maximum(total, 1e-300), 1.0)  # mass that goes to the shared model
-        shared = self._shared(words, row[first], col[first])
-        p = np.where(total[:, of_ctx] > 0, np.maximum(n - self.discount, 0) / np.maximum(total[:, of_ctx], 1e-300), 0) + left[:, of_ctx] * shared
-        self.value = np.log(p[0] / p[1]).astype(np.float32)
-        self.ctx_value = np.log(left[0] / left[1]).astype(np.float32)
-        return self
+        keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        own_ctx, of_ctx = np.unique(ctx[first], return_inverse=True)
+        return {"keys": keys, "inverse": inverse.astype(np.int32), "row": row, "ctx": own_ctx, "of_ctx": of_ctx, "shared": self._shared(words, row[first], col[first])}
+
+    def weighed(self, spelling: dict[str, np.ndarray], toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey:
+        """The model of words that were counted so often in the two classes; the larger class is scaled to the mass of
+        the smaller, so that what neither has seen is no evidence for the one with fewer words."""
+        model = KneserNey(self.order, self.discount)
+        if not spelling or not toxic.sum() or not ordinary.sum():
+            return model
+        least = min(toxic.sum(), ordinary.sum())
+        model.keys, model.ctx, of_ctx = spelling["keys"], spelling["ctx"], spelling["of_ctx"]
+        value, ctx_value = np.zeros(len(model.keys)), np.zeros(len(model.ctx))
+        for n, sign in ((toxic, 1), (ordinary, -1)):
+            n = np.bincount(spelling["inverse"], (n * (least / n.sum()))[spelling["row"]], len(model.keys))
+            total = np.bincount(of_ctx, n, len(model.ctx))
+            taken = np.bincount(of_ctx, np.minimum(n, self.discount), len(model.ctx))
+            left = np.where(total > 0, taken / np.maximum(total, 1e-300), 1.0)  # mass that goes to the shared model
+            p = np.maximum(n - self.discount, 0) / np.maximum(total[of_ctx], 1e-300) + left[of_ctx] * spelling["shared"]
+            value += sign * np.log(p)
+            ctx_value += sign * np.log(left)
+        model.value, model.ctx_value = value.astype(np.float32), ctx_value.astype(np.float32)
+        return model
 
     def _shared(self, words: list[str], row: np.ndarray, col: np.ndarray) -> np.ndarray:
         """Interpolated Kneser-Ney over all distinct grams, whichever class they come from, at the
@@ -132,13 +164,13 @@ class KneserNey:
         last = np.zeros((self.order + 1, len(row)), np.uint64)  # hashes of the last 1, 2, ... marks up to each place
         before = np.zeros((self.order, len(row)), np.uint64)  # and up to the one before
         by_row = np.argsort(row, kind="stable")
-        bound = np.searchsorted(row[by_row], np.arange(0, len(words) + CHUNK, CHUNK))
+        begin = np.searchsorted(row[by_row], np.arange(len(words) + 1))
         letters: set[int] = set()
-        for n, at in enumerate(range(0, len(words), CHUNK)):
-            own = by_row[bound[n] : bound[n + 1]]
-            marks, _ = spell(words[at : at + CHUNK])
+        for words_here, marks, _ in spelled(words):
+            n = begin[words_here + 1] - begin[words_here]
+            own = by_row[spread(begin[words_here], n)]
             letters.update(np.unique(marks).tolist())
-            i, j = row[own] - at, col[own].astype(np.int64)
+            i, j = np.repeat(np.arange(len(words_here)), n), col[own].astype(np.int64)
             for k, h in enumerate(all_grams(marks, self.order + 1)):
                 last[k, own] = h[i, j]
                 if k < self.order:
@@ -162,87 +194,89 @@ class KneserNey:
         out = np.zeros(len(words))
         if not len(self.keys) or not words:
             return out
-        marks, size = spell(words)
-        marks = marks[:, : int(size.max())]
-        prefix = prefixes(marks)
-        row, col = np.nonzero(np.arange(1, marks.shape[1])[None, :] < size[:, None])
-        col = col + 1
-        at, seen = find(self.keys, prefix[row, col])
-        value = np.where(seen, self.value[at], 0.0)
-        miss = np.flatnonzero(~seen)
-        at, known = find(self.ctx, prefix[row[miss], col[miss] - 1])
-        value[miss] = np.where(known, self.ctx_value[at], 0.0)
-        return np.bincount(row, value, len(words))
-
-
-def evidence(texts: list[str | None], ratio: dict[str, float], model: KneserNey) -> np.ndarray:
-    """Two features a document: the mean log-likelihood ratio of its words, and that of the
-    words that speak clearly (more than 2 nats) for the toxic class."""
-    parts = [_evidence(texts[i : i + SLICE], ratio, model) for i in range(0, len(texts), SLICE)]
-    return np.concatenate(parts) if parts else np.zeros((0, 2))
-
-
-def _evidence(texts: list[str | None], ratio: dict[str, float], model: KneserNey) -> np.ndarray:
+        for own, marks, size in spelled(words):
+            prefix = prefixes(marks)
+            row, col = np.nonzero(np.arange(1, marks.shape[1])[None, :] < size[:, None])
+            col = col + 1
+            at, seen = find(self.keys, prefix[row, col])
+            value = np.where(seen, self.value[at], 0.0)
+            miss = np.flatnonzero(~seen)
+            at, known = find(self.ctx, prefix[row[miss], col[miss] - 1])
+            value[miss] = np.where(known, self.ctx_value[at], 0.0)
+            out[own] = np.bincount(row, value, len(own))
+        return out
+
+    def gains(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the toxic document's log-likelihood over the ordinary one's."""
+        return np.log1p(MIX * np.expm1(np.minimum(self.ratios(words), 50.0)))
+
+
+def evidence(texts: list[str | None], gain: dict[str, float], model: KneserNey) -> np.ndarray:
+    """The difference of the two log-likelihoods a word of each document; 0 for one without words."""
+    return np.concatenate([np.zeros(0), *(_evidence(texts[i : i + SLICE], gain, model) for i in range(0, len(texts), SLICE))])
+
+
+def _evidence(texts: list[str | None], gain: dict[str, float], model: KneserNey) -> np.ndarray:
     split = [words_of(t) for t in texts]
-    new = list(set().union(*split).difference(ratio)) if split else []
-    if len(ratio) + len(new) > CACHE_WORDS:
-        ratio.clear()
+    new = list(set().union(*split).difference(gain)) if split else []
+    if len(gain) + len(new) > CACHE_WORDS:
+        gain.clear()
         new = list(set().union(*split))
     for i in range(0, len(new), CHUNK):
-        ratio.update(zip(new[i : i + CHUNK], model.ratios(new[i : i + CHUNK]).tolist(), strict=True))
-    out = np.zeros((len(texts), 2))
-    for i, words in enumerate(split):
-        if words:
-            r = np.fromiter(map(ratio.__getitem__, words), np.float64, len(words))
-            out[i] = r.mean(), np.where(r > 2, r, 0).mean()
-    return out
+        gain.update(zip(new[i : i + CHUNK], model.gains(new[i : i + CHUNK]).tolist(), strict=True))
+    return np.array([sum(map(gain.__getitem__, words)) / len(words) if words else 0.0 for words in split])
+
+
+#: The curve before any row is seen: constant and slope. It holds where few labelled rows speak for another one.
+PRIOR, PRIOR_ROWS = np.array([-8.0, 11.0]), 4.0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, turns: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; weights for 1 and the columns of x."""
+def logistic(x: np.ndarray, y: np.ndarray, turns: int = 50) -> np.ndarray:
+    """Newton's method; constant and slope, held to PRIOR with a strength of PRIOR_ROWS."""
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+    w = PRIOR.copy()
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
-        w -= step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PRIOR_ROWS * np.eye(len(w)), x.T @ (p - y) + PRIOR_ROWS * (w - PRIOR))
+        w -= step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-SQUASH = np.array([4.0, 12.0])
+#: The difference is bounded before the curve, so that one odd document does not tilt it; it saturates at about MIX.
+SQUASH = 1.5 / MIX
 
 
-def features(x: np.ndarray) -> np.ndarray:
-    """Bounded, so that one odd document does not tilt the curve."""
+def bounded(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * SQUASH)
 
 
 def score_of(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(w[0] + features(x) @ w[1:], -30, 30)))
-
-
-def count_words(texts: list[str | None], toxic: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The documents of each class that hold a word: one that repeats it says no more."""
-    both = (Counter(), Counter())
-    for t, y in zip(texts, toxic, strict=True):
-        both[0 if y else 1].update(set(words_of(t)))
-    words = sorted(set(both[0]) | set(both[1]))
-    return words, *(np.array([c[w] for w in words], float) for c in both)
-
-
-def train(texts: list[str | None], toxic: np.ndarray, part: np.ndarray, parts: int = 2) -> tuple[KneserNey, np.ndarray]:
-    """Counts from all rows; the curve from rows scored by models that did not see their part."""
-    x = np.zeros((len(texts), 2))
-    for k in range(parts):
-        rest = np.flatnonzero(part % parts != k)
-        own = np.flatnonzero(part % parts == k)
+    return 1 / (1 + np.exp(-np.clip(w[0] + bounded(x) * w[1], -30, 30)))
+
+
+def count_words(texts: list[str | None], group: np.ndarray, groups: int) -> tuple[list[str], np.ndarray]:
+    """The words, and the documents of each group that hold them: one that repeats a word says no more."""
+    counts = [Counter() for _ in range(groups)]
+    for t, g in zip(texts, group.tolist(), strict=True):
+        counts[g].update(set(words_of(t)))
+    words = sorted(set().union(*counts))
+    return words, np.array([[c[w] for w in words] for c in counts], float).reshape(groups, len(words))
+
+
+def train(texts: list[str | None], toxic: np.ndarray, part: np.ndarray) -> tuple[KneserNey, np.ndarray]:
+    """Counts from all rows; the curve from rows scored by models that did not count their part (0 to PARTS - 1)."""
+    base = KneserNey()
+    words, n = count_words(texts, 2 * part + ~toxic, 2 * PARTS)
+    spelling, n = base.spelling(words), n.reshape(PARTS, 2, len(words))
+    every, x = n.sum(axis=0), np.zeros(len(texts))
+    for k in range(PARTS):
+        own = np.flatnonzero(part == k)
         if len(own):
-            model = KneserNey().fit(*count_words([texts[i] for i in rest], toxic[rest]))
-            x[own] = evidence([texts[i] for i in own], {}, model)
-    w = logistic(features(x), toxic.astype(float)) if len(texts) and 0 < toxic.sum() < len(texts) else np.array([-2.0, 0.0, 0.0])
-    return KneserNey().fit(*count_words(texts, toxic)), w
+            x[own] = evidence([texts[i] for i in own], {}, base.weighed(spelling, *(every - n[k])))
+    w = logistic(bounded(x), toxic.astype(float)) if len(texts) and 0 < toxic.sum() < len(texts) else np.array([-2.0, 0.0])
+    return base.weighed(spelling, *every), w
 
 
 def _train(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -263,9 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     n = {r["toxic"]: r["n"] for r in use.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     u = seeded_unit(seed, F.col("doc_id")) / F.lit(float(2**53))
     drawn = use.filter(u < F.when(F.col("toxic") == 1, sample_rows / max(n.get(1, 0), 1)).otherwise(sample_rows / max(n.get(0, 0), 1)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    rows = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT).join(F.broadcast(drawn), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
     got = rows.groupBy().applyInPandas(_train, "model binary").first()
-    return bytes(got[0]) if got else pickle.dumps((KneserNey(), np.array([-2.0, 0.0, 0.0])), 5)
+    return bytes(got[0]) if got else pickle.dumps((KneserNey(), np.array([-2.0, 0.0])), 5)
 
 
 def held_out(doc_id) -> F.Column:
@@ -285,11 +319,11 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kn, w = pickle.loads(shared.value)
-        ratio: dict[str, float] = {}
+        gain: dict[str, float] = {}
         for b in batches:
             for s in range(0, len(b), SLICE):
                 part = b.slice(s, SLICE)
-                got = score_of(evidence(part.column("text").to_pylist(), ratio, kn), w)
+                got = score_of(evidence(part.column("text").to_pylist(), gain, kn), w)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*fields, "score"])
             tidy()
 

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -62,3 +64,60 @@ def test_unseen_expressions_count_for_neither_class():
     kn = tx.KneserNey().fit(words, np.array([5.0, 2, 4, 0]), np.array([40.0, 16, 0, 8]))
     fresh, bad, good = kn.ratios(["qqqq", "scum", "lore"])
     assert bad > 1 > good and abs(fresh) < 1 and tx.KneserNey().fit([], np.zeros(0), np.zeros(0)).ratios(["x"])[0] == 0
+
+
+def plain_gain(words, toxic, ordinary, word, order=tx.ORDER, d=tx.DISCOUNT):
+    """The gain of one word by dictionaries of letters, straight from the definition."""
+    least = min(sum(toxic), sum(ordinary))
+    spelled = ["\x01" + w + "\x02" for w in words]
+    classes = [Counter(), Counter()]
+    for w, a, b in zip(spelled, toxic, ordinary):
+        for j in range(1, len(w)):
+            classes[0][w[: j + 1]] += a * least / sum(toxic)
+            classes[1][w[: j + 1]] += b * least / sum(ordinary)
+    grams = [set() for _ in range(order + 2)]  # the last k marks up to each place; fewer at the start
+    for w in spelled:
+        for j in range(1, len(w)):  # the start mark is given
+            for k in range(1, order + 2):
+                grams[k].add((w[max(0, j + 1 - k) : j + 1], max(0, k - j - 1)))
+    letters = {c for w in spelled for c in w} | {"\x00"}
+
+    def shared(w, j):
+        p = 1 / max(len(letters), 2)
+        for k in range(1, order + 1):
+            left = Counter(g[max(0, len(g) - k) :] for g, _ in grams[k + 1])
+            gram, ctx = w[max(0, j + 1 - k) : j + 1], w[max(0, j + 1 - k) : j]
+            peers = [n for g, n in left.items() if (g[:-1] == ctx if k > 1 else True)]
+            p = (max(left[gram] - d, 0) + d * len(peers) * p) / sum(peers)
+        return p
+
+    out, w = 0.0, "\x01" + word + "\x02"
+    for j in range(1, len(w)):
+        ctx, key = w[:j], w[: j + 1]
+        if not any(c[g] for c in classes for g in c if g[:-1] == ctx):
+            continue
+        p, left = [], []
+        known = any(key in c for c in classes)
+        for c in classes:
+            own = {g: n for g, n in c.items() if g[:-1] == ctx and n > 0}
+            total = sum(own.values())
+            left.append(sum(min(n, d) for n in own.values()) / total if total else 1.0)
+            p.append((max(own.get(key, 0) - d, 0) / total if total else 0) + left[-1] * (shared(w, j) if known else 1.0))
+        out += math.log(p[0] / p[1])
+    return math.log(1 - tx.MIX + tx.MIX * math.exp(out))
+
+
+def test_gains_against_the_definition():
+    words = ["tar", "tarn", "scum", "lore", "scar", "a"]
+    toxic, ordinary = [5.0, 2, 9, 0, 1, 3], [40.0, 16, 0, 8, 2, 30]
+    kn = tx.KneserNey().fit(words, np.array(toxic), np.array(ordinary))
+    for w in [*words, "scumlord", "tart", "zz", "lo"]:
+        assert abs(kn.gains([w])[0] - plain_gain(words, toxic, ordinary, w)) < 1e-5, w
+
+
+def test_words_of_any_length_are_spelled_whole(monkeypatch):
+    words = ["x" * n for n in (1, 3, 40, 3000)] + ["ab"]
+    want = tx.KneserNey().fit(words, np.arange(5) + 1.0, np.arange(5) + 2.0)
+    monkeypatch.setattr(tx, "MARKS", 50)
+    got = tx.KneserNey().fit(words, np.arange(5) + 1.0, np.arange(5) + 2.0)
+    assert np.allclose(want.ratios(words), got.ratios(words)) and tx.words_of("x" * 3000) == ["x" * 3000]
