@@ -1,9 +1,11 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled by a seed within each source, ranked, and sorted over all
-sources by fractional rank (rank - 1/2) / source rows. Consecutive cuts of
-that order have every source in its overall share, and counts at most one
-apart (law "rows").
+sources by fractional rank (rank - offset) / source rows. The offset, between 0
+and 1, is the source's own, drawn by the seed: a source still has its rows at
+equal distances, and many sources of equal sizes do not meet at the same ranks.
+Consecutive cuts of that order have every source in its overall share, and
+counts at most one apart (law "rows").
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bucket_of, cut, group_rank, join_counted, seeded_unit, source_key, table
+from memlake.llm.common import UNIT, cut, group_rank, join_counted, seeded_unit, source_key, table
 
 SHARDS = 8
 SEED = 1303
-#: Ranges of the fractional rank: at most so many, whatever the input.
+#: Ranges of the fractional rank: at most so many meet in one window, whatever the input. A range of a table of a
+#: hundred billion rows holds 1.5 million, which a task sorts.
 MOST_RANGES = 65_536
 RANGE_ROWS = 256
 
@@ -33,7 +36,8 @@ def interleave(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int
     counts = cut(rows.groupBy("skey").agg(F.count("*").alias("__n")))
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     ranked = group_rank(join_counted(rows, counts, ["skey"]), ["skey"], "__u", keys, "__n", "__r")
-    ranked = ranked.withColumn("__f", (F.col("__r") - 0.5) / F.col("__n"))
+    offset = seeded_unit(seed, F.col("skey")) / F.lit(UNIT)
+    ranked = ranked.withColumn("__f", (F.col("__r") - offset) / F.col("__n"))
     ranges = max(1, min(MOST_RANGES, -(-total // RANGE_ROWS)))
     ranked = cut(ranked.withColumn("__range", F.least(F.floor(F.col("__f") * ranges), F.lit(ranges - 1))))
     # At most MOST_RANGES rows meet in this one window.

@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
 
-from memlake.llm.common import connected_components
-from memlake.llm.sharding import op3_sharding
+from pyspark.sql import functions as F
+
+from memlake.llm.common import connected_components, seeded_unit
+from memlake.llm.sharding import SEED, interleave, op3_sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, __u long"
 
@@ -38,6 +40,32 @@ def test_nulls_repeats_and_empty(spark, tables):
     assert rows(spark, tables, []) == []
 
 
+def test_against_a_plain_sort(spark, tables):
+    data = [(i, f"t{i}", "en", f"s{i % 5}" if i % 7 else None, 1, 5, 6) for i in range(400)]
+    got = rows(spark, tables, data)
+    source = {d[0]: ("1" if d[3] is None else "0" + d[3]) for d in data}
+    hashed = spark.createDataFrame([(r.doc_id, r["size"], r.text_crc32, source[r.doc_id]) for r in got], "doc_id long, size long, text_crc32 long, skey string")
+    unit = lambda *c: seeded_unit(SEED, *[F.col(x) for x in c])
+    hashed = [tuple(r) for r in hashed.select("doc_id", "skey", unit("doc_id", "size", "text_crc32").alias("u"), (unit("skey") / 2.0**53).alias("o")).collect()]
+    by = defaultdict(list)
+    for i, k, u, o in hashed:
+        by[k].append((u, i, o))
+    order = sorted(((r + 1 - o) / len(own), k, r, i) for k, own in by.items() for r, (_, i, o) in enumerate(sorted(own)))
+    n, want = len(order), {}
+    for pos, (*_, i) in enumerate(order):
+        shard = pos * 8 // n
+        want[i] = (shard, pos - -(-shard * n // 8))
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
+def test_many_sources_of_one_row_spread_over_ranges(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("skey"))
+    ranks = df.select((1 - seeded_unit(SEED, F.col("skey")) / 2.0**53).alias("f")).groupBy(F.floor(F.col("f") * 10)).count().collect()
+    assert len(ranks) == 10 and max(r["count"] for r in ranks) < 450
+    placed = interleave(df, ["doc_id"])
+    assert Counter(Counter(r.shard for r in placed.collect()).values()) == {375: 8}
+
+
 def test_connected_components_against_union_find(spark):
     import random
 
