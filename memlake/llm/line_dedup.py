@@ -1,7 +1,10 @@
 """Line dedup by site-relative frequency, with built-in functions only.
 
-For each host, the share of its pages that contain a line is compared with a
-ratio; lines above it are that site's boilerplate and go from all its pages.
+For each host, the share of its other pages that contain a page's line is
+compared with a ratio; lines above it are that site's boilerplate and go from
+all its pages. The page itself does not count, so that a line of one page only
+is never boilerplate, however small the site. A line of a few words may recur
+by chance and needs a larger share than one as long as a sentence.
 """
 
 from __future__ import annotations
@@ -11,7 +14,11 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import BROADCAST_ROWS, cut, source_key, table
 
-RATIO, MIN_PAGES = 0.1, 5
+#: The share above which a line is boilerplate, and that for lines of at least so many words, which do not recur by chance.
+RATIO, LONG_RATIO, LONG_WORDS = 0.1, 0.01, 5
+#: Ways that the pages of a host are spread over where the lines are too many to broadcast.
+SALTS = 16
+BLANKS = " \t\r"
 
 # Parts of a page that hold no text, and elements that end a line.
 NO_TEXT = "(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->"
@@ -20,39 +27,52 @@ ANY_TAG = "<[^>]*>"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
 
 
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def line_key(line: Column) -> Column:
-    """128 bits of the trimmed line: two seeded 64-bit hashes."""
-    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit(77), F.trim(line)).alias("b"))
+    """128 bits of the trimmed line (two seeded 64-bit hashes), and whether it is a long one."""
+    line = bare(line)
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(77), line).alias("b"), (spaces >= LONG_WORDS - 1).alias("long"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, keys) of the lines that at least min_pages pages of the host hold, and more than ratio of them.
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, long_ratio: float = LONG_RATIO) -> DataFrame:
+    """(host, keys) of the lines that more than ratio of the host's other pages hold, seen from a page that holds them.
 
     Blank lines never count. A page counts a line once. Hosts may be null (one site of its own).
     """
     pages = pages.select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: F.trim(x) != ""), line_key))
-    lines = pages.select("__host", F.explode(keys).alias("k")).groupBy("__host", "k").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    keys = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: bare(x) != ""), line_key))
+    lines = pages.select("__host", F.explode(keys).alias("k")).groupBy("__host", "k").agg(F.count("*").alias("n")).filter("n > 1")
     total = pages.groupBy("__host").agg(F.count("*").alias("pages"))
-    over = lines.join(total, "__host").filter(F.col("n") > F.col("pages") * F.lit(ratio))
-    # One site has fewer than (lines of a page on average) / ratio such lines.
+    share = F.when(F.col("k.long"), F.lit(long_ratio)).otherwise(F.lit(ratio))
+    over = lines.join(total, "__host").filter(F.col("n") - 1 > (F.col("pages") - 1) * share)
+    # One site has no more such lines than a page has on average, divided by the smaller ratio.
     return over.groupBy("__host").agg(F.sort_array(F.collect_list("k")).alias("__boiler"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with the site's boilerplate lines taken out of text; adds __lines and __dropped.
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, long_ratio: float = LONG_RATIO) -> DataFrame:
+    """pages with the site's boilerplate lines taken out of text; adds __lines and __dropped (which replace columns of these names).
 
     A text all of whose lines are boilerplate becomes empty; null stays null; no
-    page goes. Repeated rows are pages of their own.
+    page goes. Repeated rows are pages of their own. Blanks, tabs and carriage
+    returns at the ends of a line do not tell lines apart.
     """
-    known = cut(boilerplate(pages, host, text, ratio, min_pages))
+    pages = pages.drop("__lines", "__dropped")
+    known = cut(boilerplate(pages, host, text, ratio, long_ratio))
     rows = known.agg(F.coalesce(F.sum(F.size("__boiler")), F.lit(0))).first()[0]
-    side = F.broadcast(known) if rows <= BROADCAST_ROWS else known
-    joined = pages.withColumn("__host", source_key(F.col(host))).join(side, "__host", "left")
+    keyed = pages.withColumn("__host", source_key(F.col(host)))
+    if rows <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(known), "__host", "left")
+    else:  # a hot site's pages are dealt over SALTS keys, each with the site's lines
+        salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("__salt", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left").drop("__salt")
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("__boiler"), line_key(x)) | (F.trim(x) == ""))
+    kept = F.filter(split, lambda x: ~F.array_contains(F.col("__boiler"), line_key(x)) | (bare(x) == ""))
     out = joined.withColumn("__kept", F.when(F.col("__boiler").isNull(), split).otherwise(kept))
-    out = out.withColumn("__lines", F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0)))
+    out = out.withColumn("__lines", F.coalesce(F.size(F.filter(split, lambda x: bare(x) != "")), F.lit(0)))
     out = out.withColumn("__dropped", F.greatest(F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)), F.lit(0)))
     return out.withColumn(text, F.when(F.col("__dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__kept", "__boiler", "__host")
 
@@ -72,19 +92,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
 
 
+_TRIM = "trim(x, ' ' || chr(9) || chr(13))"
 OP4_SQL = f"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(url, '{HOST}', 1)) AS host, coalesce(lower(regexp_extract(url, '{HOST}', 1)), chr(1)) AS hk,
          regexp_replace(regexp_replace(regexp_replace(html, '{NO_TEXT}', '', 'g'), '{LINE_END}', chr(10), 'g'), '{ANY_TAG}', '', 'g') AS text
   FROM pages),
 l AS (SELECT hk, line, count(*) AS n FROM (
-  SELECT hk, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))) AS line FROM p) GROUP BY hk, line),
+  SELECT hk, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM}), lambda x: x <> ''))) AS line FROM p) GROUP BY hk, line),
 t AS (SELECT hk, count(*) AS pages FROM p GROUP BY hk),
-b AS (SELECT l.hk, list(l.line) AS boiler FROM l JOIN t USING (hk) WHERE l.n >= {MIN_PAGES} AND l.n > t.pages * {RATIO} GROUP BY l.hk),
+b AS (SELECT l.hk, list(l.line) AS boiler FROM l JOIN t USING (hk)
+      WHERE l.n - 1 > (t.pages - 1) * CASE WHEN length(l.line) - length(replace(l.line, ' ', '')) >= {LONG_WORDS - 1} THEN {LONG_RATIO}::DOUBLE ELSE {RATIO}::DOUBLE END GROUP BY l.hk),
 k AS (SELECT page_id, host, string_split(text, chr(10)) AS lines,
-             list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(b.boiler, []), trim(x))) AS kept
+             list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(b.boiler, []), {_TRIM})) AS kept
       FROM p LEFT JOIN b USING (hk))
-SELECT page_id, host, coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0)::INT AS n_lines,
+SELECT page_id, host, coalesce(len(list_filter(lines, lambda x: {_TRIM} <> '')), 0)::INT AS n_lines,
        coalesce(len(lines) - len(kept), 0)::INT AS n_dropped,
        array_to_string(kept, chr(10)) AS text
 FROM k

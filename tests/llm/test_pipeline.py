@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline as cp
-from memlake.llm import line_dedup, toxicity
+from memlake.llm import toxicity
+from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_mixing import levels
 from tests.llm.test_packing import check as packs
 from tests.llm.test_shingle_join import brute
@@ -44,12 +45,8 @@ def test_toxic_documents_go_and_only_those(stages, spark):
 
 def test_lines_against_plain_counts(stages):
     before, after = stages[1]
-    pages, holds = Counter(r.source for r in before), Counter()
-    for r in before:
-        holds.update((r.source, x) for x in {x.strip(" ") for x in (r.text or "").split("\n")} if x)
-    boiler = {k for k, n in holds.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * pages[k[0]]}
-    want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in boiler) for r in before if r.text is not None}
-    assert {r.doc_id: r.text for r in after if r.text is not None} == want and len(before) == len(after)
+    want = dict(plain_lines([(r.doc_id, r.source, r.text) for r in before]))
+    assert {r.doc_id: r.text for r in after} == want and len(before) == len(after)
 
 
 def test_one_of_each_group_stays(stages):
