@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import cut, group_rank, join_counted, seeded_unit, source_key, table
 
 SEED, MOST_TIMES, WEIGHTS = 505, 3, (1, 2, 3)
-#: The knapsack's table: sums up to so many words are told apart exactly. What the proportional share
+#: The knapsack's table: sums up to so many words are told apart exactly (8 bytes each). What the proportional share
 #: leaves above that is first brought down by whole documents, so no length or source is left out.
 TABLE_WORDS = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -27,7 +27,7 @@ def targets(sources: DataFrame) -> DataFrame:
     """Adds target (double) to (skey, source_size): the level at which weight times level, held at
     MOST_TIMES the source's size, adds up to all sizes. Sources rank by key; empty ones get 0.
 
-    One row a source meets in the ordered windows.
+    One row a source meets in the ordered windows: names of sources are few (thousands), their documents are not here.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (((F.row_number().over(Window.orderBy("skey")) - 1) % len(WEIGHTS)) + 1).cast("int"))
     rows = sources.withColumn("__w", w).withColumn("__cap", (F.col("source_size") * MOST_TIMES).cast("double"))
@@ -46,8 +46,8 @@ def targets(sources: DataFrame) -> DataFrame:
 def subset_counts(lengths: np.ndarray, spare: np.ndarray, budget: int, most: int = TABLE_WORDS) -> np.ndarray:
     """How many documents of each length come nearest below or at budget (bounded knapsack).
 
-    Exact for budgets up to `most`; a larger one is first met down to `most`
-    with whole documents, the longest lengths first.
+    Exact for budgets up to `most`. A larger one is first met with whole documents, the longest first, until `most`
+    words are left or less. In both cases the miss is less than the shortest document left out, or all are taken.
     """
     take = np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -55,26 +55,26 @@ def subset_counts(lengths: np.ndarray, spare: np.ndarray, budget: int, most: int
         if budget <= most:
             break
         if lengths[i] > 0:
-            k = int(min(spare[i], (budget - most) // lengths[i] + (lengths[i] <= most)))
-            k = min(k, int(budget // lengths[i]))
+            k = int(min(spare[i], -(-(budget - most) // lengths[i]), budget // lengths[i]))
             take[i] += k
             budget -= k * int(lengths[i])
-    use = [int(i) for i in order if 0 < lengths[i] <= budget and spare[i] > take[i]]
-    mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
-    for i in use:
-        left, power = int(min(spare[i] - take[i], budget // lengths[i])), 1
-        while left > 0:  # powers of two make up every count
+    # The step that first reached each sum; a step takes k documents of a length, and powers of two make up every count.
+    first = np.full(budget + 1, -1, np.int64)
+    first[0], steps = 0, [(0, 0)]
+    for i in order:
+        left, power = int(min(spare[i] - take[i], budget // lengths[i])) if 0 < lengths[i] <= budget else 0, 1
+        while left > 0 and first[budget] < 0:
             k = min(power, left)
-            steps.append((i, k, reach))
-            reach |= (reach << (k * int(lengths[i]))) & mask
+            size = k * int(lengths[i])
+            new = np.flatnonzero((first[: len(first) - size] >= 0) & (first[size:] < 0)) + size
+            first[new] = len(steps)
+            steps.append((int(i), k))
             left, power = left - k, power * 2
-        if reach >> budget & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(lengths[i])
+    at = int(np.flatnonzero(first >= 0)[-1])
+    while at:
+        i, k = steps[first[at]]
+        take[i] += k
+        at -= k * int(lengths[i])
     return take
 
 

@@ -68,6 +68,22 @@ def test_subset_counts_is_best(spark):
         assert (near <= spare).all() and int((near * n).sum()) <= budget
 
 
+def test_a_large_budget_misses_less_than_the_shortest_left_out():
+    rng = random.Random(5)
+    for _ in range(300):
+        n = np.array(sorted({rng.randrange(1, 900) for _ in range(rng.randrange(1, 9))}))
+        spare, budget = np.array([rng.randrange(60) for _ in n]), rng.randrange(40_000)
+        take = subset_counts(n, spare, budget, most=2000)
+        miss, left = budget - int((take * n).sum()), n[take < spare]
+        assert (take <= spare).all() and miss >= 0 and (not len(left) or miss < left.min())
+
+
+def test_ids_that_are_null_or_repeated_are_each_taken_whole(spark, tables):
+    data = [(None, "w " * 7, "en", "a", 1, 0.0)] * 4 + [(3, "w " * 5, "en", None, 1, 0.0)] * 3 + [(3, "w", "en", None, 1, 0.0), (None, None, None, None, None, None)]
+    got = op5_mixing(spark, tables(documents=(data, DOCS))).collect()
+    assert len(got) == 9 and sum(r["size"] for r in got) == 44 and all(r.taken % max(r["size"], 1) == 0 and r.taken <= 3 * r["size"] for r in got)
+
+
 def test_a_little_over_is_nearer_than_far_below(spark, tables):
     data = [(i, "w " * n, "en", s, 1, 0.0) for i, (n, s) in enumerate([(100, "a"), (90, "a"), (80, "a"), (269, "b"), (270, "b")])]
     got = op5_mixing(spark, tables(documents=(data, DOCS))).collect()
