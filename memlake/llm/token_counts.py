@@ -112,7 +112,11 @@ class Rollup:
         return fs.exists(p)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Writes the deltas of a batch unless it is there; True if this call did."""
+        """Writes the deltas of a batch unless it is there; True if this call did.
+
+        One writer commits a batch at a time: two that write the same id at once are not told apart, so the caller
+        gives each id to one of them.
+        """
         if self.committed(batch_id):
             return False
         changes.coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))
@@ -132,11 +136,24 @@ class Rollup:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, lang and tokenizer_version after all documents were loaded as one batch,
-    committed twice. Null sources and languages are keys of their own."""
+    """Totals by source, lang and tokenizer_version of all documents, reached through signed batches.
+
+    A tenth of the documents is loaded under another source and language and revised later; another tenth is loaded
+    twice over and deleted once. The batches are committed out of order and each of them twice, so the totals are those
+    of the documents as they are. Null sources and languages are keys of their own.
+    """
     ensure_checkpoint_dir(spark)
     rollup = Rollup(spark, f"{spark.sparkContext.getCheckpointDir()}/token_counts_{uuid.uuid4().hex}")
-    load = deltas(table(spark, sf_dir, "documents").select(F.lit(1).alias("sign"), "source", "lang", "text"))
-    rollup.commit("load", load)
-    rollup.commit("load", load)
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(10)).alias("tenth"))
+    moved, twice = F.col("tenth") == 0, F.col("tenth") == 1
+    null = F.lit(None).cast("string")
+    blank = [null.alias(f"old_{c}") for c in ("source", "lang", "text")]
+    load = docs.select(F.lit("insert").alias("op"), F.when(moved, F.lit("unsorted")).otherwise(F.col("source")).alias("source"), F.when(moved, null).otherwise(F.col("lang")).alias("lang"), "text", *blank)
+    again = docs.filter(twice).select(F.lit("insert").alias("op"), "source", "lang", "text", *blank)
+    gone = docs.filter(twice).select(F.lit("delete").alias("op"), *[null.alias(c) for c in ("source", "lang", "text")], *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "text")])
+    sorted_in = docs.filter(moved).select(F.lit("revise").alias("op"), "source", "lang", "text", F.lit("unsorted").alias("old_source"), null.alias("old_lang"), F.col("text").alias("old_text"))
+    for batch_id, changes in (("revised", sorted_in.unionByName(gone)), ("load", load.unionByName(again))):
+        batch = deltas(signed_rows(changes))
+        rollup.commit(batch_id, batch)
+        rollup.commit(batch_id, batch)
     return rollup.totals()
