@@ -41,7 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shingle_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group; documents without words or id stay.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id and its text one stays; those of an id with other texts all do.
     """
     joined = near.join(docs, WORDS, NUM, DEN).filter("doc_id = component_id and n_shingles > 0").select("doc_id")
     joined = cut(joined.groupBy("doc_id").agg(F.count("*").alias("__rows")))
@@ -49,7 +49,8 @@ def shingle_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept = near.with_cells(docs.filter(~alone), joined)
     if not joined.filter("__rows > 1").isEmpty():
         once, more = kept.filter("__rows = 1"), kept.filter("__rows > 1")
-        kept = once.unionByName(more.dropDuplicates(["doc_id"]))
+        digests = [F.xxhash64(F.lit(i), "text").alias(f"__t{i}") for i in (1, 2)]
+        kept = once.unionByName(more.select("*", *digests).dropDuplicates(["doc_id", "__t1", "__t2"]).drop("__t1", "__t2"))
     return kept.select(*docs.columns).unionByName(docs.filter(alone))
 
 
