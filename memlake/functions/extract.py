@@ -34,7 +34,7 @@ PRONOUNS = frozenset(("it", "this", "that", "he", "she", "they", "we", "i", "you
 
 def _row(s: str, a: str, v: str) -> tuple[str, str, str] | None:
     s, v = re.sub(r"^[Tt]he ", "", s.strip()), re.sub(r"^(?:the|a|an) ", "", v.strip())
-    return (fact_key(s), fact_key(a), v) if s and v and s.lower() not in PRONOUNS and len(v) <= 120 else None
+    return (fact_key(s), fact_key(a), v) if s and v and s.lower() not in PRONOUNS else None
 
 
 def facts(text: str) -> list[tuple[str, str, str]]:

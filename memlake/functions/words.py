@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+
 # Irregular forms and what they come from.
 IRREGULAR = {
     "paid": "pay", "bought": "buy", "sold": "sell", "met": "meet", "went": "go", "gone": "go", "ran": "run",
@@ -117,8 +117,13 @@ def is_symbol(char: str) -> bool:
     return char > "\x7f" and unicodedata.category(char)[0] == "S" and not "\U0001f3fb" <= char <= "\U0001f3ff"
 
 
+_RARE = re.compile(rf"[{CJK}]|[^\w\s\x00-\x7f]")
+
+
 def segment(text: str) -> list[str]:
     """Words; runs of CJK letters as overlapping pairs (one letter alone as it is); symbols as words."""
+    if not _RARE.search(text):
+        return WORD.findall(text)
     out: list[str] = []
     for part in _PART.findall(text):
         if _IN_CJK.match(part):
@@ -128,23 +133,62 @@ def segment(text: str) -> list[str]:
     return out
 
 
-def _features(text: str) -> Counter:
-    words = segment(re.sub(r"(\w)['’]s\b", r"\1", text.lower()))
-    topic = [w for w in words if w not in STOP] or words
-    grams = Counter(("w", w) for w in topic)
-    grams.update(("b", f"{a} {b}") for a, b in zip(topic, topic[1:], strict=False))
-    for w in topic:
-        edge = f"<{w}>"
-        grams.update(("c", edge[i : i + 3]) for i in range(len(edge) - 2))
-    return grams
+_OWNED = re.compile(r"(\w)['’]s\b")
+#: Distinct features that a worker remembers the hashes of.
+KNOWN_FEATURES = 1 << 19
+_hashes: dict[str, int] = {}
+
+
+def _hash(feature: str) -> int:
+    found = _hashes.get(feature)
+    if found is None:
+        if len(_hashes) >= KNOWN_FEATURES:
+            _hashes.clear()
+        found = _hashes[feature] = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+    return found
+
+
+def embed_all(texts: list[str | None], dim: int = 256) -> np.ndarray:
+    """A row for each text: signed feature hashing of words, pairs of words and letter trigrams (half weight), each
+    1 + ln of its count, scaled to length 1. A text without words has zeros.
+
+    The words of all texts are numbered first, so trigrams and hashes are found once for each distinct word.
+    """
+    number: dict[str, int] = {}
+    docs = []
+    for text in texts:
+        said = segment(_OWNED.sub(r"\1", text.lower())) if text else []
+        topic = [w for w in said if w not in STOP] or said
+        docs.append(np.fromiter((number.setdefault(w, len(number)) for w in topic), np.int64, len(topic)))
+    words = list(number)
+    trigram: dict[str, int] = {}
+    held = [np.fromiter((trigram.setdefault(f"<{w}>"[i : i + 3], len(trigram)) for i in range(len(w))), np.int64, len(w)) for w in words]
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    flat, begin = np.concatenate([np.zeros(0, np.int64), *held]), np.cumsum(sizes) - sizes
+    hashed = lambda kind, grams: np.fromiter((_hash(f"{kind}:{g}") for g in grams), np.uint64, len(grams))
+    word_hash, trigram_hash = hashed("w", words), hashed("c", trigram)
+    out = np.zeros((len(texts), dim))
+    for row, own in enumerate(docs):
+        if not len(own):
+            continue
+        code, n = np.unique(own, return_counts=True)
+        _add(out[row], word_hash[code], n, 1.0)
+        if len(own) > 1:
+            pair, m = np.unique(own[:-1] * len(words) + own[1:], return_counts=True)
+            _add(out[row], hashed("b", [f"{words[a]} {words[b]}" for a, b in zip(*divmod(pair, len(words)), strict=True)]), m, 1.0)
+        size = sizes[code]
+        at = np.repeat(begin[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        count = np.bincount(flat[at], np.repeat(n, size), 0)
+        seen = np.flatnonzero(count)
+        _add(out[row], trigram_hash[seen], count[seen], 0.5)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
+
+
+def _add(vector: np.ndarray, hashes: np.ndarray, counts: np.ndarray, weight: float) -> None:
+    size = weight * (1.0 + np.log(counts)) * np.where(hashes >> np.uint64(63), -1.0, 1.0)
+    vector += np.bincount((hashes % np.uint64(len(vector))).astype(np.int64), size, len(vector))
 
 
 def embed(text: str, dim: int = 256) -> list[float]:
-    """Signed feature hashing of words, pairs of words and letter trigrams (half weight), scaled to length 1."""
-    v = [0.0] * dim
-    for (kind, gram), n in _features(text).items():
-        h = int.from_bytes(hashlib.blake2b(f"{kind}:{gram}".encode(), digest_size=8).digest(), "little")
-        size = (0.5 if kind == "c" else 1.0) * (1.0 + math.log(n))
-        v[h % dim] += -size if h >> 63 else size
-    length = math.sqrt(sum(x * x for x in v))
-    return [x / length for x in v] if length else v
+    return embed_all([text], dim)[0].tolist()

@@ -110,7 +110,7 @@ def contradictions(rows: DataFrame, by: str, most_common: float = 0.4) -> DataFr
 
 
 def closed_todos(todos: DataFrame, others: DataFrame, by: str, least: float = 0.6) -> DataFrame:
-    """(todo, closer): later memories of the group that hold at least 0.6 of a todo's words.
+    """(g, todo, closer): later memories of the group that hold at least 0.6 of a todo's words.
 
     A closer holds one of the first n - ceil(0.6 n) + 1 of the todo's n words in any
     fixed order, so both meet on those words only.
@@ -121,4 +121,4 @@ def closed_todos(todos: DataFrame, others: DataFrame, by: str, least: float = 0.
     o = others.select(F.col("id").alias("closer"), F.col(by).alias("g"), F.col("created_at").alias("__o"), keys("content").alias("ko"))
     met = t.withColumn("w", F.explode(first)).join(o.withColumn("w", F.explode("ko")), ["g", "w"]).filter((F.col("__o") > F.col("__t")) & (F.col("todo") != F.col("closer")))
     share = F.size(F.array_intersect("kt", "ko")) / F.size("kt")
-    return met.dropDuplicates(["todo", "closer"]).filter(share >= least).select("todo", "closer")
+    return met.dropDuplicates(["g", "todo", "closer"]).filter(share >= least).select("g", "todo", "closer")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import words
+from memlake.functions.arrow import batched
 from memlake.schema import POLICIES, Recall
+from memlake.sources.shared import ensure_checkpoint_dir
 
 CONFIG = Recall()
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -33,20 +36,63 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))).cast("double")).alias("avg_len"))
 
 
+def term_hits(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, len, hits) of every document: its number of tokens, and those of them that are asked for.
+
+    Texts are read and split once and stay in the task; the narrow rows are cut from their lineage, for counts and
+    scores both start from them. terms is a bounded batch and travels as one row.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    asked = terms.agg(F.collect_set("term").alias("__asked"))
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("__t")).join(F.broadcast(asked))
+    return rows.select("id", F.size("__t").alias("len"), F.filter("__t", lambda t: F.array_contains("__asked", t)).alias("hits")).checkpoint()
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "content", c: Recall = CONFIG) -> DataFrame:
-    """(query_id, id, score) of every document that holds a term of the query.
+    """(query_id, id, score, coverage) of every document that holds a term of the query; coverage is the share of the
+    query's distinct terms that it holds.
 
     queries is a bounded batch: its terms are broadcast, documents are scanned once
     and only hits are shuffled.
     """
     terms = query_terms(queries)
-    post = postings(docs, id_col, text_col, terms)
+    found = term_hits(docs, terms, id_col, text_col)
+    post = found.filter(F.size("hits") > 0).select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text_col)
+    stats = found.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    asked = terms.join(terms.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id")
     idf = F.greatest(F.lit(c.least_idf), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("len") / F.col("avg_len")))
-    hits = post.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))
-    return hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+    # df has a row a term and stats one: both are as bounded as the batch of queries.
+    hits = post.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").join(F.broadcast(stats))
+    return hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"), (F.count("*") / F.max("asked")).alias("coverage"))
+
+
+def text_cosines(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(query_id, id, cosine) of the hash embeddings of every document with those of a bounded batch of queries.
+
+    The queries are embedded on the driver and travel with the task; a batch of documents is embedded and multiplied
+    with them at once, and only numbers leave the task. Texts without words have cosine 0, null ones none.
+    """
+    asked = [(r.query_id, r.query) for r in queries.select("query_id", "query").collect()]
+    vectors = words.embed_all([q for _, q in asked])
+    cosines = batched(lambda texts: words.embed_all(texts) @ vectors.T, "array<double>", F.col(text_col))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), cosines.alias("__c"))
+    ids = F.array(*[F.lit(q) for q, _ in asked])
+    return rows.select("id", F.explode(F.arrays_zip(ids.alias("q"), F.col("__c").alias("c"))).alias("x")).select(F.col("x.q").alias("query_id"), "id", F.col("x.c").alias("cosine"))
+
+
+def hybrid(lexical: DataFrame, vector: DataFrame, depth: int = 50, c: Recall = CONFIG) -> DataFrame:
+    """(query_id, id, rrf, relevance, seed) of the candidates of two channels, depth rows a query each.
+
+    lexical (query_id, id, score, coverage) and vector (query_id, id, cosine) rank their own rows; the sums of
+    1 / (60 + rank) order the union. Relevance is the larger of cosine and coverage, between 0 and 1.
+    """
+    ranked = lambda df, by: top_k(df.withColumn(by, F.round(by, 9)), depth, by).select("query_id", "id", "rank")
+    fused = rrf(ranked(lexical, "score").unionByName(ranked(vector, "cosine")), c)
+    known = fused.join(lexical.select("query_id", "id", "coverage"), ["query_id", "id"], "left").join(vector.select("query_id", "id", "cosine"), ["query_id", "id"], "left")
+    best = F.greatest(F.coalesce("cosine", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0)))
+    return rrf_seed(known.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), best))).drop("cosine", "coverage"), c=c)
 
 
 def rank(scored: DataFrame, score: str = "score", out: str = "rank", by: str = "query_id") -> DataFrame:
@@ -76,10 +122,13 @@ def rrf_seed(fused: DataFrame, n_channels: int = 2, c: Recall = CONFIG) -> DataF
 
 
 def normalised(scored: DataFrame, score: str = "cosine") -> DataFrame:
-    """Adds norm: the score over the query's largest; rows without one take the query's least."""
-    w = Window.partitionBy("query_id")
-    n = F.col(score) / F.max(score).over(w)
-    return scored.withColumn("__n", n).withColumn("norm", F.coalesce("__n", F.min("__n").over(w))).drop("__n")
+    """Adds norm: the score over the query's largest; rows without one take the query's least.
+
+    The largest and the least are pre-aggregated, so no task holds all rows of a query.
+    """
+    ends = scored.groupBy("query_id").agg(F.max(score).alias("__max"), F.min(score).alias("__min"))
+    rows = scored.join(ends, "query_id")
+    return rows.withColumn("norm", F.coalesce(F.col(score), F.col("__min")) / F.col("__max")).drop("__max", "__min")
 
 
 def score_seed(scored: DataFrame, share: float = CONFIG.lexical_share) -> DataFrame:

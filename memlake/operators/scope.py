@@ -65,7 +65,7 @@ def open_memories(fragments: DataFrame) -> DataFrame:
 def kind(tags: Column) -> Column:
     """The first kind tag's name."""
     found = F.filter(tags, lambda t: t.startswith("kind:"))
-    return F.substring(F.try_element_at(found, F.lit(1)), 6, 100)
+    return F.regexp_replace(F.try_element_at(found, F.lit(1)), "^kind:", "")
 
 
 # Labels at the start of a memory, and the kinds they name.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import chunks, dates, extract, screening, words
-from memlake.functions.arrow import over
+from memlake.functions.arrow import batched, over
 
 
 def stems(text: Column | str) -> Column:
@@ -20,7 +20,9 @@ def coverage(query: Column | str, text: Column | str) -> Column:
 
 
 def embed(text: Column | str, dim: int = 256) -> Column:
-    return over(lambda t: words.embed(t, dim), "array<double>", text)
+    """The hash embedding; null for a null text."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.when(c.isNotNull(), batched(lambda values: words.embed_all(values, dim), "array<double>", c))
 
 
 def anchors(text: Column | str) -> Column:

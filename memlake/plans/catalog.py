@@ -53,13 +53,14 @@ BM25_SQL = (
     "post AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL)",
     "dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)",
     "st AS (SELECT count(*) AS n, avg(coalesce(len(t), 0))::DOUBLE AS al FROM tok)",
-    "bm AS (SELECT query_id, id, sum(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS score FROM post JOIN dfs USING (term) JOIN terms USING (term), st GROUP BY query_id, id)",
+    "nt AS (SELECT query_id, count(*) AS asked FROM terms GROUP BY query_id)",
+    "bm AS (SELECT query_id, id, count(*) / any_value(asked)::DOUBLE AS coverage, sum(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS score FROM post JOIN dfs USING (term) JOIN terms USING (term) JOIN nt USING (query_id), st GROUP BY query_id, id)",
 )
 
 
 @query("SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10", *BM25_SQL)
 def bm25_topk(spark, sf):
-    docs = src.table(spark, sf, "documents")
+    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"))
     scored = recall.bm25(docs, questions(spark), "doc_id", "text").withColumn("score", F.round("score", 9))
     return recall.top_k(scored, 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"))
 
@@ -106,7 +107,7 @@ def _cosines(spark, sf):
     """All vectors against a bounded set of queries: the labels' centroids, broadcast."""
     v = src.table(spark, sf, "embeddings")
     q = centroids(v, "label").select(F.col("label").cast("long").alias("query_id"), "centroid")
-    return v.crossJoin(F.broadcast(q)).select("query_id", F.col("vec_id").alias("id"), recall.cosine(F.col("centroid"), F.col("embedding")).alias("cosine"))
+    return v.join(F.broadcast(q)).select("query_id", F.col("vec_id").alias("id"), recall.cosine(F.col("centroid"), F.col("embedding")).alias("cosine"))
 
 
 @query("SELECT query_id::BIGINT AS query_id, rank, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM cs) WHERE rank <= 10", *COS_SQL)
@@ -123,24 +124,28 @@ def normalised_cosine(spark, sf):
 FUSE_SQL = (
     *BM25_SQL,
     "frag AS (SELECT doc_id AS id, CASE WHEN l.quality = 1 THEN 0.8::DOUBLE WHEN l.quality = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS importance, CASE WHEN l.toxic = 1 THEN 0.2::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM documents LEFT JOIN labels l USING (doc_id))",
-    "lex AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)",
-    "pri AS (SELECT query_id, lex.id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, lex.id) AS rank FROM lex JOIN frag USING (id))",
-    "fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, id, rank FROM lex WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM pri WHERE rank <= 50) GROUP BY query_id, id)",
-    "seeded AS (SELECT f.*, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(b.score, 0) / 10)) AS relevance FROM fused f LEFT JOIN bm b USING (query_id, id))",
+    "comp AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+    "vs AS (SELECT q.query_id, v.vec_id AS id, sum(a.x * v.x) / sqrt(sum(a.x * a.x) * sum(v.x * v.x)) AS cosine FROM questions q JOIN comp a ON a.vec_id = q.query_id JOIN comp v USING (i) GROUP BY ALL)",
+    "lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)",
+    "vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM vs)",
+    "fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, id, rank FROM lex WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM vec WHERE rank <= 50) GROUP BY query_id, id)",
+    "seeded AS (SELECT f.*, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(v.cosine, 0), coalesce(b.coverage, 0))) AS relevance FROM fused f LEFT JOIN bm b USING (query_id, id) LEFT JOIN vs v USING (query_id, id))",
     "ranked AS (SELECT s.query_id, s.id, s.relevance, round((0.5 * least(1.0::DOUBLE, rrf / (2.0::DOUBLE / 61)) + 0.5 * relevance) * (0.75 + 0.25 * (0.55 * importance + 0.20 * confidence + 0.25 * 0.5)), 6) AS score FROM seeded s JOIN frag USING (id))",
 )
 
 
+def _stored_cosines(spark, sf):
+    """The stored vectors against those of the questions (each has the stored vector of its own id)."""
+    v = src.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = questions(spark).join(v, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("asked"))
+    return v.join(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("id"), recall.cosine(F.col("asked"), F.col("embedding")).alias("cosine"))
+
+
 def _fused(spark, sf):
-    """The lexical channel and an importance channel, fifty rows a query each, fused by rank."""
+    """The keyword channel over the texts and the vector channel over stored vectors, fifty rows a question each."""
     frags = src.fragments(spark, sf).select("id", "importance", "confidence")
-    scored = recall.bm25(src.table(spark, sf, "documents"), questions(spark), "doc_id", "text").withColumn("score", F.round("score", 9))
-    lexical = recall.top_k(scored, 50)
-    prior = recall.top_k(scored.join(frags, "id").select("query_id", "id", "importance"), 50, "importance")
-    both = lexical.select("query_id", "id", "rank").unionByName(prior.select("query_id", "id", "rank"))
-    fused = recall.rrf(both).join(scored, ["query_id", "id"], "left")
-    fused = fused.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0)) / 10))).drop("score")
-    return recall.rrf_seed(fused), frags
+    lexical = recall.bm25(src.spread(src.table(spark, sf, "documents").select("doc_id", "text")), questions(spark), "doc_id", "text")
+    return recall.hybrid(lexical, _stored_cosines(spark, sf)), frags
 
 
 @query("SELECT query_id, id, round(rrf, 6) AS rrf FROM fused", *FUSE_SQL)
@@ -160,6 +165,17 @@ def _reranked(spark, sf):
     return recall.rerank(fused.join(frags, "id").withColumn("node_weight", F.lit(0.5)).withColumn("demotion", F.lit(1.0)))
 
 
+@query()
+def recall_hybrid(spark, sf):
+    """The ten best documents of each question by words and by the embeddings of the texts themselves."""
+    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"))
+    asked = questions(spark)
+    fused = recall.hybrid(recall.bm25(docs, asked, "doc_id", "text"), recall.text_cosines(docs, asked, "doc_id", "text"))
+    frags = src.fragments(spark, sf).select("id", "importance", "confidence")
+    ranked = recall.rerank(fused.join(frags, "id").withColumn("node_weight", F.lit(0.5)).withColumn("demotion", F.lit(1.0)))
+    return recall.display(recall.top_k(ranked, 10)).select("query_id", "rank", "id", six(F.col("relevance")).alias("relevance"), six(F.col("shown")).alias("shown"))
+
+
 @query("SELECT query_id, id, score FROM ranked", *FUSE_SQL)
 def rerank_priors(spark, sf):
     return _reranked(spark, sf).select("query_id", "id", "score")

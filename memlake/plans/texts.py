@@ -52,14 +52,14 @@ def document_terms(spark, sf):
 @query()
 def query_coverage(spark, sf):
     """Each question's best covered documents; the questions are few and broadcast."""
-    docs = src.table(spark, sf, "documents").crossJoin(F.broadcast(questions(spark)))
+    docs = src.table(spark, sf, "documents").join(F.broadcast(questions(spark)))
     scored = docs.select("query_id", F.col("doc_id").alias("id"), six(text.coverage("query", "text")).alias("coverage"))
     return scored.filter("coverage > 0.3")
 
 
 @query()
 def document_embeddings(spark, sf):
-    return src.table(spark, sf, "documents").select("doc_id", text.embed("text").alias("embedding"))
+    return src.spread(src.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.embed("text").alias("embedding"))
 
 
 @query()
@@ -69,7 +69,7 @@ def document_anchors(spark, sf):
 
 @query()
 def document_chunks(spark, sf):
-    return text.chunked(src.table(spark, sf, "documents"), "doc_id", "text", "source")
+    return text.chunked(src.spread(src.table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source")
 
 
 @query()
@@ -85,7 +85,7 @@ def document_dates(spark, sf):
 
 @query()
 def write_policy(spark, sf):
-    docs = text.write_policy(src.table(spark, sf, "documents").select("doc_id", "text"), "text", pii=True)
+    docs = text.write_policy(src.spread(src.table(spark, sf, "documents").select("doc_id", "text")), "text", pii=True)
     return docs.select("doc_id", "kinds", "reasons", "accepted")
 
 

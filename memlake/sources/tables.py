@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: a small table in one file gives one otherwise.
+
+    A table of more partitions than cores is left as it is, so no text is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fragments(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
     """Documents as memories: the source is the agent, the language the session; labels give state and importance.
 

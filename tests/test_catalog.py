@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from memlake.plans import catalog
-from memlake.plans import texts  # noqa: F401  registers its queries
+from memlake.plans import texts, upkeep  # noqa: F401  register their queries
 
 SF = "/root/testdata/sf0.001"
 
