@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.operators import brief, lifecycle, ordering, recall, scope, similarity, text
-from memlake.plans.catalog import QUESTIONS_SQL, _reranked, query, questions, six
+from memlake.plans.catalog import FUSE_SQL, QUESTIONS_SQL, _reranked, query, questions, six
 from memlake.sources import tables as src
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -96,12 +96,16 @@ def stated_facts(spark, sf):
     return docs.select("doc_id").join(text.stated_facts(docs, "doc_id", "text").withColumnRenamed("id", "doc_id"), "doc_id", "left")
 
 
-@query()
+@query(
+    "SELECT t.conv_id, t.turn, coalesce(p.against, -1) AS against FROM conversations t LEFT JOIN pairs p USING (conv_id, turn)",
+    r"said AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 3)) AS w FROM conversations)",
+    "pairs AS (SELECT a.conv_id, a.turn, b.turn AS against FROM said a JOIN said b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(a.w) > 0 AND len(b.w) > 0 AND list_has_any(list_concat(a.w, b.w), ['not', 'never', 'without', 'cannot', 'stopped']) AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE >= 0.4)",
+)
 def conversation_contradictions(spark, sf):
-    """Turns and the later turns of their conversation that they contradict; a turn is named by (conv_id, turn)."""
+    """Turns and the later turns of their conversation that they contradict (-1: none); a turn is named by (conv_id, turn)."""
     turns = src.table(spark, sf, "conversations").select(F.col("turn").alias("id"), "conv_id", F.col("text").alias("content"))
     pairs = lifecycle.contradictions(turns, "conv_id").select(F.col("g").alias("conv_id"), F.col("a").alias("turn"), F.col("b").alias("against"))
-    return turns.select("conv_id", F.col("id").alias("turn")).join(pairs, ["conv_id", "turn"], "left").select("conv_id", "turn", "against")
+    return turns.select("conv_id", F.col("id").alias("turn")).join(pairs, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("against", F.lit(-1)).alias("against"))
 
 
 @query()
@@ -155,7 +159,10 @@ def temporal_band_order(spark, sf):
     return ordering.temporal_band(rows).select("query_id", "id", "rank", "band", "place")
 
 
-@query()
+@query(
+    "SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS text FROM (SELECT *, sum(ceil(length(line) / 4.0) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS cost FROM (SELECT query_id, rank, rank || '. ' || substr(text, 1, 120) AS line FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ranked) JOIN documents ON doc_id = id WHERE rank <= 10)) WHERE cost <= 200 GROUP BY query_id",
+    *FUSE_SQL,
+)
 def rendered_results(spark, sf):
     return ordering.render(_listed(spark, sf), "query_id", "rank", F.substring("content", 1, 120), 200)
 
