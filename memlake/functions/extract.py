@@ -23,8 +23,32 @@ RULES: list[tuple[re.Pattern, str]] = [
         (rf"\b{S} (?:works at|works for|joined) {V}{END}", "employer"),
         (rf"\b{S}(?:'s)? status (?:is|changed to) {V}{END}", "status"),
         (rf"\b{S} is assigned to {V}{END}", "assignee"),
+        # People.
+        (rf"\b{S} works as an? {V}{END}", "occupation"),
+        (rf"\b{S} is (?P<v>\d{{1,3}}) years old", "age"),
+        (rf"\b{S} was born (?:on|in) {V}{END}", "birth"),
+        (rf"\b{S} is married to {V}{END}", "spouse"),
+        (rf"\b{S} is allergic to {V}{END}", "allergy"),
+        (rf"\b{S} is (?:an? )?(?P<v>vegetarian|vegan|pescatarian)\b", "diet"),
+        (rf"\b{S} (?:started|begins|began) (?:work|working) (?:on|in) {V}{END}", "job start"),
+        (rf"\b{S} prefers {V}{END}", "preference"),
+        (rf"\b{S} speaks (?P<v>[^.;]+?)(?=\s*(?:[.;]|$))", "language"),
+        # Things and plans.
+        (rf"\b{S} costs (?P<v>[$€£]?\d+(?:[.,]\d+)*(?: (?:dollars|euros|pounds))?)", "price"),
+        (rf"\b{S} (?:weighs|measures) (?P<v>\d+(?:[.,]\d+)* ?[a-z]+)", "measure"),
+        (rf"\b{S} drinks {V}{END}", "drink"),
+        (rf"\b{S} uses {V}{END}", "uses"),
+        (rf"\b{S} works on {V}{END}", "project"),
+        (rf"\b{S} has an appointment (?:on|at|with) {V}{END}", "appointment"),
     ]
 ]
+#: Attributes whose value is a list.
+LISTED = frozenset(("language",))
+#: Own names for the same attribute.
+SAME = {"boss": "manager", "lead": "manager", "job": "occupation", "profession": "occupation", "birthday": "birth", "date of birth": "birth", "mail": "email", "e mail": "email", "telephone": "phone", "city": "location", "home town": "location", "company": "employer"}
+ENV = re.compile(r"^\s*(?:export\s+)?(?P<a>[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)=(?P<v>\S.*?)\s*$")
+LIST = re.compile(r"^\s*(?P<a>emails?|phones?|languages?|members?|owners?)\s*(?:of|for) (?P<s>[\w .-]+?)\s*:\s*(?P<v>\S.*?)\s*$", re.I)
+COMMA = re.compile(r"\s*(?:,|;|\band\b)\s*")
 OF = re.compile(rf"\b[Tt]he (?P<a>[a-z]+) (?:of|for) {S} is (?:now )?{V}{END}")
 HAS = re.compile(rf"\b{S}'s (?P<a>[a-z]+) is (?:now )?{V}{END}")
 PAIR = re.compile(r"^\s*(?P<s>[A-Za-z][\w-]*)[. ](?P<a>[A-Za-z][\w-]*)\s*[:=]\s*(?P<v>\S.*?)\s*$")
@@ -33,8 +57,12 @@ PRONOUNS = frozenset(("it", "this", "that", "he", "she", "they", "we", "i", "you
 
 
 def _row(s: str, a: str, v: str) -> tuple[str, str, str] | None:
+    """The row as it is kept, or nothing: pronouns are no subjects, and masked values none to keep."""
     s, v = re.sub(r"^[Tt]he ", "", s.strip()), re.sub(r"^(?:the|a|an) ", "", v.strip())
-    return (fact_key(s), fact_key(a), v) if s and v and s.lower() not in PRONOUNS else None
+    if not s or not v or s.lower() in PRONOUNS or v.lower() in PRONOUNS or v.startswith("[REDACTED"):
+        return None
+    a = fact_key(a)
+    return fact_key(s), SAME.get(a, a), v
 
 
 def facts(text: str) -> list[tuple[str, str, str]]:
@@ -57,6 +85,12 @@ def facts(text: str) -> list[tuple[str, str, str]]:
                 out += [_row(cells[0], a, v) for a, v in zip(table[1:], cells[1:], strict=False)]
             continue
         table = None
+        if m := ENV.match(line):
+            out.append(_row("environment", m["a"], m["v"]))
+            continue
+        if m := LIST.match(line):
+            out += [_row(m["s"], m["a"].lower().removesuffix("s"), v) for v in COMMA.split(m["v"])]
+            continue
         if m := PAIR.match(line):
             out.append(_row(m["s"], m["a"], m["v"]))
             continue
@@ -66,7 +100,7 @@ def facts(text: str) -> list[tuple[str, str, str]]:
             for m in (*OF.finditer(sentence), *HAS.finditer(sentence)):
                 out.append(_row(m["s"], m["a"], m["v"]))
             for rule, attribute in RULES:
-                out += [_row(m["s"], attribute, m["v"]) for m in rule.finditer(sentence)]
+                out += [_row(m["s"], attribute, v) for m in rule.finditer(sentence) for v in (COMMA.split(m["v"]) if attribute in LISTED else [m["v"]])]
     return list(dict.fromkeys(r for r in out if r))
 
 

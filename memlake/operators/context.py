@@ -153,3 +153,35 @@ def missing_relations(queries: DataFrame, facts: DataFrame) -> DataFrame:
     named = F.regexp_extract_all(F.lower("query"), F.lit(rf"\bmy ({'|'.join(RELATIONS)})\b"), F.lit(1))
     asked = queries.select("query_id", F.explode(F.array_distinct(named)).alias("relation"))
     return asked.join(facts.select(F.lower("attribute").alias("relation")).distinct(), "relation", "left_anti")
+
+
+def names_in_view(turns: DataFrame, view: int) -> DataFrame:
+    """(conv_id, turn, names) of stored turns (conv_id, turn, names mentioned): what was mentioned in so many turns up to each."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-(view - 1), 0)
+    return turns.select("conv_id", "turn", F.array_sort(F.array_distinct(F.flatten(F.collect_list("names").over(w)))).alias("names"))
+
+
+def corrections(claims: DataFrame, chained: DataFrame) -> DataFrame:
+    """Claims (subject, attribute, value) that were so once and are not any more, with the value that holds now.
+
+    chained has valid_to; a value that holds again is no mistake.
+    """
+    key = ["subject", "attribute"]
+    now = chained.filter("valid_to is null").select(*key, F.col("value").alias("current"))
+    ended = chained.filter("valid_to is not null").select(*key, "value").distinct()
+    return claims.select(*key, "value").distinct().join(ended, [*key, "value"], "left_semi").join(now, key).filter("value <> current")
+
+
+# Memories that a query's dates may bring in, and the largest scope in which they do.
+DATED, DATED_SCOPE = 50, 20_000
+
+
+def dated_candidates(fragments: DataFrame, ranges: DataFrame, most: int = DATED, scope: int = DATED_SCOPE) -> DataFrame:
+    """(query_id, id): the most important memories whose day lies in a range (query_id, start, end), where the scope is
+    small enough for all of them to be looked at. The scope is counted in the plan; ranges are as few as the queries."""
+    size = fragments.agg(F.count("*").alias("__all")).filter(F.col("__all") <= scope)
+    day = F.to_date("created_at")
+    inside = fragments.join(F.broadcast(size)).join(F.broadcast(ranges), (day >= F.col("start")) & (day <= F.col("end")))
+    w = Window.partitionBy("query_id").orderBy(F.col("importance").desc(), F.col("created_at").desc(), F.col("id").desc())
+    found = inside.select("query_id", "id", "importance", "created_at").dropDuplicates(["query_id", "id"])
+    return found.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("query_id", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.schema import Recall
+from memlake.sources.shared import ensure_checkpoint_dir
 
 
 def both_ways(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -16,11 +17,12 @@ def both_ways(edges: DataFrame, direction: str = "both") -> DataFrame:
 
 def neighborhood(edges: DataFrame, start: DataFrame, depth: int, direction: str = "both") -> DataFrame:
     """(origin, node, depth): nodes within so many steps, at their least depth."""
+    ensure_checkpoint_dir(edges.sparkSession)
     steps = both_ways(edges, direction).select("src", "dst").distinct()
     seen = frontier = start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
         nxt = frontier.join(steps, frontier["node"] == steps["src"]).select("origin", F.col("dst").alias("node"), F.lit(d).alias("depth")).distinct()
-        frontier = nxt.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        frontier = nxt.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").checkpoint()  # else each level would be made again by the next
         seen = seen.unionByName(frontier)
     return seen
 
@@ -42,14 +44,21 @@ def contradicted_by(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.join(against, seeds["node"] == against["src"]).select("origin", F.col("dst").alias("node")).distinct()
 
 
+#: Digits of the digest of a member's id that name its leaf: 65,536 leaves a block, so one of a billion members has leaves of a megabyte.
+LEAF_DIGITS = 4
+
+
 def seal(members: DataFrame, block: str, sealed_at: str) -> DataFrame:
-    """Blocks with the digest of their sorted (id, hash) members, chained to the block sealed before.
+    """Blocks with the digest of their (id, hash) members, chained to the block sealed before.
 
-    Members' digests are first reduced to an order-independent list a block; blocks
-    are few, so one ordered window chains them.
+    The digest has two levels, so no task holds a block: members are dealt to leaves by the first digits of
+    their id's MD5, a leaf's digest is that of its sorted id:hash joined by commas, and the block's that of its sorted
+    leaf:digest joined likewise. Blocks are few, so one ordered window chains them.
     """
-    pairs = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "id", "hash"))), ",")
-    blocks = members.groupBy(block).agg(F.sha2(pairs, 256).alias("content_hash"), F.max(sealed_at).alias("sealed_at"), F.count("*").alias("members"))
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256)
+    leaf = F.substring(F.md5(F.col("id").cast("string")), 1, LEAF_DIGITS).alias("__leaf")
+    leaves = members.groupBy(block, leaf).agg(joined(F.concat_ws(":", "id", "hash")).alias("__d"), F.max(sealed_at).alias("__at"), F.count("*").alias("__n"))
+    blocks = leaves.groupBy(block).agg(joined(F.concat_ws(":", "__leaf", "__d")).alias("content_hash"), F.max("__at").alias("sealed_at"), F.sum("__n").alias("members"))
     order = Window.orderBy("sealed_at", block)
     return blocks.withColumn("prev_block", F.lag(block).over(order)).withColumn("prev_hash", F.lag("content_hash").over(order))
 

@@ -436,7 +436,8 @@ def contradiction_ids(spark, sf):
 
 SEAL_SQL = (
     "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS block, o_orderkey AS id, sha256(o_orderpriority || '|' || o_orderstatus) AS hash, o_orderdate FROM orders)",
-    "sl AS (SELECT block, sha256(string_agg(id || ':' || hash, ',' ORDER BY id || ':' || hash)) AS content_hash, max(o_orderdate) AS sealed_at, count(*) AS members FROM m GROUP BY block)",
+    "leaf AS (SELECT block, substr(md5(id::VARCHAR), 1, 4) AS leaf, sha256(string_agg(id || ':' || hash, ',' ORDER BY id || ':' || hash)) AS d, max(o_orderdate) AS made, count(*) AS n FROM m GROUP BY ALL)",
+    "sl AS (SELECT block, sha256(string_agg(leaf || ':' || d, ',' ORDER BY leaf || ':' || d)) AS content_hash, max(made) AS sealed_at, sum(n)::BIGINT AS members FROM leaf GROUP BY block)",
 )
 
 

@@ -414,3 +414,26 @@ def ended_values(spark, sf):
     """Values that ended, with their original start and their end."""
     chained = facts.chain(src.fact_events(spark, sf))
     return chained.filter("valid_to is not null").select("subject", "attribute", "value", "valid_from", "valid_to")
+
+
+@query(
+    "SELECT DISTINCT c.subject, c.attribute, c.value, n.value AS current FROM (SELECT subject, attribute, value FROM (SELECT *, row_number() OVER (PARTITION BY subject, attribute ORDER BY valid_from, seq) AS r FROM facts) WHERE r = 1) c JOIN (SELECT subject, attribute, value FROM (SELECT *, row_number() OVER (PARTITION BY subject, attribute ORDER BY valid_from DESC, seq DESC) AS r FROM facts) WHERE r = 1) n USING (subject, attribute) WHERE c.value <> n.value",
+    src.FACTS_SQL,
+)
+def claim_corrections(spark, sf):
+    """Claims of each subject's first values that no longer hold, and what holds now."""
+    chained = facts.chain(src.fact_events(spark, sf))
+    w = Window.partitionBy("subject", "attribute").orderBy("valid_from", "seq")
+    claims = src.fact_events(spark, sf).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return context.corrections(claims, chained)
+
+
+@query(
+    "SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id DESC) AS r FROM (VALUES (1, DATE '2026-01-01', DATE '2026-01-01'), (2, DATE '2026-01-02', DATE '2026-01-05')) q(query_id, s, e) JOIN fragments ON created_at::DATE BETWEEN s AND e WHERE (SELECT count(*) FROM fragments) <= 20000) WHERE r <= 50",
+    FRAGS,
+)
+def dated_memories(spark, sf):
+    """Memories that the days of two questions bring in."""
+    ranges = spark.createDataFrame([(1, "2026-01-01", "2026-01-01"), (2, "2026-01-02", "2026-01-05")], "query_id int, start string, end string")
+    ranges = ranges.select("query_id", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
+    return context.dated_candidates(src.fragments(spark, sf).select("id", "importance", "created_at"), ranges)

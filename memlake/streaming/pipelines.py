@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.functions.words import anchors
 from memlake.operators import facts
 
 
@@ -55,3 +59,34 @@ def keep_facts(stream: DataFrame, path: str, checkpoint: str, then: Callable[[Da
 def kept_chain(spark, path: str) -> DataFrame:
     """The chained facts of all batches kept so far."""
     return facts.chain(spark.read.parquet(path).drop("batch"))
+
+
+#: Turns after which a name that nobody mentions again is out of view.
+VIEW_TURNS = 6
+
+
+def watch(stream: DataFrame, turns: int = VIEW_TURNS, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(conv_id, turn, names): for each message of a stream (conv_id, turn, text, at), the names in view of its
+    conversation: those mentioned in it or in the turns just before. The state of a conversation is its names and their
+    last turns; once the watermark is so far past its last message, it is forgotten. Messages of a batch are read in
+    order of their turns."""
+    limit = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = dict(json.loads(state.get[0])) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values("turn")
+        out = []
+        for turn, text in zip(rows["turn"].tolist(), rows["text"].tolist(), strict=True):
+            held |= dict.fromkeys(anchors(text or ""), turn)
+            held = {name: last for name, last in held.items() if turn - last < turns}
+            out.append((key[0], turn, sorted(held)))
+        state.update((json.dumps(held),))
+        last = int(rows["at"].max().timestamp() * 1000) + limit
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "names"])
+
+    timed = stream.withWatermark("at", late)
+    return timed.groupBy("conv_id").applyInPandasWithState(follow, "conv_id long, turn long, names array<string>", "held string", "append", GroupStateTimeout.EventTimeTimeout)

@@ -46,3 +46,47 @@ def test_outliers_and_floor(spark):
     assert sorted(r.id for r in context.above_floor(ranked, "shared").collect()) == [1, 2]
     v = col(spark, [3.0, 0.0], lambda c: context.encoded([c, F.lit(4.0) * F.signum(c)], 5), "double")
     assert v == [[0.6, 0.8, 0.0, 0.0, 0.0], [0.0] * 5] and col(spark, [5.0, -2.0, 0.25], context.clamped, "double") == [1.0, -1.0, 0.25]
+
+
+def test_names_in_view_of_a_stream_and_of_stored_turns(spark, tmp_path):
+    from memlake.functions.words import anchors
+    from memlake.streaming import pipelines
+
+    said = [(1, 0, "ask Ana about svc-one"), (1, 1, "fine"), (2, 0, "hello"), (1, 2, "and svc-two"), (1, 6, "nothing"), (1, 7, None), (2, 1, "see svc-three"), (1, 8, "svc-two again")]
+    for n, part in enumerate((said[:4], said[4:])):
+        spark.createDataFrame(part, "conv_id long, turn long, text string").withColumn("at", F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000)).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("conv_id long, turn long, text string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = pipelines.watch(stream).writeStream.format("memory").queryName("in_view").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = {(r.conv_id, r.turn): r.names for r in spark.table("in_view").collect()}
+    turns = spark.createDataFrame([(c, t, anchors(x or "")) for c, t, x in said], "conv_id long, turn long, names array<string>")
+    assert got == {(r.conv_id, r.turn): r.names for r in context.names_in_view(turns, 6).collect()}
+    assert got[1, 2] == ["Ana", "svc-one", "svc-two"] and got[1, 7] == ["svc-two"] and got[2, 1] == ["svc-three"]
+
+
+def test_best_window_against_all_windows():
+    import random
+
+    from memlake.functions.passages import best_window
+    from memlake.functions.words import WORD, stem
+
+    rng = random.Random(4)
+    vocab = ["harbour", "crane", "gull", "rope", "tide", "buoy", "a", "the"]
+    weights = {stem("crane"): 3.0, stem("tide"): 2.0, stem("buoy"): 2.5}
+    for _ in range(60):
+        text = " ".join(rng.choice(vocab) + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(1, 60)))
+        begin, end = best_window(text, weights, 60)
+        assert 0 <= begin <= end <= len(text) and end - begin <= 60
+        value = lambda a, b: sum({stem(m[0]): weights.get(stem(m[0]), 0) for m in WORD.finditer(text) if a <= m.start() and m.end() <= b}.values())  # noqa: E731, B023
+        starts = [m.start() for m in WORD.finditer(text)]
+        assert value(begin, end) >= max(value(a, a + 60) for a in starts) - 1e-9
+    assert best_window("", weights) == (0, 0) and best_window("x" * 900, weights) == (0, 400)
+
+
+def test_more_facts():
+    from memlake.functions.extract import facts
+
+    text = "Ana works as a baker. Bo is 41 years old. Bo speaks Dutch, Frisian and German. The desk costs $120. Ana's boss is Eve. Eve is allergic to [REDACTED:pin].\nexport DB_HOST=db1.local\nEmails for Ana: a@x.org, b@x.org\nBo has an appointment with Dr Kim."
+    want = {("ana", "occupation", "baker"), ("bo", "age", "41"), ("bo", "language", "Dutch"), ("bo", "language", "Frisian"), ("bo", "language", "German"), ("desk", "price", "$120"), ("ana", "manager", "Eve"), ("environment", "db host", "db1.local"), ("ana", "email", "a@x.org"), ("ana", "email", "b@x.org"), ("bo", "appointment", "Dr Kim")}
+    assert want <= set(facts(text)) and not any(a == "allergy" for _, a, _ in facts(text))
+    assert facts("Ana uses " + "v" * 300 + ".") == [("ana", "uses", "v" * 300)]
