@@ -14,31 +14,43 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.llm.common import connected_components, cut, table
 
 COSINE = 0.93
-#: A label gets a pivot for so many classes; a cell is cut into tiles of so many rows.
-CELL_ROWS, TILE_ROWS, MOST_PIVOTS = 2048, 1024, 256
-SLACK = 1e-9
+#: A label gets a pivot for so many classes; a cell is cut into tiles of so many rows. The pivots of a label travel with
+#: each of its parts (2 MB of 64 components at most); beyond 8 million classes of a label its cells grow.
+CELL_ROWS, TILE_ROWS, MOST_PIVOTS = 2048, 1024, 4096
+#: The square root of 2 - 2xy loses about 1.5e-8 to rounding where vectors are nearly equal.
+SLACK = 1e-6
 CELLS = "label long, cell int, cid long, m long, home boolean, v array<double>"
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, label, cid) of the vectors that can link, and (label, cid, m, v) of their classes.
+    """(vec_id, cid) of the vectors that can link, and (label, cid, m, v, first) of their classes.
 
-    cid is the least vec_id of the equal vectors of a label. Rows whose label or
-    vector is null, zero, or holds null or non-finite components link with nothing.
+    A class is the equal vectors of a label: cid is a hash of it and its least vec_id, first, so that rows that repeat
+    an id with other vectors are classes of their own. Rows whose label or vector is null, zero, or holds null or
+    non-finite components link with nothing.
     """
     v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.filter("vec_id is not null and label is not null and embedding is not null").filter(ok)
-    rows = cut(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v")))
-    found = cut(rows.groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("m")))
-    member = rows.join(found.select("label", "v", "cid"), ["label", "v"]).select("vec_id", "label", "cid")
+    kind = vectors.schema["label"].dataType
+    label = F.col("label").cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(F.col("label").cast("string"))
+    rows = cut(rows.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), v.alias("v")))
+    found = rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("m"))
+    found = cut(found.withColumn("cid", F.xxhash64("label", "first", "v")))
+    member = rows.join(found.select("label", "v", "cid"), ["label", "v"]).select("vec_id", "cid")
     return member, found
 
 
+def _none(*columns: str) -> pd.DataFrame:
+    """No rows; the column of vectors holds objects."""
+    return pd.DataFrame({c: pd.Series([], dtype=object if c == "v" else "int64") for c in columns})
+
+
 def _unit(v: pd.Series) -> np.ndarray:
     m = np.stack(v.to_list()).astype(np.float64)
     m = m / np.abs(m).max(axis=1, keepdims=True)  # keeps squares in range
@@ -54,7 +66,7 @@ def assigned(found: DataFrame, pivots: DataFrame) -> DataFrame:
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"label": [], "cell": [], "cid": [], "m": [], "v": [], "d": [], "dim": []})
+            return _none("label", "cell", "cid", "m", "v", "d", "dim")
         right = right.sort_values("cid")
         x, p = _unit(left["v"]), _unit(right["v"])
         d = _distance(x, p)
@@ -71,7 +83,7 @@ def copies(homes: DataFrame, pivots: DataFrame, reach: float) -> DataFrame:
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"label": [], "dim": [], "cell": [], "cid": [], "m": [], "home": [], "v": []})
+            return _none("label", "dim", "cell", "cid", "m", "home", "v")
         right = right.sort_values("cid")
         x, p = _unit(left["v"]), _unit(right["v"])
         d, between = _distance(x, p), _distance(p, p)
@@ -124,7 +136,7 @@ def _tile(cosine: float):
 def range_join(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(cid, links, other) rows: counted links to other classes, and edges cid - other that connect them."""
     reach = math.sqrt(2 - 2 * cosine)
-    found = found.withColumn("dim", F.size("v"))
+    found = found.drop("first").withColumn("dim", F.size("v"))
     size = found.groupBy("label", "dim").agg(F.count("*").alias("n"))
     found = cut(found.join(size, ["label", "dim"]))
     # Pivots: the first of a seeded order, found among those below a hash bound so that no task sorts a label.
@@ -150,18 +162,19 @@ def range_join(found: DataFrame, cosine: float = COSINE) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors.
 
-    A repeated id is one row for each repeat, and its repeats link with each
-    other. Rows that can't link are their own component. Null ids come back with
-    null component and kept.
+    A repeated id is one row for each repeat, and each of them links as its own vector does. Rows that can't link are
+    their own component. Null ids come back with null component and kept.
     """
     member, found = classes(vectors)
     member = cut(member)
     got = cut(range_join(found, cosine))
     links = got.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = connected_components(got, "cid", "other")
-    of_class = found.select("cid", "m", "label").join(links, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-    of_class = of_class.select("label", "cid", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    linked = member.join(of_class, ["label", "cid"]).select("vec_id", "n_links", "component_id")
+    of_class = found.select("cid", "m", "first").join(links, "cid", "left").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+    of_class = cut(of_class.withColumn("component", F.coalesce("component", "cid")))
+    least = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    of_class = of_class.join(least, "component").select("cid", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    linked = member.join(of_class, "cid").select("vec_id", "n_links", "component_id")
     alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     v = F.col("embedding")
     ok = v.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)

@@ -48,3 +48,22 @@ def test_against_brute_force(spark, tables, monkeypatch):
 
 def test_empty(spark, tables):
     assert vector_dedup.op9_vector_dedup(spark, tables(embeddings=([], V))).collect() == []
+
+
+def test_repeated_and_null_ids_and_labels_of_any_type(spark, tables):
+    a, b, far = [1.0, 0.0], [0.99, 0.1], [0.0, 1.0]
+    rows = [(1, a, 1), (1, far, 1), (2, b, 1), (3, far, 1), (4, a, 2), (None, a, 1), (5, a, 1), (5, a, 1), (6, [-1.0, 0.0], 1)]
+    got = vector_dedup.op9_vector_dedup(spark, tables(embeddings=([(*r, 1, 1) for r in rows], V))).select("vec_id", "n_links", "component_id", "kept").collect()
+    want = [(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 0, 4, True), (None, 0, None, None), (5, 3, 1, False), (5, 3, 1, False), (6, 0, 6, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    named = spark.createDataFrame([(i, v, f"l{k}") for i, v, k in rows if i is not None], "vec_id long, embedding array<float>, label string")
+    assert sorted(map(tuple, vector_dedup.near_duplicates(named).select("vec_id", "n_links", "component_id", "kept").collect()), key=str) == sorted([w for w in want if w[0] is not None], key=str)
+
+
+def test_nearly_equal_vectors_in_cells_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(60)]
+    rows = [(2 * i + s, [x * (1 + s * 1e-9) for x in v], 1) for i, v in enumerate(base) for s in (0, 1)]
+    monkeypatch.setattr(vector_dedup, "CELL_ROWS", 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {tuple(r) for r in vector_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()} == brute(rows)
