@@ -316,9 +316,23 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
 
     Rows without words or text link with nothing, and neither do null ids (their
     component is null). Of repeated ids with different texts each row joins for
-    itself and all carry the id. An empty table gives no rows.
+    itself, under a hash of id and text, and takes the least id of its component.
+    An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return join_unique(docs, words, num, den)
+    own = F.xxhash64("doc_id", "text")
+    got = join_unique(docs.select(F.when(F.col("doc_id").isNotNull(), own).alias("doc_id"), "text"), words, num, den)
+    named = docs.filter("doc_id is not null").select(own.alias("own"), F.col("doc_id").alias("name"))
+    known = cut(named.join(got.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "own"), "own"))
+    least = known.groupBy("component_id").agg(F.min("name").alias("least"))
+    rows = known.join(least, "component_id").select(F.col("name").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    return rows.unionByName(got.filter("doc_id is null"))
+
+
+def join_unique(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """join() of rows whose ids stand for one text each."""
     common = common_shingles(docs, words)
     schema = "doc_id long, n long, digest binary, keys array<long>, bits binary"
     told = cut(docs.mapInArrow(_describe(words, num, den, common), schema))

@@ -68,6 +68,19 @@ def test_five_words_at_four_fifths_and_empty(spark, tables):
     assert sj.op10_shingle_join(spark, tables(documents=([], DOCS))).collect() == []
 
 
+def test_repeated_ids_join_each_for_itself(spark):
+    data = corpus(random.Random(21), 120)
+    data = [(i % 100, t) for i, t in data] + [(None, data[0][1])]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in sj.join(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    rows = [(at if i is not None else None, t) for at, (i, t) in enumerate(data)]  # each row is a node of its own
+    of_row = {at: c for at, _, c in brute(rows) if at != -1}
+    least = {}
+    for at, c in of_row.items():
+        least[c] = min(least.get(c, data[at][0]), data[at][0])
+    want = [(i if i is not None else -1, len(plain(t)), None if i is None else least[of_row[at]]) for at, (i, t) in enumerate(data)]
+    assert got == sorted(want)
+
+
 def test_tree_keeps_every_qualifying_pair():
     rng = np.random.default_rng(3)
     for _ in range(20):
