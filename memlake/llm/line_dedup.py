@@ -19,6 +19,8 @@ RATIO, LONG_RATIO, LONG_WORDS = 0.1, 0.01, 5
 #: Ways that the pages of a host are spread over where the lines are too many to broadcast.
 SALTS = 16
 BLANKS = " \t\r"
+#: Matches once in each line that is not blank.
+NONBLANK = r"[^ \t\r\n][^\n]*"
 
 # Parts of a page that hold no text, and elements that end a line.
 NO_TEXT = "(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->"
@@ -31,26 +33,26 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of the trimmed line (two seeded 64-bit hashes), and whether it is a long one."""
-    line = bare(line)
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(77), line).alias("b"), (spaces >= LONG_WORDS - 1).alias("long"))
+def line_keys(line: Column) -> list[Column]:
+    """128 bits of a trimmed line: two seeded 64-bit hashes."""
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(77), line).alias("b")]
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, long_ratio: float = LONG_RATIO) -> DataFrame:
-    """(host, keys) of the lines that more than ratio of the host's other pages hold, seen from a page that holds them.
+    """(host, two lists of keys) of the lines that more than ratio of the host's other pages hold, seen from a page that holds them.
 
     Blank lines never count. A page counts a line once. Hosts may be null (one site of its own).
     """
     pages = pages.select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("__text", "\n"), lambda x: bare(x) != ""), line_key))
-    lines = pages.select("__host", F.explode(keys).alias("k")).groupBy("__host", "k").agg(F.count("*").alias("n")).filter("n > 1")
+    own = pages.select("__host", F.explode(F.array_distinct(F.transform(F.split("__text", "\n"), bare))).alias("__l")).filter("__l <> ''")
+    spaces = F.length("__l") - F.length(F.replace("__l", F.lit(" "), F.lit("")))
+    own = own.select("__host", *line_keys(F.col("__l")), (spaces >= LONG_WORDS - 1).alias("long"))
+    lines = own.groupBy("__host", "a", "b", "long").agg(F.count("*").alias("n")).filter("n > 1")
     total = pages.groupBy("__host").agg(F.count("*").alias("pages"))
-    share = F.when(F.col("k.long"), F.lit(long_ratio)).otherwise(F.lit(ratio))
+    share = F.when(F.col("long"), F.lit(long_ratio)).otherwise(F.lit(ratio))
     over = lines.join(total, "__host").filter(F.col("n") - 1 > (F.col("pages") - 1) * share)
     # One site has no more such lines than a page has on average, divided by the smaller ratio.
-    return over.groupBy("__host").agg(F.sort_array(F.collect_list("k")).alias("__boiler"))
+    return over.groupBy("__host").agg(F.collect_list("a").alias("__a"), F.collect_list("b").alias("__b"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, long_ratio: float = LONG_RATIO) -> DataFrame:
@@ -62,19 +64,24 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """
     pages = pages.drop("__lines", "__dropped")
     known = cut(boilerplate(pages, host, text, ratio, long_ratio))
-    rows = known.agg(F.coalesce(F.sum(F.size("__boiler")), F.lit(0))).first()[0]
+    rows = known.agg(F.coalesce(F.sum(F.size("__a")), F.lit(0))).first()[0]
     keyed = pages.withColumn("__host", source_key(F.col(host)))
     if rows <= BROADCAST_ROWS:
         joined = keyed.join(F.broadcast(known), "__host", "left")
     else:  # a hot site's pages are dealt over SALTS keys, each with the site's lines
         salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("__salt", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left").drop("__salt")
+
+    def stays(line: Column) -> Column:
+        """The second hash is looked at only where the first is found."""
+        a, b = line_keys(bare(line))
+        return ~(F.array_contains("__a", a) & F.array_contains("__b", b))
+
     split = F.split(text, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("__boiler"), line_key(x)) | (bare(x) == ""))
-    out = joined.withColumn("__kept", F.when(F.col("__boiler").isNull(), split).otherwise(kept))
-    out = out.withColumn("__lines", F.coalesce(F.size(F.filter(split, lambda x: bare(x) != "")), F.lit(0)))
+    out = joined.withColumn("__kept", F.when(F.col("__a").isNull(), split).otherwise(F.filter(split, stays)))
+    out = out.withColumn("__lines", F.coalesce(F.regexp_count(text, F.lit(NONBLANK)), F.lit(0)))
     out = out.withColumn("__dropped", F.greatest(F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)), F.lit(0)))
-    return out.withColumn(text, F.when(F.col("__dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__kept", "__boiler", "__host")
+    return out.withColumn(text, F.when(F.col("__dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__kept", "__a", "__b", "__host")
 
 
 def page_text(html: Column) -> Column:
