@@ -47,7 +47,7 @@ def prune(fragments: DataFrame, now: Column, sealed: DataFrame) -> DataFrame:
     """action after decay: delete what sank to the floor, but no member of a sealed block and no quarantined or contradicted memory."""
     kept = sealed.select("block_id").distinct().withColumn("__s", F.lit(True))
     sunk = (F.col("importance") <= FLOOR) & ~F.col("state").isin("quarantined", "contradicted", "promoted")
-    return decay(fragments, now).join(F.broadcast(kept), "block_id", "left").withColumn("action", F.when(sunk & F.col("__s").isNull(), "delete").otherwise("keep")).drop("__s")
+    return decay(fragments, now).join(kept, "block_id", "left").withColumn("action", F.when(sunk & F.col("__s").isNull(), "delete").otherwise("keep")).drop("__s")
 
 
 def exact_duplicates(rows: DataFrame, text: str, order: list[Column]) -> DataFrame:
