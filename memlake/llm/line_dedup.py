@@ -2,9 +2,10 @@
 
 For each host, the share of its other pages that contain a page's line is
 compared with a ratio; lines above it are that site's boilerplate and go from
-all its pages. The page itself does not count, so that a line of one page only
-is never boilerplate, however small the site. A line of a few words may recur
-by chance and needs a larger share than one as long as a sentence.
+all its pages. Pages of equal text are one page here, and a line of fewer than
+LEAST pages is never boilerplate, however small the site: copies of a page, and
+what two pages share, keep their text. A line of a few words may recur by
+chance and needs a larger share than one as long as a sentence.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from memlake.llm.common import BROADCAST_ROWS, cut, source_key, table
 
 #: The share above which a line is boilerplate, and that for lines of at least so many words, which do not recur by chance.
 RATIO, LONG_RATIO, LONG_WORDS = 0.1, 0.01, 5
+#: A share of few texts says little: a line stands in so many different texts of its host before it can be boilerplate.
+LEAST = 3
 #: Ways that the pages of a host are spread over where the lines are too many to broadcast.
 SALTS = 16
 BLANKS = " \t\r"
@@ -38,32 +41,38 @@ def line_keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(77), line).alias("b")]
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, long_ratio: float = LONG_RATIO) -> DataFrame:
-    """(host, two lists of keys) of the lines that more than ratio of the host's other pages hold, seen from a page that holds them.
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, long_ratio: float = LONG_RATIO, least: int = LEAST) -> DataFrame:
+    """(host, two lists of keys) of the lines that stand in `least` different texts of the host, and in more than ratio
+    of its other texts, seen from one that holds them.
 
-    Blank lines never count. A page counts a line once. Hosts may be null (one site of its own).
+    Equal texts of a host count as one, so that copies of a page don't make its lines boilerplate. Blank lines never
+    count. A text counts a line once. Hosts may be null (one site of its own).
     """
-    pages = pages.select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
-    own = pages.select("__host", F.explode(F.array_distinct(F.transform(F.split("__text", "\n"), bare))).alias("__l")).filter("__l <> ''")
+    pages = pages.filter(F.col(text).isNotNull()).select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
+    # Every text has one blank line more: the texts that hold it are all texts of the host.
+    own = pages.select("__host", F.xxhash64("__text").alias("t"), F.hash("__text").alias("u"), F.explode(F.concat(F.split("__text", "\n"), F.array(F.lit("")))).alias("__l"))
+    own = own.withColumn("__l", bare(F.col("__l")))
     spaces = F.length("__l") - F.length(F.replace("__l", F.lit(" "), F.lit("")))
-    own = own.select("__host", *line_keys(F.col("__l")), (spaces >= LONG_WORDS - 1).alias("long"))
-    lines = own.groupBy("__host", "a", "b", "long").agg(F.count("*").alias("n")).filter("n > 1")
-    total = pages.groupBy("__host").agg(F.count("*").alias("pages"))
+    own = own.select("__host", *line_keys(F.col("__l")), (spaces >= LONG_WORDS - 1).alias("long"), (F.col("__l") == "").alias("blank"), "t", "u")
+    key = ["__host", "a", "b", "long", "blank"]
+    lines = own.select(*key, "t", "u").distinct().groupBy(*key).agg(F.count("*").alias("n"))
+    lines = cut(lines.filter(F.col("blank") | (F.col("n") >= least)))
+    total = lines.filter("blank").select("__host", F.col("n").alias("pages"))
     share = F.when(F.col("long"), F.lit(long_ratio)).otherwise(F.lit(ratio))
-    over = lines.join(total, "__host").filter(F.col("n") - 1 > (F.col("pages") - 1) * share)
+    over = lines.filter(~F.col("blank")).join(total, "__host").filter(F.col("n") - 1 > (F.col("pages") - 1) * share)
     # One site has no more such lines than a page has on average, divided by the smaller ratio.
     return over.groupBy("__host").agg(F.collect_list("a").alias("__a"), F.collect_list("b").alias("__b"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, long_ratio: float = LONG_RATIO) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, long_ratio: float = LONG_RATIO, least: int = LEAST) -> DataFrame:
     """pages with the site's boilerplate lines taken out of text; adds __lines and __dropped (which replace columns of these names).
 
     A text all of whose lines are boilerplate becomes empty; null stays null; no
-    page goes. Repeated rows are pages of their own. Blanks, tabs and carriage
-    returns at the ends of a line do not tell lines apart.
+    page goes. Copies of a page keep or lose the same lines and count as one.
+    Blanks, tabs and carriage returns at the ends of a line do not tell lines apart.
     """
     pages = pages.drop("__lines", "__dropped")
-    known = cut(boilerplate(pages, host, text, ratio, long_ratio))
+    known = cut(boilerplate(pages, host, text, ratio, long_ratio, least))
     rows = known.agg(F.coalesce(F.sum(F.size("__a")), F.lit(0))).first()[0]
     keyed = pages.withColumn("__host", source_key(F.col(host)))
     if rows <= BROADCAST_ROWS:
@@ -105,11 +114,12 @@ WITH p AS (
   SELECT page_id, lower(regexp_extract(url, '{HOST}', 1)) AS host, coalesce(lower(regexp_extract(url, '{HOST}', 1)), chr(1)) AS hk,
          regexp_replace(regexp_replace(regexp_replace(html, '{NO_TEXT}', '', 'g'), '{LINE_END}', chr(10), 'g'), '{ANY_TAG}', '', 'g') AS text
   FROM pages),
+bodies AS (SELECT DISTINCT hk, text FROM p WHERE text IS NOT NULL),
 l AS (SELECT hk, line, count(*) AS n FROM (
-  SELECT hk, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM}), lambda x: x <> ''))) AS line FROM p) GROUP BY hk, line),
-t AS (SELECT hk, count(*) AS pages FROM p GROUP BY hk),
+  SELECT hk, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM}), lambda x: x <> ''))) AS line FROM bodies) GROUP BY hk, line),
+t AS (SELECT hk, count(*) AS pages FROM bodies GROUP BY hk),
 b AS (SELECT l.hk, list(l.line) AS boiler FROM l JOIN t USING (hk)
-      WHERE l.n - 1 > (t.pages - 1) * CASE WHEN length(l.line) - length(replace(l.line, ' ', '')) >= {LONG_WORDS - 1} THEN {LONG_RATIO}::DOUBLE ELSE {RATIO}::DOUBLE END GROUP BY l.hk),
+      WHERE l.n >= {LEAST} AND l.n - 1 > (t.pages - 1) * CASE WHEN length(l.line) - length(replace(l.line, ' ', '')) >= {LONG_WORDS - 1} THEN {LONG_RATIO}::DOUBLE ELSE {RATIO}::DOUBLE END GROUP BY l.hk),
 k AS (SELECT page_id, host, string_split(text, chr(10)) AS lines,
              list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(b.boiler, []), {_TRIM})) AS kept
       FROM p LEFT JOIN b USING (hk))

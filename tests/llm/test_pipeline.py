@@ -71,12 +71,27 @@ def test_mix_and_windows(stages):
 
 def test_hard_rows_pass_through(spark, tmp_path):
     rows = [(None, "alone words here", None, None, None, 0.5, 1), (None, None, None, None, None, None, None), (1, "", "en", "a", 0, 0.1, 1), (1, "", "en", "a", 0, 0.1, 1), (2, "one two three four five six", "en", "a", 1, 0.9, 2), (2, "one two three four five six", "en", "a", 1, 0.9, 2), (3, "x " * 20_000, "en", "b", 1, 0.9, 2)]
-    docs = spark.createDataFrame(rows, DOCS)
+    docs, seen = spark.createDataFrame(rows, DOCS), []
     for i, (_, stage) in enumerate(cp.STAGES):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
+        seen.append(Counter((r.doc_id, r.text) for r in docs.collect()) if i < 4 else docs.collect())
+    every = Counter((r[0], r[1]) for r in rows)
+    assert seen[0] == every and seen[1] == every  # nothing is toxic, no line is boilerplate
+    assert seen[2] == Counter({(None, "alone words here"): 1, (None, None): 1, (1, ""): 2, (2, rows[4][1]): 1, (3, rows[6][1]): 1})
+    assert set(seen[3]) <= set(seen[2]) and max(seen[3].values()) <= 6
+    assert {r.doc_id for r in seen[4]} == {i for i, _ in seen[3]}
     none = spark.createDataFrame([], DOCS)
     for i, (_, stage) in enumerate(cp.STAGES):
         stage(spark, none, SF).write.parquet(f"{tmp_path}/none{i}")
         none = spark.read.parquet(f"{tmp_path}/none{i}")
     assert none.count() == 0 and docs.count() > 0
+
+
+def test_each_group_of_copies_keeps_one_whole_text(spark, tmp_path):
+    text = lambda i: "\n".join(f"sentence {k} of text {i} says {i * k} things in words" for k in range(6))
+    rows = [(10 * i + c, text(i), "en", f"site {i % 3}", 1, 0.5, 1) for i in range(6) for c in range(1 + i)]
+    docs = spark.createDataFrame(rows, DOCS)
+    cp.line_dedup(spark, docs, SF).write.parquet(f"{tmp_path}/lines")
+    got = cp.shingle_join(spark, spark.read.parquet(f"{tmp_path}/lines"), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(10 * i, text(i)) for i in range(6)]
