@@ -318,12 +318,22 @@ def _told(asked: pa.Table, values: np.ndarray, where: list[np.ndarray]) -> pa.Ta
     return pa.Table.from_batches([_batch(rows)])
 
 
+_kept: list = [None, None]  # the contexts that this worker last worked with, and their trie
+
+
+def _short(shared) -> Short:
+    """The trie of the shared contexts, made once a worker and not for each shard."""
+    if _kept[0] is not shared.value:
+        _kept[:] = [shared.value, Short(*shared.value)]
+    return _kept[1]
+
+
 def _code(shared):
     """A shard's code lengths for the grams of each row."""
 
     def run(t: pa.Table) -> pa.Table:
         keys, n, where = _merged(t)
-        lp = code_lengths(keys[n > 0], n[n > 0], Short(*shared.value), keys)
+        lp = code_lengths(keys[n > 0], n[n > 0], _short(shared), keys)
         return _told(t, lp.astype(np.float32), where)
 
     return run

@@ -114,3 +114,12 @@ def test_shards_of_a_level_are_within_those_before():
     keys = np.random.default_rng(1).integers(0, 1 << 48, 5000).astype(np.uint64)
     for kind in "gw":
         assert (ppm.shard_of(kind, keys << np.uint64(16 * (kind == "w")), 60) // 12 == ppm.shard_of(kind, keys << np.uint64(16 * (kind == "w")), 5)).all()
+
+
+def test_the_shared_trie_is_made_once_a_worker(monkeypatch):
+    made = []
+    monkeypatch.setattr(ppm, "Short", lambda *a: made.append(a) or object())
+    monkeypatch.setattr(ppm, "_kept", [None, None])
+    one, two = (type("Shared", (), {"value": (np.zeros(1), np.zeros(1))})() for _ in range(2))
+    assert len({id(ppm._short(one)) for _ in range(50)}) == 1 and len(made) == 1
+    assert ppm._short(two) is not None and len(made) == 2 and made[1] is not None
