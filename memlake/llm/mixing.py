@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from memlake.llm.common import cut, group_rank, join_counted, seeded_unit, source_key, table
 
 SEED, MOST_TIMES, WEIGHTS = 505, 3, (1, 2, 3)
-#: The knapsack's table: sums up to so many words are told apart exactly (8 bytes each). What the proportional share
-#: leaves above that is first brought down by whole documents, so no length or source is left out.
+#: The knapsack's table: sums up to so many words are told apart exactly (8 bytes each). A larger rest is first shared
+#: out among the lengths again, by largest fractions, so that no length is favoured at any size.
 TABLE_WORDS = 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -43,21 +43,37 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.least(F.col("__cap"), F.coalesce(F.col("__final"), F.lit(float("inf"))) * F.col("__w"))).drop("__w", "__cap", "__before", "__rest", "__all", "__level", "__final")
 
 
+def proportional(lengths: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
+    """Each length's share of the budget in documents, rounded down, and one more for those of the largest fractions that still fit."""
+    total = int((lengths * spare).sum())
+    if total <= budget:
+        return spare.copy()
+    share = [divmod(int(k) * budget, total) for k in spare]
+    take = np.array([k for k, _ in share], np.int64)
+    left = budget - int((take * lengths).sum())
+    for i in sorted(range(len(share)), key=lambda i: (-share[i][1], i)):
+        if share[i][1] and lengths[i] <= left:
+            take[i] += 1
+            left -= int(lengths[i])
+    return take
+
+
 def subset_counts(lengths: np.ndarray, spare: np.ndarray, budget: int, most: int = TABLE_WORDS) -> np.ndarray:
     """How many documents of each length come nearest below or at budget (bounded knapsack).
 
-    Exact for budgets up to `most`. A larger one is first met with whole documents, the longest first, until `most`
-    words are left or less. In both cases the miss is less than the shortest document left out, or all are taken.
+    Exact for budgets up to `most`. Of a larger one every length first gets its proportional share, again and again
+    until `most` words are left or less. In both cases the miss is less than the shortest document left out, or all
+    are taken.
     """
     take = np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if budget <= most:
-            break
-        if lengths[i] > 0:
-            k = int(min(spare[i], -(-(budget - most) // lengths[i]), budget // lengths[i]))
-            take[i] += k
-            budget -= k * int(lengths[i])
+    while budget > most:
+        fits = np.where((lengths > 0) & (lengths <= budget), spare - take, 0)
+        if not fits.any():
+            return take
+        part = proportional(lengths, fits, budget)
+        take += part
+        budget -= int((part * lengths).sum())
     # The step that first reached each sum; a step takes k documents of a length, and powers of two make up every count.
     first = np.full(budget + 1, -1, np.int64)
     first[0], steps = 0, [(0, 0)]

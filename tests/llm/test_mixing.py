@@ -94,3 +94,15 @@ def test_a_little_over_is_nearer_than_far_below(spark, tables):
 
 def test_empty(spark, tables):
     assert op5_mixing(spark, tables(documents=([], DOCS))).collect() == []
+
+
+def test_a_large_budget_is_shared_out_at_every_length():
+    lengths = np.arange(1, 400)
+    spare = np.full(len(lengths), 900)
+    for budget in (10**5, 10**6, 10**7 + 1):
+        take = subset_counts(lengths, spare, budget)
+        share = budget / (lengths * spare).sum()
+        assert (take * lengths).sum() == budget
+        assert np.abs(take - share * spare).max() <= 3  # no length is favoured
+    odd = subset_counts(np.array([70_000, 100_000]), np.array([5, 5]), 180_000)
+    assert (odd * [70_000, 100_000]).sum() == 170_000
