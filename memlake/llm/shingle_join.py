@@ -316,15 +316,19 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) ->
 
     Rows without words or text link with nothing, and neither do null ids (their
     component is null). Of repeated ids with different texts each row joins for
-    itself, under a hash of id and text, and takes the least id of its component.
+    itself, under a number of its id and text, and takes the least id of its component.
     An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return join_unique(docs, words, num, den)
-    own = F.xxhash64("doc_id", "text")
-    got = join_unique(docs.select(F.when(F.col("doc_id").isNotNull(), own).alias("doc_id"), "text"), words, num, den)
-    named = docs.filter("doc_id is not null").select(own.alias("own"), F.col("doc_id").alias("name"))
+    # Numbers for what differs in id or text; texts of one id are told apart by 128 bits.
+    digests = [F.xxhash64(F.lit(i), "text").alias(f"t{i}") for i in (1, 2)]
+    keyed = docs.filter("doc_id is not null").select("doc_id", "text", *digests)
+    numbers = cut(keyed.select("doc_id", "t1", "t2").distinct().withColumn("own", F.monotonically_increasing_id()))
+    keyed = keyed.join(numbers, ["doc_id", "t1", "t2"])
+    named = keyed.select("own", F.col("doc_id").alias("name"))
+    got = join_unique(keyed.select(F.col("own").alias("doc_id"), "text").unionByName(docs.filter("doc_id is null")), words, num, den)
     known = cut(named.join(got.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "own"), "own"))
     least = known.groupBy("component_id").agg(F.min("name").alias("least"))
     rows = known.join(least, "component_id").select(F.col("name").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))

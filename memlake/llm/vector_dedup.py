@@ -30,8 +30,8 @@ CELLS = "label long, cell int, cid long, m long, home boolean, v array<double>"
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, cid) of the vectors that can link, and (label, cid, m, v, first) of their classes.
 
-    A class is the equal vectors of a label: cid is a hash of it and its least vec_id, first, so that rows that repeat
-    an id with other vectors are classes of their own. Rows whose label or vector is null, zero, or holds null or
+    A class is the equal vectors of a label, and first its least vec_id; cid numbers the classes, so no two share one,
+    and rows that repeat an id with other vectors are classes of their own. Rows whose label or vector is null, zero, or holds null or
     non-finite components link with nothing.
     """
     v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
@@ -41,7 +41,7 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = F.col("label").cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(F.col("label").cast("string"))
     rows = cut(rows.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), v.alias("v")))
     found = rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("m"))
-    found = cut(found.withColumn("cid", F.xxhash64("label", "first", "v")))
+    found = cut(found.withColumn("cid", F.monotonically_increasing_id()))
     member = rows.join(found.select("label", "v", "cid"), ["label", "v"]).select("vec_id", "cid")
     return member, found
 
