@@ -26,7 +26,7 @@ BLANKS = " \t\r"
 NONBLANK = r"[^ \t\r\n][^\n]*"
 
 # Parts of a page that hold no text, and elements that end a line.
-NO_TEXT = "(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->"
+NO_TEXT = "(?is)<(?:script.*?</script|style.*?</style|head.*?</head|!--.*?--)>"
 LINE_END = "(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[ /][^>]*)?>"
 ANY_TAG = "<[^>]*>"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)"
@@ -48,10 +48,11 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, lo
     Equal texts of a host count as one, so that copies of a page don't make its lines boilerplate. Blank lines never
     count. A text counts a line once. Hosts may be null (one site of its own).
     """
-    pages = pages.filter(F.col(text).isNotNull()).select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
-    # Every text has one blank line more: the texts that hold it are all texts of the host.
-    own = pages.select("__host", F.xxhash64("__text").alias("t"), F.hash("__text").alias("u"), F.explode(F.concat(F.split("__text", "\n"), F.array(F.lit("")))).alias("__l"))
-    own = own.withColumn("__l", bare(F.col("__l")))
+    pages = pages.select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
+    # The text's hashes are taken before its lines are dealt out, so once a text. Every text has one blank line more:
+    # the texts that hold it are all texts of the host. A null text has no lines.
+    pages = pages.select("__host", F.xxhash64("__text").alias("t"), F.hash("__text").alias("u"), F.concat(F.split("__text", "\n"), F.array(F.lit(""))).alias("__ls"))
+    own = pages.select("__host", "t", "u", F.explode("__ls").alias("__l")).withColumn("__l", bare(F.col("__l")))
     spaces = F.length("__l") - F.length(F.replace("__l", F.lit(" "), F.lit("")))
     own = own.select("__host", *line_keys(F.col("__l")), (spaces >= LONG_WORDS - 1).alias("long"), (F.col("__l") == "").alias("blank"), "t", "u")
     key = ["__host", "a", "b", "long", "blank"]
