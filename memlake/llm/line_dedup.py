@@ -49,10 +49,10 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, lo
     count. A text counts a line once. Hosts may be null (one site of its own).
     """
     pages = pages.select(source_key(F.col(host)).alias("__host"), F.col(text).alias("__text"))
-    # The text's hashes are taken before its lines are dealt out, so once a text. Every text has one blank line more:
-    # the texts that hold it are all texts of the host. A null text has no lines.
-    pages = pages.select("__host", F.xxhash64("__text").alias("t"), F.hash("__text").alias("u"), F.concat(F.split("__text", "\n"), F.array(F.lit(""))).alias("__ls"))
-    own = pages.select("__host", "t", "u", F.explode("__ls").alias("__l")).withColumn("__l", bare(F.col("__l")))
+    # The hashes are taken once a text, before its lines are dealt out. Every text has one blank line more: the texts
+    # that hold it are all texts of the host. A null text has no lines.
+    pages = pages.select("__host", "__text", F.xxhash64("__text").alias("t"), F.hash("__text").alias("u"))
+    own = pages.select("__host", "t", "u", F.explode(F.concat(F.split("__text", "\n"), F.array(F.lit("")))).alias("__l")).withColumn("__l", bare(F.col("__l")))
     spaces = F.length("__l") - F.length(F.replace("__l", F.lit(" "), F.lit("")))
     own = own.select("__host", *line_keys(F.col("__l")), (spaces >= LONG_WORDS - 1).alias("long"), (F.col("__l") == "").alias("blank"), "t", "u")
     key = ["__host", "a", "b", "long", "blank"]
