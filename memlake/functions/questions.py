@@ -70,30 +70,37 @@ def classify(query: str) -> dict:
     }
 
 
-# Words that ask for the present or the beginning: some anywhere, some only before the thing that they qualify.
-PRESENT = frozenset("now currently nowadays presently still anymore today recently lately".split())
-PRESENT_OF = frozenset("current latest newest last recent present".split())
-BEGIN = frozenset("originally initially formerly previously beforehand".split())
-BEGIN_OF = frozenset("original initial first earliest oldest former previous".split())
-#: What makes another thing of the word before it.
-OTHER_THING = {
-    "first": frozenset("name names time times step steps place line lines page pages item call aid class person half floor".split()),
-    "last": frozenset("name names time times step steps place line lines page pages item call minute resort word".split()),
-    "current": frozenset("draw rating limit limits density flow source sensor affairs account".split()),
+# A question is about the present or the beginning by an adverb, or by an adjective that stands before its noun and after
+# what may open a noun phrase. After a noun the same word is a noun itself ("peak current"); some pairs are one word.
+TIMES = {
+    "current": {"adverb": frozenset("now nowadays currently presently today still recently lately".split()), "adjective": frozenset("current present latest newest recent last".split())},
+    "original": {"adverb": frozenset("originally initially formerly previously beforehand".split()), "adjective": frozenset("original initial first earliest oldest former previous".split())},
 }
+OPENS = frozenset("the my our your his her its their this that these those whose which what a an very of in on at by for from with as to and or is are was were s".split())
+ONE_WORD = frozenset({("first", "name"), ("first", "aid"), ("first", "class"), ("first", "person"), ("first", "floor"), ("last", "name"), ("last", "resort"), ("last", "minute"), ("present", "perfect"), ("current", "affairs"), ("current", "account")})
+SUBJECTS = frozenset("i you he she it we they who what which there".split())
 
 
 def time_asked(query: str, reference: str = "2026-01-01") -> str:
     """current, original or none; dates are ranges and "first name" is no time, and the present wins."""
-    words = [w for w in read(without_dates(query, datetime.date.fromisoformat(reference), PRESENT))]
-    found = set()
-    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        qualifies = after and after[0].isalnum() and after not in STOP and after not in OTHER_THING.get(w, ()) and before not in ("max", "maximum")
-        if w in PRESENT or (w in PRESENT_OF and qualifies) or (w, after) in (("any", "more"), ("these", "days")):
-            found.add("current")
-        if w in BEGIN or (w in BEGIN_OF and qualifies) or (w == "used" and after == "to" and before not in BE) or (before, w) == ("at", "first") or (w == "before" and not after[:1].isalnum()):
-            found.add("original")
-    return "current" if "current" in found else "original" if found else "none"
+    adverbs = TIMES["current"]["adverb"] | TIMES["original"]["adverb"]
+    words = read(without_dates(query, datetime.date.fromisoformat(reference), adverbs))
+
+    def phrase(i: int) -> bool:
+        """An adjective of time at i qualifies the noun behind it."""
+        after = words[i + 1] if i + 1 < len(words) else ""
+        opened = i == 0 or words[i - 1] in OPENS or words[i - 1].endswith("'s") or not words[i - 1][0].isalnum()
+        return opened and after[:1].isalpha() and after not in STOP and (words[i], after) not in ONE_WORD
+
+    for asked, signs in TIMES.items():
+        if any(w in signs["adverb"] or (w in signs["adjective"] and phrase(i)) for i, w in enumerate(words)):
+            return asked
+    pairs = list(zip(words, words[1:], strict=False))
+    if ("any", "more") in pairs or "anymore" in words or ("these", "days") in pairs:
+        return "current"
+    habit = any(a == "used" and b == "to" and i and (words[i - 1] in SUBJECTS or words[i - 1] not in STOP) for i, (a, b) in enumerate(pairs))
+    closing = any(w == "before" and (i + 1 == len(words) or not words[i + 1][0].isalnum()) for i, w in enumerate(words))
+    return "original" if habit or closing or ("at", "first") in pairs else "none"
 
 
 # Words for kinds of memories.

@@ -24,7 +24,8 @@ SECRETS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
         ("huggingface_token", ("hf_",), r"\bhf_[A-Za-z0-9]{30,}", 0),
         ("jwt", ("eyj",), r"\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", 0),
         ("bearer_token", ("bearer ",), r"(?<=\bBearer )[\w.~+/-]{8,}=*", re.I),
-        ("aws_secret_access_key", ("aws_secret", "bucket is "), r"(?:(?<=aws_secret_access_key = )|(?<=aws_secret_access_key=)|(?<=bucket is ))[A-Za-z0-9/+]{40}\b", re.I),
+        # Forty characters of base 64 with both cases and a digit, not more than forty characters behind a word for a secret.
+        ("aws_secret_access_key", ("secret", "aws", "credential"), r"(?:\b|_)(?i:secret|aws|credentials?)(?:\b|_)[^\n]{0,40}?(?<![A-Za-z0-9/+])(?P<v>(?=[^\s]{0,39}\d)(?=[^\s]{0,39}[a-z])(?=[^\s]{0,39}[A-Z])[A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])", 0),
         ("password", ("://",), r"(?<=://)(?P<user>[^\s:/@]+):(?P<v>[^\s@/]+)(?=@)", 0),
         ("password", ("passw", "pwd", "passphrase"), r"\b(?:password|passwd|pwd|passphrase)\b[\"']?\s*(?:[:=]|\bis\b)\s*(?:\"(?P<v>[^\"\n]{4,})\"|'(?P<w>[^'\n]{4,})'|(?P<x>[^\s\"',]{4,}))", re.I),
         ("secret", ("secret",), r"\b(?:client_?secret|api_?secret|secret_?key)[\"']?\s*[:=]\s*(?:\"(?P<v>[^\"\n]{6,})\"|'(?P<w>[^'\n]{6,})'|(?P<x>[^\s\"',]{6,}))", re.I),

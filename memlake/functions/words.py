@@ -26,33 +26,79 @@ STOP = frozenset(
 WORD = re.compile(r"\w+")
 CREDIT = 0.8  # for a word met only through its -ing form
 
-#: Endings and what stands in their place; a round takes the first that fits. Three letters stay before the longer
-#: endings, and of a doubled letter before them (not l, s or z) one.
-ENDINGS = [
-    (re.compile(pattern), instead)
-    for pattern, instead in (
-        (r"(?<=..)(?:ies|ied)$", "y"),
-        (r"(?<=ss|ch|sh)es$|(?<=[xz])es$", ""),
-        (r"(?<![sui])s$", ""),
-        (r"(?<=..)([^lsz])\1(?:ment|ing|er|ed)$", r"\1"),
-        (r"(?<=...)(?:ment|ing|er|ed)$", ""),
-    )
-]
-ROUNDS = 3
+# The endings of Porter's algorithm (1980) in its steps 2, 3 and 4 and what stands in their place, and the
+# endings that its step 4 takes off.
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+
+
+def _sounds(stem: str) -> str:
+    """v for each vowel, c for each consonant; a y is a vowel after a consonant."""
+    out = ""
+    for c in stem:
+        out += "v" if c in "aeiou" or (c == "y" and out.endswith("c")) else "c"
+    return out
+
+
+def _measure(stem: str) -> int:
+    return _sounds(stem).count("vc")
+
+
+def _short(stem: str) -> bool:
+    """Whether it ends consonant, vowel, consonant, the last of them not w, x or y."""
+    return _sounds(stem).endswith("cvc") and stem[-1] not in "wxy"
+
+
+def _longest(word: str, endings) -> tuple[str, str] | None:
+    """(what is before, the ending) for the longest ending that the word has."""
+    found = [e for e in endings if word.endswith(e)]
+    return (word[: -len(max(found, key=len))], max(found, key=len)) if found else None
+
+
+def _plural(word: str) -> str:
+    before, ending = _longest(word, ("sses", "ies", "ss", "s")) or (word, "")
+    return before + {"sses": "ss", "ies": "i", "ss": "ss"}.get(ending, "")
+
+
+def _past(word: str) -> str:
+    before, ending = _longest(word, ("eed", "ed", "ing")) or (word, "")
+    if ending == "eed":
+        return before + "ee" if _measure(before) else word
+    if not ending or "v" not in _sounds(before):
+        return word
+    if before.endswith(("at", "bl", "iz")):
+        return before + "e"
+    if before[-2:-1] == before[-1:] and _sounds(before)[-1] == "c":
+        return before if before[-1] in "lsz" else before[:-1]
+    return before + "e" if _measure(before) == 1 and _short(before) else before
+
+
+def _instead(word: str, endings: dict[str, str]) -> str:
+    found = _longest(word, endings)
+    return found[0] + endings[found[1]] if found and _measure(found[0]) else word
 
 
 @lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
-    """Endings off until none fits (three at most), then a last e; short and non-letter tokens stay."""
+    """Porter's stem of a word of ASCII letters, irregular forms first; two letters and other tokens stay."""
     word = IRREGULAR.get(word, word)
-    if len(word) < 4 or not word.isalpha():
+    if len(word) < 3 or not (word.isascii() and word.isalpha()):
         return word
-    for _ in range(ROUNDS):
-        shorter = next((r for r in (p.sub(instead, word, count=1) for p, instead in ENDINGS) if r != word), word)
-        if shorter == word or len(word) < 4:
-            break
-        word = shorter
-    return word.removesuffix("e") if len(word) > 3 else word
+    word = _past(_plural(word))
+    if word.endswith("y") and "v" in _sounds(word[:-1]):
+        word = word[:-1] + "i"
+    word = _instead(_instead(word, STEP_2), STEP_3)
+    if found := _longest(word, STEP_4):
+        before, ending = found
+        if _measure(before) > 1 and (ending != "ion" or before[-1] in "st"):
+            word = before
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short(word[:-1]))):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
 def fold(text: str) -> str:
@@ -75,18 +121,13 @@ def coverage(query: str, text: str) -> float:
     wanted = terms(query)
     if not wanted:
         return 0.0
-    forms: dict[str, set[str]] = {}
+    said: dict[str, set[bool]] = {}  # of each stem, whether it was met as an -ing form, and whether as another
     for w in WORD.findall(fold(text).lower()):
         for part in {w, *w.split("_")}:
-            forms.setdefault(stem(part), set()).add(part)
-    surface = {stem(w): w for w in WORD.findall(fold(query).lower())}
-    got = 0.0
-    for t in wanted:
-        if found := forms.get(t):
-            asked = surface.get(t, t)
-            same_form = any(f.endswith("ing") == asked.endswith("ing") for f in found)
-            got += 1.0 if same_form else CREDIT
-    return got / len(wanted)
+            said.setdefault(stem(part), set()).add(part.endswith("ing"))
+    asked = {stem(w): w.endswith("ing") for w in WORD.findall(fold(query).lower())}
+    met = [(asked.get(t, False) in said[t]) for t in wanted if t in said]
+    return sum(1.0 if same else CREDIT for same in met) / len(wanted)
 
 
 def fact_key(name: str) -> str:

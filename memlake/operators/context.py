@@ -173,15 +173,16 @@ def corrections(claims: DataFrame, chained: DataFrame) -> DataFrame:
 
 
 # Memories that a query's dates may bring in, and the largest scope in which they do.
-DATED, DATED_SCOPE = 50, 20_000
+DATED = 50
 
 
-def dated_candidates(fragments: DataFrame, ranges: DataFrame, most: int = DATED, scope: int = DATED_SCOPE) -> DataFrame:
-    """(query_id, id): the most important memories whose day lies in a range (query_id, start, end), where the scope is
-    small enough for all of them to be looked at. The scope is counted in the plan; ranges are as few as the queries."""
-    size = fragments.agg(F.count("*").alias("__all")).filter(F.col("__all") <= scope)
+def dated_candidates(fragments: DataFrame, ranges: DataFrame, most: int = DATED) -> DataFrame:
+    """(query_id, id): the most important memories whose day lies in a range (query_id, start, end), in a store of any size.
+
+    Ranges are as few as the queries and travel to the memories; each task keeps `most` rows a query before the shuffle.
+    """
     day = F.to_date("created_at")
-    inside = fragments.join(F.broadcast(size)).join(F.broadcast(ranges), (day >= F.col("start")) & (day <= F.col("end")))
+    inside = fragments.join(F.broadcast(ranges), (day >= F.col("start")) & (day <= F.col("end")))
     w = Window.partitionBy("query_id").orderBy(F.col("importance").desc(), F.col("created_at").desc(), F.col("id").desc())
     found = inside.select("query_id", "id", "importance", "created_at").dropDuplicates(["query_id", "id"])
     return found.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).select("query_id", "id")

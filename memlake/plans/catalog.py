@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.operators import facts, graph, lifecycle, recall, scope, timeline
+from memlake.operators import facts, graph, lexical, lifecycle, recall, scope, timeline
 from memlake.sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,28 @@ BM25_SQL = (
 )
 
 
+INDEX_SQL = (
+    "asked AS (SELECT md5(text) AS query_id, text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY text)",
+    *(part.replace("questions", "asked") for part in BM25_SQL if part is not QUESTIONS_SQL),
+)
+
+
+@query("SELECT query_id, rank, id, round(score, 6) AS score, round(coverage, 6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10", *INDEX_SQL)
+def indexed_recall(spark, sf):
+    """Every user turn as a question to a keyword index of the documents: ten best by BM25, words unstemmed as in the SQL twin."""
+    index = lexical.build(src.spread(src.table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", stems=False)
+    asked = src.table(spark, sf, "conversations").filter("role = 'user' and text is not null").select(F.md5("text").alias("query_id"), F.col("text").alias("query")).distinct()
+    return index.search(asked, 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"), six(F.col("coverage")).alias("coverage"))
+
+
+@query()
+def indexed_recall_stems(spark, sf):
+    """The same by stems, tags and pairs of letters, over memories."""
+    index = lexical.build(src.spread(src.fragments(spark, sf).select("id", "content", "tags")), tags_col="tags")
+    asked = src.table(spark, sf, "conversations").filter("role = 'user' and text is not null").select(F.md5("text").alias("query_id"), F.col("text").alias("query")).distinct()
+    return index.search(asked, 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"), six(F.col("coverage")).alias("coverage"))
+
+
 @query("SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10", *BM25_SQL)
 def bm25_topk(spark, sf):
     docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"))

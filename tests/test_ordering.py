@@ -10,7 +10,7 @@ from memlake.operators import ordering
     [
         ("Which plan is in force now?", "current"), ("the newest colour of the door", "current"), ("is she still vegetarian", "current"), ("where does the heron nest these days", "current"),
         ("What did we initially call it?", "original"), ("the earliest draft", "original"), ("where did he use to live before?", "original"), ("she used to cycle", "original"),
-        ("who arrived first", "none"), ("what is her last name", "none"), ("the rating current of the fuse", "none"), ("which sales did we close last month?", "none"), ("colour of the door", "none"),
+        ("who arrived first", "none"), ("what is her last name", "none"), ("what peak current does the fuse bear", "none"), ("is first aid taught here", "none"), ("what's our present supplier of rope", "current"), ("Mara's former berth", "original"), ("the rope was used to moor", "none"), ("which sales did we close last month?", "none"), ("colour of the door", "none"),
         ("did the initial colour change, and which is it now?", "current"),
     ],
 )
