@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.spans import Spans, spans
+
 KEY = ("subject", "attribute")
+ORDER = ("valid_from", "recorded_at", "seq")
+
+
+def _place() -> Column:
+    return F.struct(*ORDER)
+
+
+def _spans(events: DataFrame) -> Spans:
+    return spans(events, KEY, tuple(F.col(c) for c in ORDER))
 
 
-def _order():
-    return Window.partitionBy(*KEY).orderBy("valid_from", "recorded_at", "seq")
+def _chained(parts: Spans) -> DataFrame:
+    rows = parts.carry({"__first": F.min_by(F.struct("valid_from"), _place())}, {"__next": lambda w: F.lead("__first").over(w)})
+    after = F.coalesce(F.lead(F.struct("valid_from")).over(parts.part), F.col("__next"))
+    return rows.withColumn("valid_to", after["valid_from"]).drop("__next")
 
 
 def chain(events: DataFrame) -> DataFrame:
-    """Adds valid_to: the next value's start; the last value is open."""
-    return events.withColumn("valid_to", F.lead("valid_from").over(_order()))
+    """Adds valid_to: the next value's start; the last value is open. A subject may have any number of events."""
+    return _chained(_spans(events)).drop("__p")
 
 
 def history(events: DataFrame) -> DataFrame:
     """Consecutive equal values merged; each run keeps its first start and last end."""
-    changed = F.when(F.lag("value").over(_order()).eqNullSafe(F.col("value")) & F.lag("seq").over(_order()).isNotNull(), 0).otherwise(1)
-    runs = chain(events).withColumn("__c", changed).withColumn("__run", F.sum("__c").over(_order()))
-    last = F.max_by(F.struct(F.col("valid_to").alias("t")), F.struct("valid_from", "recorded_at", "seq"))["t"]
+    parts = _spans(events)
+    parts = parts.on(_chained(parts))
+    rows = parts.carry({"__last": F.max_by(F.struct("value"), _place())}, {"__prior": lambda w: F.lag("__last").over(w)})
+    before = F.coalesce(F.lag(F.struct("value")).over(parts.part), F.col("__prior"))
+    rows = rows.withColumn("__c", F.when(before.isNotNull() & before["value"].eqNullSafe(F.col("value")), 0).otherwise(1)).drop("__prior")
+    parts = parts.on(rows)
+    rows = parts.carry({"__runs": F.sum("__c")}, {"__ahead": lambda w: F.sum("__runs").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    runs = rows.withColumn("__run", F.sum("__c").over(parts.so_far()) + F.coalesce("__ahead", F.lit(0)))
+    last = F.max_by(F.struct(F.col("valid_to").alias("t")), _place())["t"]
     return runs.groupBy(*KEY, "__run").agg(F.first("value").alias("value"), F.min("valid_from").alias("valid_from"), last.alias("valid_to")).drop("__run")
 
 
@@ -36,13 +55,18 @@ def scheduled(events: DataFrame, now: Column) -> DataFrame:
 
 
 def as_of(questions: DataFrame, events: DataFrame) -> DataFrame:
-    """The value valid at each question's time (subject, attribute, at): one pass over the union, no range join."""
+    """The value valid at each question's time (subject, attribute, at): one pass over the union, no range join; a subject
+    may have any number of events and questions."""
     asked = questions.select(*KEY, F.col("at").alias("valid_from"), F.lit(None).cast("timestamp").alias("recorded_at"), F.col("question_id").alias("seq"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("__q"))
     known = events.select(*KEY, "valid_from", "recorded_at", "seq", "value", F.lit(0).alias("__q"))
     both = known.unionByName(asked.select(*known.columns))
-    order = Window.partitionBy(*KEY).orderBy("valid_from", "__q", "recorded_at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = F.last(F.when(F.col("__q") == 0, F.struct("value", F.col("valid_from").alias("since"))), ignorenulls=True).over(order)
-    return both.withColumn("__h", held).filter("__q = 1").select(F.col("seq").alias("question_id"), *KEY, F.col("__h.value").alias("value"), F.col("__h.since").alias("since"))
+    order = ("valid_from", "__q", "recorded_at", "seq")
+    parts = spans(both, KEY, tuple(F.col(c) for c in order))
+    known = F.when(F.col("__q") == 0, F.struct("value", F.col("valid_from").alias("since")))
+    latest = F.max(F.when(F.col("__q") == 0, F.struct(*order, F.struct("value", F.col("valid_from").alias("since")).alias("v"))))
+    rows = parts.carry({"__latest": latest}, {"__held": lambda w: F.last("__latest", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    held = F.coalesce(F.last(known, ignorenulls=True).over(parts.so_far()), F.col("__held.v"))
+    return rows.withColumn("__h", held).filter("__q = 1").select(F.col("seq").alias("question_id"), *KEY, F.col("__h.value").alias("value"), F.col("__h.since").alias("since"))
 
 
 def retract(events: DataFrame, retractions: DataFrame) -> DataFrame:

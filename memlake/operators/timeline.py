@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.spans import spans
+
 
 def two_clock(rows: DataFrame, subject: str, declared: str, stored: str, tie: str) -> DataFrame:
     """position by two clocks that are never compared with each other: dated rows by declared time, then rows without one
     stored after the last dated row was, by storage; rows stored before that are unknown and come first."""
-    last = F.max(F.when(F.col(declared).isNotNull(), F.col(stored))).over(Window.partitionBy(subject))
-    bucket = F.when(F.col(declared).isNotNull(), 1).when(F.coalesce(F.col(stored) >= last, F.lit(True)), 2).otherwise(0)
-    rows = rows.withColumn("bucket", bucket)
-    order = Window.partitionBy(subject).orderBy("bucket", F.col(declared).asc_nulls_last(), stored, tie)
-    return rows.withColumn("position", F.row_number().over(order))
+    dated = F.col(declared).isNotNull()
+    last = rows.filter(dated).groupBy(F.col(subject).alias("__s")).agg(F.max(stored).alias("__last"))
+    rows = rows.join(last, F.col(subject).eqNullSafe(F.col("__s")), "left").drop("__s")
+    rows = rows.withColumn("bucket", F.when(dated, 1).when(F.coalesce(F.col(stored) >= F.col("__last"), F.lit(True)), 2).otherwise(0)).drop("__last")
+    parts = spans(rows, (subject,), (F.col("bucket"), F.col(declared).asc_nulls_last(), F.col(stored), F.col(tie)))
+    rows = parts.carry({"__n": F.count("*")}, {"__ahead": lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    return rows.withColumn("position", (F.row_number().over(parts.part) + F.coalesce("__ahead", F.lit(0))).cast("int")).drop("__p", "__ahead")
 
 
 def same_day(rows: DataFrame, subject: str, at: str, tie: str) -> DataFrame:
@@ -51,9 +55,13 @@ def unseen(turns: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
     """Runs of a user's events with no longer gap between them."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    far = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > gap_seconds * 1_000_000
-    runs = events.withColumn("__s", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(w))
+    parts = spans(events, ("user_id",), (F.col("ts"), F.col("event_id")))
+    rows = parts.carry({"__end": F.max("ts")}, {"__prior": lambda w: F.lag("__end").over(w)})
+    before = F.coalesce(F.lag("ts").over(parts.part), F.col("__prior"))
+    rows = rows.withColumn("__far", F.coalesce((F.unix_micros("ts") - F.unix_micros(before) > gap_seconds * 1_000_000).cast("int"), F.lit(0))).drop("__prior")
+    parts = parts.on(rows)
+    rows = parts.carry({"__gaps": F.sum("__far")}, {"__ahead": lambda w: F.sum("__gaps").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    runs = rows.withColumn("__s", F.sum("__far").over(parts.so_far()) + F.coalesce("__ahead", F.lit(0)))
     return runs.groupBy("user_id", F.col("__s").alias("session")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events"))
 
 
