@@ -8,6 +8,8 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Irregular forms and what they come from.
 IRREGULAR = {
@@ -231,5 +233,19 @@ def _add(vector: np.ndarray, hashes: np.ndarray, counts: np.ndarray, weight: flo
     vector += np.bincount((hashes % np.uint64(len(vector))).astype(np.int64), size, len(vector))
 
 
+def hash_words(lists: pa.Array, dim: int = 256) -> np.ndarray:
+    """A row for each list of words: each word adds 1 or -1 at a place that its MD5 decides, as its third digit is below
+    8 or not; the root of each sum, with its sign, scaled to length 1. A list without words, or null, has zeros."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    digits = [hashlib.md5(w.encode(), usedforsecurity=False).hexdigest() for w in coded.dictionary.to_pylist()]
+    at, sign = np.array([int(d[:2], 16) % dim for d in digits], np.int64), np.array([1.0 if d[2] < "8" else -1.0 for d in digits])
+    code, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+    sums = np.bincount(row * dim + at[code], sign[code], len(lists) * dim).reshape(len(lists), dim)
+    out = np.sign(sums) * np.sqrt(np.abs(sums))
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
+
+
 def embed(text: str, dim: int = 256) -> list[float]:
     return embed_all([text], dim)[0].tolist()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.functions import words
 from memlake.functions.arrow import batched
@@ -82,12 +84,29 @@ def text_cosines(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_c
     return rows.select("id", F.explode(F.arrays_zip(ids.alias("q"), F.col("__c").alias("c"))).alias("x")).select(F.col("x.q").alias("query_id"), "id", F.col("x.c").alias("cosine"))
 
 
+def word_cosines(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(query_id, id, cosine) as text_cosines, by hashed words: split in Spark, numbered and added up a batch at once."""
+    asked = queries.select("query_id", tokens(F.col("query")).alias("t")).collect()
+    vectors = words.hash_words(pa.array([r.t for r in asked], pa.list_(pa.string())))
+
+    @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+    def cosines(said: pa.Array) -> pa.Array:
+        return pa.array(list(words.hash_words(said) @ vectors.T), pa.list_(pa.float64()))
+
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), cosines(tokens(F.col(text_col))).alias("__c"))
+    ids = F.array(*[F.lit(r.query_id) for r in asked])
+    return rows.select("id", F.explode(F.arrays_zip(ids.alias("q"), F.col("__c").alias("c"))).alias("x")).select(F.col("x.q").alias("query_id"), "id", F.col("x.c").alias("cosine"))
+
+
 def hybrid(lexical: DataFrame, vector: DataFrame, depth: int = 50, c: Recall = CONFIG) -> DataFrame:
     """(query_id, id, rrf, relevance, seed) of the candidates of two channels, depth rows a query each.
 
     lexical (query_id, id, score, coverage) and vector (query_id, id, cosine) rank their own rows; the sums of
-    1 / (60 + rank) order the union. Relevance is the larger of cosine and coverage, between 0 and 1.
+    1 / (60 + rank) order the union. Relevance is the larger of cosine and coverage, between 0 and 1. Both channels are
+    cut from their lineage, so texts are read and embedded once.
     """
+    ensure_checkpoint_dir(lexical.sparkSession)
+    lexical, vector = lexical.checkpoint(), vector.checkpoint()
     ranked = lambda df, by: top_k(df.withColumn(by, F.round(by, 9)), depth, by).select("query_id", "id", "rank")
     fused = rrf(ranked(lexical, "score").unionByName(ranked(vector, "cosine")), c)
     known = fused.join(lexical.select("query_id", "id", "coverage"), ["query_id", "id"], "left").join(vector.select("query_id", "id", "cosine"), ["query_id", "id"], "left")

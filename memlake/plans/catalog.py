@@ -146,8 +146,10 @@ def normalised_cosine(spark, sf):
 FUSE_SQL = (
     *BM25_SQL,
     "frag AS (SELECT doc_id AS id, CASE WHEN l.quality = 1 THEN 0.8::DOUBLE WHEN l.quality = 0 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS importance, CASE WHEN l.toxic = 1 THEN 0.2::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM documents LEFT JOIN labels l USING (doc_id))",
-    "comp AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
-    "vs AS (SELECT q.query_id, v.vec_id AS id, sum(a.x * v.x) / sqrt(sum(a.x * a.x) * sum(v.x * v.x)) AS cosine FROM questions q JOIN comp a ON a.vec_id = q.query_id JOIN comp v USING (i) GROUP BY ALL)",
+    *(f"{n}v AS (SELECT id, ('0x' || substr(md5(term), 1, 2))::INT AS d, sum(CASE WHEN substr(md5(term), 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS s FROM (SELECT id, unnest(t) AS term FROM {source}) GROUP BY ALL)" for n, source in (("w", "tok"), ("q", r"(SELECT query_id AS id, regexp_extract_all(lower(query), '[\p{L}\p{N}_]+') AS t FROM questions)"))),
+    "dots AS (SELECT q.id AS query_id, w.id, sum(sign(q.s) * sqrt(abs(q.s)) * sign(w.s) * sqrt(abs(w.s))) AS dot FROM qv q JOIN wv w USING (d) GROUP BY q.id, w.id)",
+    "norms AS (SELECT 'w' AS side, id, sqrt(sum(abs(s))) AS norm FROM wv GROUP BY id UNION ALL SELECT 'q', id, sqrt(sum(abs(s))) FROM qv GROUP BY id)",
+    "vs AS (SELECT q.query_id, t.id, CASE WHEN a.norm * b.norm > 0 THEN coalesce(dot, 0) / (a.norm * b.norm) ELSE 0 END AS cosine FROM questions q CROSS JOIN (SELECT id FROM tok WHERE t IS NOT NULL) t LEFT JOIN dots d ON d.query_id = q.query_id AND d.id = t.id LEFT JOIN norms a ON a.side = 'q' AND a.id = q.query_id LEFT JOIN norms b ON b.side = 'w' AND b.id = t.id)",
     "lex AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)",
     "vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM vs)",
     "fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, id, rank FROM lex WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM vec WHERE rank <= 50) GROUP BY query_id, id)",
@@ -156,18 +158,16 @@ FUSE_SQL = (
 )
 
 
-def _stored_cosines(spark, sf):
-    """The stored vectors against those of the questions (each has the stored vector of its own id)."""
-    v = src.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = questions(spark).join(v, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("asked"))
-    return v.join(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("id"), recall.cosine(F.col("asked"), F.col("embedding")).alias("cosine"))
+def _word_cosines(spark, sf):
+    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"))
+    return recall.word_cosines(docs, questions(spark), "doc_id", "text")
 
 
 def _fused(spark, sf):
-    """The keyword channel over the texts and the vector channel over stored vectors, fifty rows a question each."""
+    """The keyword channel and the vector channel over the same texts, fifty rows a question each."""
     frags = src.fragments(spark, sf).select("id", "importance", "confidence")
-    lexical = recall.bm25(src.spread(src.table(spark, sf, "documents").select("doc_id", "text")), questions(spark), "doc_id", "text")
-    return recall.hybrid(lexical, _stored_cosines(spark, sf)), frags
+    docs, asked = src.spread(src.table(spark, sf, "documents").select("doc_id", "text")), questions(spark)
+    return recall.hybrid(recall.bm25(docs, asked, "doc_id", "text"), _word_cosines(spark, sf)), frags
 
 
 @query("SELECT query_id, id, round(rrf, 6) AS rrf FROM fused", *FUSE_SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.operators import brief, lifecycle, ordering, recall, scope, similarity, text
-from memlake.plans.catalog import FUSE_SQL, QUESTIONS_SQL, _reranked, query, questions, six
+from memlake.plans.catalog import FUSE_SQL, _reranked, query, questions, six
 from memlake.sources import tables as src
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -38,9 +38,10 @@ def write_validation(spark, sf):
     return text.validated(src.table(spark, sf, "documents"), "text", 20_000).select("doc_id", "reject_reason")
 
 
-@query("SELECT query_id, unnest(string_split(query, ' ')) AS word FROM questions", QUESTIONS_SQL)
+@query("SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations WHERE role = 'user'")
 def query_words(spark, sf):
-    return questions(spark).select("query_id", F.explode(F.split("query", " ")).alias("word"))
+    """The words of every user turn."""
+    return src.table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("word"))
 
 
 @query()

@@ -278,11 +278,11 @@ def running_floors(spark, sf):
 @query("SELECT query_id, id, round(0.9::DOUBLE * coalesce(cosine, least) / most + 0.1::DOUBLE * coalesce(coverage, 0), 6) AS seed FROM (SELECT f.query_id, f.id, v.cosine, b.coverage FROM fused f LEFT JOIN bm b USING (query_id, id) LEFT JOIN vs v USING (query_id, id)) JOIN (SELECT f.query_id, max(cosine) AS most, min(cosine) AS least FROM fused f JOIN vs USING (query_id, id) GROUP BY f.query_id) USING (query_id)", *FUSE_SQL)
 def score_seeds(spark, sf):
     """Candidates seeded by normalised cosine and coverage in place of ranks."""
-    from memlake.plans.catalog import _fused, _stored_cosines, questions
+    from memlake.plans.catalog import _fused, _word_cosines, questions
 
     fused, _ = _fused(spark, sf)
     docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"))
-    known = fused.select("query_id", "id").join(_stored_cosines(spark, sf), ["query_id", "id"], "left").join(recall.bm25(docs, questions(spark), "doc_id", "text").select("query_id", "id", "coverage"), ["query_id", "id"], "left")
+    known = fused.select("query_id", "id").join(_word_cosines(spark, sf), ["query_id", "id"], "left").join(recall.bm25(docs, questions(spark), "doc_id", "text").select("query_id", "id", "coverage"), ["query_id", "id"], "left")
     seeded = recall.score_seed(recall.normalised(known).withColumn("coverage", F.coalesce("coverage", F.lit(0.0))))
     return seeded.select("query_id", "id", six(F.col("seed")).alias("seed"))
 
@@ -336,11 +336,11 @@ def quoted_terms(spark, sf):
     return docs.select("doc_id", context.like_pattern(F.col("source")).alias("pattern"), context.quoted_phrase(F.col("source")).alias("phrase"))
 
 
-@query("SELECT n, context_number FROM (SELECT unnest(range(1, 100)) AS n) JOIN (SELECT unnest(range(1, 100)) AS n, unnest(range(1, 100)) AS context_number) USING (n)")
+@query("SELECT conv_id, turn, (conv_id + turn) % 99 + 1 AS number FROM conversations")
 def number_words(spark, sf):
-    """Every number below a hundred, spelled and read back."""
-    rows = spark.range(1, 100).select(F.col("id").alias("n"), context.spelled(F.col("id").cast("int")).alias("words"))
-    return rows.select("n", context.number_of(F.col("words")).cast("long").alias("context_number"))
+    """A number below a hundred for every turn, spelled and read back."""
+    rows = src.table(spark, sf, "conversations").select("conv_id", "turn", context.spelled(((F.col("conv_id") + F.col("turn")) % 99 + 1).cast("int")).alias("words"))
+    return rows.select("conv_id", "turn", context.number_of(F.col("words")).cast("long").alias("number"))
 
 
 @query("SELECT doc_id, greatest(50, 5 * (doc_id % 30)) AS depth FROM documents")
@@ -361,12 +361,12 @@ def above_floor(spark, sf):
     return context.above_floor(_reranked(spark, sf).join(shared, ["query_id", "id"]), "coverage").select("query_id", "id")
 
 
-@query("SELECT query_id, CASE WHEN best >= 0.25 AND best - second >= 0.15 AND best >= 2 * second THEN true ELSE false END AS outlier FROM (SELECT query_id, max(cosine) AS best, coalesce(max(cosine) FILTER (WHERE r = 2), 0) AS second FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM vs WHERE id <> query_id) GROUP BY query_id)", *FUSE_SQL)
+@query("SELECT query_id, CASE WHEN best >= 0.25 AND best - second >= 0.15 AND best >= 2 * second THEN true ELSE false END AS outlier FROM (SELECT query_id, max(cosine) AS best, coalesce(max(cosine) FILTER (WHERE r = 2), 0) AS second FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS r FROM vs) GROUP BY query_id)", *FUSE_SQL)
 def vector_outliers(spark, sf):
     """Questions whose best vector stands out from the second."""
-    from memlake.plans.catalog import _stored_cosines
+    from memlake.plans.catalog import _word_cosines
 
-    return context.outliers(_stored_cosines(spark, sf).filter("id <> query_id")).select("query_id", "outlier")
+    return context.outliers(_word_cosines(spark, sf)).select("query_id", "outlier")
 
 
 @query("SELECT user_id, event_id, CASE WHEN lead(event_id) OVER w IS NULL THEN 'current' WHEN lead(round(value, 1)) OVER w = round(value, 1) THEN 'repeated' ELSE 'outdated' END AS state FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")

@@ -154,3 +154,21 @@ def test_long_keys_near_a_word_for_a_secret(text):
 @pytest.mark.parametrize("text", ["our bucket is Zk3fPq9sLm2xVb7cNd4hJt8wRy5gTe1uAi6oSw0Q", "the secret of the harbour is abcdefghijabcdefghijabcdefghijabcdefghij", "commit 0123456789abcdef0123456789abcdef01234567 of aws"])
 def test_other_long_words_stay(text):
     assert "aws_secret_access_key" not in screening.redact(text)[1]
+
+
+def test_hashed_words_against_plain_sums():
+    import hashlib
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    lists = [["tide", "rope", "tide"], [], None, ["rope"] * 9]
+    got = words.hash_words(pa.array([None, *lists], pa.list_(pa.string())).slice(1), 64)
+    for row, said in zip(got, lists, strict=True):
+        sums = np.zeros(64)
+        for w, n in Counter(said or []).items():
+            d = hashlib.md5(w.encode()).hexdigest()
+            sums[int(d[:2], 16) % 64] += n if d[2] in "01234567" else -n
+        want = np.sign(sums) * np.sqrt(abs(sums))
+        assert row == pytest.approx(want / max(np.linalg.norm(want), 1e-300))
