@@ -172,7 +172,7 @@ def corrections(claims: DataFrame, chained: DataFrame) -> DataFrame:
     return claims.select(*key, "value").distinct().join(ended, [*key, "value"], "left_semi").join(now, key).filter("value <> current")
 
 
-# Memories that a query's dates may bring in, and the largest scope in which they do.
+# Fixed value: memories that a query's dates may bring in.
 DATED = 50
 
 

@@ -48,22 +48,6 @@ def test_outliers_and_floor(spark):
     assert v == [[0.6, 0.8, 0.0, 0.0, 0.0], [0.0] * 5] and col(spark, [5.0, -2.0, 0.25], context.clamped, "double") == [1.0, -1.0, 0.25]
 
 
-def test_names_in_view_of_a_stream_and_of_stored_turns(spark, tmp_path):
-    from memlake.functions.words import anchors
-    from memlake.streaming import pipelines
-
-    said = [(1, 0, "ask Ana about svc-one"), (1, 1, "fine"), (2, 0, "hello"), (1, 2, "and svc-two"), (1, 6, "nothing"), (1, 7, None), (2, 1, "see svc-three"), (1, 8, "svc-two again")]
-    for n, part in enumerate((said[:4], said[4:])):
-        spark.createDataFrame(part, "conv_id long, turn long, text string").withColumn("at", F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000)).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    stream = spark.readStream.schema("conv_id long, turn long, text string, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    query = pipelines.watch(stream).writeStream.format("memory").queryName("in_view").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    got = {(r.conv_id, r.turn): r.names for r in spark.table("in_view").collect()}
-    turns = spark.createDataFrame([(c, t, anchors(x or "")) for c, t, x in said], "conv_id long, turn long, names array<string>")
-    assert got == {(r.conv_id, r.turn): r.names for r in context.names_in_view(turns, 6).collect()}
-    assert got[1, 2] == ["Ana", "svc-one", "svc-two"] and got[1, 7] == ["svc-two"] and got[2, 1] == ["svc-three"]
-
-
 def test_best_window_against_all_windows():
     import random
 
