@@ -30,9 +30,9 @@ WINDOW, TIERS, END = 4096, (512, 1024, 2048, 4096), 2
 VOCABULARY = "word_bpe_49k.json"
 GROUP_DOCS, STEP_WINDOWS = 1024, 16
 #: Words a worker remembers between batches; beyond, it keeps those of the last batch.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Texts encoded at once, so that a word that several of them hold is looked up once.
-BATCH_BYTES, BATCH_DOCS = 6 << 20, 4000
+BATCH_BYTES, BATCH_DOCS = 3 << 20, 2000
 TOKENS = "doc_id long, doc_tokens long, whole array<long>, rest binary, base long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, seq long, offset long, tier int, step long"
 
@@ -134,6 +134,7 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
     """doc_tokens, the checksums of the whole windows, and the ids that are left (16 bits each where they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()  # what earlier tasks of this worker have left
         for b in batches:
             for i, n in slices(b.column("text"), BATCH_BYTES, BATCH_DOCS):
                 part = b.slice(i, n)
@@ -144,8 +145,9 @@ def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
                 small = ids.astype("<u2") if ids.max() < 65_536 else ids
                 rest = [small[a:z].tobytes() for a, z in zip((at[:-1] + full * window).tolist(), at[1:].tolist(), strict=True)]
                 cols = [part.column("doc_id"), pa.array(size), pa.array(whole, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(full * window)]
+                del ids, small, rest
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_tokens", "whole", "rest", "base"])
-            tidy()
+                tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 
