@@ -110,8 +110,13 @@ def hybrid(lexical: DataFrame, vector: DataFrame, depth: int = 50, c: Recall = C
     ranked = lambda df, by: top_k(df.withColumn(by, F.round(by, 9)), depth, by).select("query_id", "id", "rank")
     fused = rrf(ranked(lexical, "score").unionByName(ranked(vector, "cosine")), c)
     known = fused.join(lexical.select("query_id", "id", "coverage"), ["query_id", "id"], "left").join(vector.select("query_id", "id", "cosine"), ["query_id", "id"], "left")
+    return relevant(known, c)
+
+
+def relevant(fused: DataFrame, c: Recall = CONFIG) -> DataFrame:
+    """Adds relevance, the larger of cosine and coverage between 0 and 1 (null: 0), and the seed made with it."""
     best = F.greatest(F.coalesce("cosine", F.lit(0.0)), F.coalesce("coverage", F.lit(0.0)))
-    return rrf_seed(known.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), best))).drop("cosine", "coverage"), c=c)
+    return rrf_seed(fused.withColumn("relevance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), best))).drop("cosine", "coverage"), c=c)
 
 
 def rank(scored: DataFrame, score: str = "score", out: str = "rank", by: str = "query_id") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.operators import facts, graph, lexical, lifecycle, recall, scope, timeline
+from memlake.operators import facts, graph, lexical, lifecycle, recall, scope, timeline, vectors
 from memlake.sources import tables as src
+from memlake.sources.shared import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +41,11 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id long, query string")
 
 
+def user_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that a user said, as a question."""
+    return src.table(spark, sf, "conversations").filter("role = 'user' and text is not null").select(F.md5("text").alias("query_id"), F.col("text").alias("query")).distinct()
+
+
 def six(c) -> F.Column:
     return F.round(c, 6)
 
@@ -68,16 +75,14 @@ INDEX_SQL = (
 def indexed_recall(spark, sf):
     """Every user turn as a question to a keyword index of the documents: ten best by BM25, words unstemmed as in the SQL twin."""
     index = lexical.build(src.spread(src.table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", stems=False)
-    asked = src.table(spark, sf, "conversations").filter("role = 'user' and text is not null").select(F.md5("text").alias("query_id"), F.col("text").alias("query")).distinct()
-    return index.search(asked, 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"), six(F.col("coverage")).alias("coverage"))
+    return index.search(user_turns(spark, sf), 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"), six(F.col("coverage")).alias("coverage"))
 
 
 @query()
 def indexed_recall_stems(spark, sf):
     """The same by stems, tags and pairs of letters, over memories."""
     index = lexical.build(src.spread(src.fragments(spark, sf).select("id", "content", "tags")), tags_col="tags")
-    asked = src.table(spark, sf, "conversations").filter("role = 'user' and text is not null").select(F.md5("text").alias("query_id"), F.col("text").alias("query")).distinct()
-    return index.search(asked, 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"), six(F.col("coverage")).alias("coverage"))
+    return index.search(user_turns(spark, sf), 10).select("query_id", "rank", "id", six(F.col("score")).alias("score"), six(F.col("coverage")).alias("coverage"))
 
 
 @query("SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm) WHERE rank <= 10", *BM25_SQL)
@@ -158,6 +163,25 @@ FUSE_SQL = (
 )
 
 
+#: As FUSE_SQL, over the user turns, whose ids are text.
+ASKED_FUSE_SQL = (*INDEX_SQL, *(part.replace("questions", "asked").replace("'w' AS side, id", "'w' AS side, id::VARCHAR AS id").replace("b.id = t.id", "b.id = t.id::VARCHAR") for part in FUSE_SQL if part not in BM25_SQL))
+
+
+@query("SELECT query_id, rank, id, round(relevance, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(seed, 9) DESC, id) AS rank FROM (SELECT *, 0.5 * least(1.0::DOUBLE, rrf / (2.0::DOUBLE / 61)) + 0.5 * relevance AS seed FROM seeded)) WHERE rank <= 10", *ASKED_FUSE_SQL)
+def indexed_hybrid(spark, sf):
+    """Every user turn as a question to a keyword index and a vector index of the documents: ten best of both channels.
+
+    The vector index first holds the English documents and is then brought in step with all of them.
+    """
+    docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    words = lexical.build(docs, "doc_id", "text", stems=False)
+    near = vectors.VectorIndex(spark, f"{ensure_checkpoint_dir(spark)}/vectors_{uuid.uuid4().hex}", vectors.BY_WORDS, "doc_id", "text")
+    near.sync(docs.filter("lang = 'en'"))
+    near.sync(docs)
+    fused = vectors.hybrid(words, near, user_turns(spark, sf)).withColumn("seed", F.round("seed", 9))
+    return recall.top_k(fused, 10, "seed").select("query_id", "rank", "id", six(F.col("relevance")).alias("relevance"))
+
+
 def _word_cosines(spark, sf):
     docs = src.spread(src.table(spark, sf, "documents").select("doc_id", "text"))
     return recall.word_cosines(docs, questions(spark), "doc_id", "text")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.operators import facts
+from memlake.sources.manifest import Manifest
 
 #: Folders are listed on the driver, so buckets are few; a bucket holds any number of keys.
 BUCKETS = 64
-_MANIFEST = "kind string, bucket int, name string"
 
 
 class FactStore:
@@ -26,38 +26,21 @@ class FactStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _version(self) -> int:
-        """The newest version whose manifest is complete; 0 before the first."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-        done = [int(n) for n in names if n.isdigit() and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{n}/_SUCCESS"))]
-        return max(done, default=0)
-
-    def _manifest(self) -> tuple[int, dict[int, str], set[str]]:
-        version = self._version()
-        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/{version}").collect() if version else []
-        return version, {r.bucket: r.name for r in rows if r.kind == "bucket"}, {r.name for r in rows if r.kind == "source"}
-
-    def _read(self, held: dict[int, str], schema) -> DataFrame:
-        if not held:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{name}/bucket={bucket}" for bucket, name in sorted(held.items())])
+        self.parts = Manifest(spark, path, "bucket")
 
     def put(self, events: DataFrame, source: str) -> bool:
         """Adds the events (subject, attribute, value, valid_from, recorded_at, seq) of a source; False if it was there.
 
         An event that repeats a seq counts once, within a batch and against what is kept. Batches may come in any order.
         """
-        version, held, sources = self._manifest()
+        version, held, sources = self.parts.newest()
         if source in sources:
             return False
         bucket = F.pmod(F.xxhash64(*facts.KEY), F.lit(self.buckets)).cast("int")
         events = events.select(*facts.KEY, "value", "valid_from", "recorded_at", "seq").withColumn("bucket", bucket)
         touched = sorted(r[0] for r in events.select("bucket").distinct().collect())
         schema = events.drop("bucket").withColumn("valid_to", F.col("valid_from")).schema
-        old = self._read({b: held[b] for b in touched if b in held}, schema)
+        old = self.parts.read({b: held[b] for b in touched if b in held}, schema)
         keys = events.select(*[F.col(k).alias(f"__{k}") for k in facts.KEY]).distinct()
         same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in facts.KEY]
         rest = old.join(keys, same, "left_anti")
@@ -67,18 +50,17 @@ class FactStore:
         if touched:
             out = facts.chain(own).select(*schema.names).unionByName(rest.select(*schema.names)).withColumn("bucket", bucket)
             out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{name}")
-        rows = [("bucket", b, n) for b, n in (held | dict.fromkeys(touched, name)).items()] + [("source", None, s) for s in sorted(sources | {source})]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version + 1}")
+        self.parts.commit(version + 1, held | dict.fromkeys(touched, name), sources | {source})
         return True
 
     def facts(self) -> DataFrame | None:
         """All facts with valid_to; None before the first batch."""
-        _, held, _ = self._manifest()
+        _, held, _ = self.parts.newest()
         if not held:
             return None
         first = next(iter(sorted(held.items())))
         schema = self.spark.read.parquet(f"{self.path}/data/{first[1]}/bucket={first[0]}").schema
-        return self._read(held, schema)
+        return self.parts.read(held, schema)
 
     def follow(self, stream: DataFrame, checkpoint: str, name: str = "stream") -> StreamingQuery:
         """Puts the batches of a stream; a batch replayed after a failure is known by its number."""
