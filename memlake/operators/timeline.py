@@ -8,16 +8,66 @@ from pyspark.sql import functions as F
 from memlake.operators.spans import spans
 
 
+# What an event's place in a timeline rests on.
+BASES = ("declared", "stored", "stored_after_dated", "unknown")
+
+
+def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[Column, ...], out: str) -> DataFrame:
+    """out: the place of a row within its group, from 1; groups of any size."""
+    parts = spans(rows, keys, order)
+    rows = parts.carry({"__n": F.count("*")}, {"__ahead": lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    return rows.withColumn(out, (F.row_number().over(parts.part) + F.coalesce("__ahead", F.lit(0))).cast("int")).drop("__p", "__ahead")
+
+
 def two_clock(rows: DataFrame, subject: str, declared: str, stored: str, tie: str) -> DataFrame:
-    """position by two clocks that are never compared with each other: dated rows by declared time, then rows without one
-    stored after the last dated row was, by storage; rows stored before that are unknown and come first."""
+    """position and basis by two clocks that are never compared with each other: dated rows by declared time, then rows
+    without one by storage: first those of unknown place, stored no later than the last dated row was, then those stored
+    after it. Where a subject has no dated row, storage alone decides."""
     dated = F.col(declared).isNotNull()
-    last = rows.filter(dated).groupBy(F.col(subject).alias("__s")).agg(F.max(stored).alias("__last"))
+    last = rows.groupBy(F.col(subject).alias("__s")).agg(F.max(F.when(dated, F.col(stored))).alias("__last"), F.bool_or(dated).alias("__dated"))
     rows = rows.join(last, F.col(subject).eqNullSafe(F.col("__s")), "left").drop("__s")
-    rows = rows.withColumn("bucket", F.when(dated, 1).when(F.coalesce(F.col(stored) >= F.col("__last"), F.lit(True)), 2).otherwise(0)).drop("__last")
-    parts = spans(rows, (subject,), (F.col("bucket"), F.col(declared).asc_nulls_last(), F.col(stored), F.col(tie)))
-    rows = parts.carry({"__n": F.count("*")}, {"__ahead": lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    return rows.withColumn("position", (F.row_number().over(parts.part) + F.coalesce("__ahead", F.lit(0))).cast("int")).drop("__p", "__ahead")
+    basis = F.when(dated, "declared").when(~F.col("__dated"), "stored").when(F.col(stored) > F.col("__last"), "stored_after_dated").otherwise("unknown")
+    rows = rows.withColumn("basis", basis).withColumn("__last", F.col("basis") == "stored_after_dated").drop("__dated")
+    return numbered(rows, (subject,), (F.col(declared).asc_nulls_last(), F.col("__last"), F.col(stored), F.col(tie)), "position").drop("__last")
+
+
+def folded(memories: DataFrame, known: DataFrame, since: Column | None = None, until: Column | None = None, limit: int | None = None) -> DataFrame:
+    """One timeline a subject of memories (subject, id, text, declared, stored) and facts (subject, id, source, text,
+    valid_from, recorded_at); ids are distinct.
+
+    The first fact taken from a memory of its subject (by valid_from, recorded_at, id) folds into that memory's event;
+    any other fact is an event of its own, dated by valid_from. Gives (subject, position, kind, memory_id, fact_id, text,
+    at, basis, k, m, truncated): at is declared time or else storage time; k of m are set where several dated events
+    share a day, and count what since and until (inclusive) or limit (the newest of each subject) cut away later;
+    truncated tells how many events of the subject the limit cut. Null subjects have no timeline.
+    """
+    facts_in = known.filter("subject is not null").select("subject", "source", F.col("id").alias("fact_id"), F.col("text").alias("said"), "valid_from", F.coalesce("recorded_at", "valid_from").alias("noted"))
+    kept = memories.filter("subject is not null").select("subject", F.col("id").alias("memory_id"), "text", "declared", "stored")
+    # One pass over both tables, reduced before the shuffle: a memory's key meets the first of its facts.
+    key = ["subject", "source"]
+    first = F.min(F.when(F.col("fact_id").isNotNull(), F.struct(F.col("valid_from").isNull().alias("open"), "valid_from", "noted", "fact_id")))
+    both = facts_in.select(*key, "valid_from", "noted", "fact_id").filter("source is not null").unionByName(kept.select("subject", F.col("memory_id").alias("source"), F.lit(True).alias("held")), allowMissingColumns=True)
+    folds = both.groupBy(*key).agg(first.alias("first"), F.bool_or("held").alias("held")).filter("held and first is not null").select(*key, F.col("first.fact_id").alias("fact_id"))
+    alone = facts_in.join(folds.select("subject", "fact_id"), ["subject", "fact_id"], "left_anti")
+    events = kept.join(folds.withColumnRenamed("source", "memory_id"), ["subject", "memory_id"], "left").withColumn("kind", F.lit("memory"))
+    own = alone.select("subject", "fact_id", F.col("said").alias("text"), F.col("valid_from").alias("declared"), F.col("noted").alias("stored"), F.lit("fact").alias("kind"))
+    events = events.unionByName(own, allowMissingColumns=True).withColumn("at", F.coalesce("declared", "stored")).withColumn("__tie", F.struct("kind", "memory_id", "fact_id"))
+    placed = two_clock(events, "subject", "declared", "stored", "__tie")
+    # A day's dated events follow each other, so their first place and their number tell k of m.
+    day = F.when(F.col("basis") == "declared", F.to_date("declared"))
+    placed = placed.withColumn("__day", day)
+    days = placed.filter("__day is not null").groupBy("subject", "__day").agg(F.min("position").alias("__first"), F.count("*").cast("int").alias("m")).filter("m > 1")
+    placed = placed.join(days, ["subject", "__day"], "left").withColumn("k", F.col("position") - F.col("__first") + 1)
+    if since is not None:
+        placed = placed.filter(F.col("at").isNull() | (F.col("at") >= since))
+    if until is not None:
+        placed = placed.filter(F.col("at").isNull() | (F.col("at") <= until))
+    placed = placed.withColumn("truncated", F.lit(0).cast("long"))
+    if limit is not None:
+        total = placed.groupBy("subject").agg(F.greatest(F.lit(0).cast("long"), F.count("*") - limit).alias("truncated"))
+        newest_first = Window.partitionBy("subject").orderBy(F.desc("position"))
+        placed = placed.drop("truncated").withColumn("__r", F.row_number().over(newest_first)).filter(F.col("__r") <= limit).join(total, "subject")
+    return placed.select("subject", "position", "kind", "memory_id", "fact_id", "text", "at", "basis", "k", "m", "truncated")
 
 
 def same_day(rows: DataFrame, subject: str, at: str, tie: str) -> DataFrame:

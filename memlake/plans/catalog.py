@@ -517,10 +517,34 @@ def member_changes(spark, sf):
 CLOCK_SQL = "ev AS (SELECT user_id AS subject, event_id, CASE WHEN event_id % 5 <> 0 THEN ts END AS declared, ts + to_minutes(event_id % 60) AS stored FROM events)"
 
 
-@query("SELECT subject, event_id, row_number() OVER (PARTITION BY subject ORDER BY bucket, declared NULLS LAST, stored, event_id) AS position FROM (SELECT *, CASE WHEN declared IS NOT NULL THEN 1 WHEN coalesce(stored >= max(CASE WHEN declared IS NOT NULL THEN stored END) OVER (PARTITION BY subject), true) THEN 2 ELSE 0 END AS bucket FROM ev)", CLOCK_SQL)
+@query("SELECT subject, event_id, basis, row_number() OVER (PARTITION BY subject ORDER BY declared NULLS LAST, basis = 'stored_after_dated', stored, event_id) AS position FROM (SELECT *, CASE WHEN declared IS NOT NULL THEN 'declared' WHEN NOT bool_or(declared IS NOT NULL) OVER w THEN 'stored' WHEN stored > max(CASE WHEN declared IS NOT NULL THEN stored END) OVER w THEN 'stored_after_dated' ELSE 'unknown' END AS basis FROM ev WINDOW w AS (PARTITION BY subject))", CLOCK_SQL)
 def two_clock_timeline(spark, sf):
     e = src.table(spark, sf, "events").select(F.col("user_id").alias("subject"), "event_id", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("declared"), F.timestamp_add("MINUTE", F.col("event_id") % 60, F.col("ts")).alias("stored"))
-    return timeline.two_clock(e, "subject", "declared", "stored", "event_id").select("subject", "event_id", "position")
+    return timeline.two_clock(e, "subject", "declared", "stored", "event_id").select("subject", "event_id", "basis", "position")
+
+
+FOLD_SQL = (
+    "mem AS (SELECT o_custkey AS subject, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS declared, o_orderdate AS stored FROM orders WHERE o_orderstatus <> 'P' AND o_custkey IS NOT NULL)",
+    "fct AS (SELECT o_custkey AS subject, l_orderkey AS source, l_orderkey * 8 + l_linenumber AS id, l_shipdate AS valid_from FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL)",
+    "fold AS (SELECT subject, source, arg_min(id, (valid_from, id)) AS fact_id FROM fct WHERE EXISTS (SELECT 1 FROM mem WHERE mem.subject = fct.subject AND mem.id = fct.source) GROUP BY subject, source)",
+    "evt AS (SELECT m.subject, 'memory' AS kind, m.id AS memory_id, fact_id, declared, stored FROM mem m LEFT JOIN fold f ON f.subject = m.subject AND f.source = m.id UNION ALL SELECT subject, 'fact', NULL, id, valid_from, valid_from FROM fct WHERE NOT EXISTS (SELECT 1 FROM fold WHERE fold.fact_id = fct.id))",
+    "bas AS (SELECT *, CASE WHEN declared IS NOT NULL THEN 'declared' WHEN NOT bool_or(declared IS NOT NULL) OVER w THEN 'stored' WHEN stored > max(CASE WHEN declared IS NOT NULL THEN stored END) OVER w THEN 'stored_after_dated' ELSE 'unknown' END AS basis FROM evt WINDOW w AS (PARTITION BY subject))",
+    "pos AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY declared NULLS LAST, basis = 'stored_after_dated', stored, kind, memory_id NULLS FIRST, fact_id NULLS FIRST) AS position FROM bas)",
+    "day AS (SELECT *, row_number() OVER (PARTITION BY subject, basis, declared::DATE ORDER BY position) AS kk, count(*) OVER (PARTITION BY subject, basis, declared::DATE) AS mm FROM pos)",
+)
+
+
+@query("SELECT subject, position::INT AS position, kind, memory_id::VARCHAR AS memory_id, fact_id::VARCHAR AS fact_id, basis, CASE WHEN basis = 'declared' AND mm > 1 THEN kk || ' of ' || mm END AS same_day, truncated FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY position DESC) AS r, greatest(0, count(*) OVER (PARTITION BY subject) - 20) AS truncated FROM day) WHERE r <= 20", *FOLD_SQL)
+def folded_timeline(spark, sf):
+    """The newest twenty events of each customer: orders as memories, dated once they are finished (pending ones are not
+    kept), and their lines as facts taken from them."""
+    orders = src.table(spark, sf, "orders")
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    memories = orders.filter("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("subject"), key.alias("id"), "o_orderstatus", F.when(F.col("o_orderstatus") == "F", day).alias("declared"), day.alias("stored")).withColumn("text", F.col("o_orderstatus"))
+    lines = src.table(spark, sf, "lineitem").join(orders.select(F.col("o_custkey").alias("subject"), key.alias("l_orderkey")), "l_orderkey")
+    known = lines.select("subject", F.col("l_orderkey").alias("source"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_linestatus").alias("text"), F.col("l_shipdate").alias("valid_from"), F.lit(None).cast("timestamp").alias("recorded_at"))
+    ids = {c: F.col(c).cast("string") for c in ("memory_id", "fact_id")}
+    return timeline.folded(memories, known, limit=20).withColumns(ids).withColumn("same_day", timeline.label(F.col("k"), F.col("m"))).drop("text", "at", "k", "m")
 
 
 @query("SELECT event_id, k || ' of ' || m AS label FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, ts::DATE) AS m FROM events) WHERE m > 1")
