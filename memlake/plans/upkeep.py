@@ -12,6 +12,7 @@ from memlake.plans.catalog import FUSE_SQL, _reranked, now, query, six
 from memlake.sources import portability
 from memlake.sources import tables as src
 from memlake.sources.shared import ensure_checkpoint_dir
+from memlake.streaming import replay
 
 FRAGS = src.FRAGMENTS_SQL
 WORD_SQL = r"'[\p{L}\p{N}_]+'"
@@ -429,7 +430,7 @@ def claim_corrections(spark, sf):
 
 
 @query(
-    "SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id DESC) AS r FROM (VALUES (1, DATE '2026-01-01', DATE '2026-01-01'), (2, DATE '2026-01-02', DATE '2026-01-05')) q(query_id, s, e) JOIN fragments ON created_at::DATE BETWEEN s AND e WHERE (SELECT count(*) FROM fragments) <= 20000) WHERE r <= 50",
+    "SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, created_at DESC, id DESC) AS r FROM (VALUES (1, DATE '2026-01-01', DATE '2026-01-01'), (2, DATE '2026-01-02', DATE '2026-01-05')) q(query_id, s, e) JOIN fragments ON created_at::DATE BETWEEN s AND e) WHERE r <= 50",
     FRAGS,
 )
 def dated_memories(spark, sf):
@@ -437,3 +438,34 @@ def dated_memories(spark, sf):
     ranges = spark.createDataFrame([(1, "2026-01-01", "2026-01-01"), (2, "2026-01-02", "2026-01-05")], "query_id int, start string, end string")
     ranges = ranges.select("query_id", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
     return context.dated_candidates(src.fragments(spark, sf).select("id", "importance", "created_at"), ranges)
+
+
+# Experiences.
+
+REPLAY_SQL = (
+    "drawn AS (SELECT user_id::VARCHAR AS agent_id, event_id AS id, ln((('0x' || substr(sha256('7:' || event_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (value / 500) AS key FROM events WHERE value > 0)",
+    "replayed AS (SELECT agent_id, id, round(key, 6) AS key FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY key DESC, id) AS r FROM drawn) WHERE r <= 8)",
+)
+
+
+def _experiences(spark, sf):
+    """Events as experiences of their users, drawn by value."""
+    e = src.table(spark, sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("agent_id"), F.col("event_id").alias("id"), "event_type", replay.priority("event_id", F.col("value") / 500, 7).alias("key"))
+
+
+@query("SELECT * FROM replayed", *REPLAY_SQL)
+def replay_sample(spark, sf):
+    """Eight experiences of each user, drawn without replacement in proportion to their value."""
+    return replay.greatest(_experiences(spark, sf).drop("event_type"), "agent_id", "id", 8).select("agent_id", "id", six(F.col("key")).alias("key"))
+
+
+@query("SELECT * FROM replayed", *REPLAY_SQL)
+def replay_store(spark, sf):
+    """The same sample by a store that the events reach in batches by type, one of them twice."""
+    kept = replay.ReplayStore(spark, scratch(spark, "replay"), 8)
+    rows = _experiences(spark, sf)
+    for kind in ("view", "error", "signup", "error"):
+        kept.put(rows.filter(F.col("event_type") == kind).drop("event_type"), kind)
+    kept.put(rows.filter(F.coalesce(~F.col("event_type").isin("view", "error", "signup"), F.lit(True))).drop("event_type"), "others")
+    return kept.rows().select("agent_id", "id", six(F.col("key")).alias("key"))
