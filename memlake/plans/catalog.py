@@ -474,6 +474,14 @@ def graph_expand(spark, sf):
     return got.select("origin", "node", six(F.col("score")).alias("score"))
 
 
+@query()
+def graph_best_first(spark, sf):
+    """The twenty nodes that a walk from each nation reaches best within three steps."""
+    nodes = src.nodes(spark, sf)
+    seeds = nodes.filter("node_type = 'nation'").select(F.col("node").alias("origin"), "node", F.lit(1.0).alias("score"))
+    return graph.best_first(src.edges(spark, sf), nodes, seeds, 3, 20).select("origin", "node", six(F.col("score")).alias("score"))
+
+
 @query("SELECT DISTINCT 'n' || n_nationkey AS origin, 's' || s_suppkey AS node FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def contradiction_ids(spark, sf):
     seeds = src.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("origin"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
