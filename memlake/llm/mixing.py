@@ -20,6 +20,9 @@ SEED, MOST_TIMES, WEIGHTS = 505, 3, (1, 2, 3)
 #: The knapsack's table: sums up to so many words are told apart exactly (8 bytes each). A larger rest is first shared
 #: out among the lengths again, by largest fractions, so that no length is favoured at any size.
 TABLE_WORDS = 1 << 16
+#: Narrow rows of one part, on average, where a table has fewer than its shuffle's partitions could hold. For each file that a
+#: task writes, Hadoop's local file system starts processes, which briefly count as much memory as the executor itself.
+PART_ROWS = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -121,20 +124,27 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(passes=np.int64(passes), extra=take)[["skey", "size", "passes", "extra", "n"]]
 
 
+def parts(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
 def mix(rows: DataFrame, keys: list[str], seed: int = SEED) -> DataFrame:
     """Adds source_size, target and times (long, 0 to MOST_TIMES) to rows with skey and size.
 
     The same rows always give the same result: ties of the seeded order fall to
     keys. Documents without words weigh nothing and follow the passes of their
-    source; an empty table gives no rows.
+    source; an empty table gives no rows. Few rows come in few parts, however
+    many partitions a shuffle has.
     """
     rows = cut(rows.withColumn("__u", seeded_unit(seed, *[F.col(k) for k in keys])))
-    lengths = cut(rows.groupBy("skey", "size").agg(F.count("*").alias("n")))
+    n = rows.count()
+    lengths = cut(rows.groupBy("skey", "size").agg(F.count("*").alias("n")).coalesce(parts(n)))
     sources = cut(targets(lengths.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))))
-    plan = join_counted(lengths, sources, ["skey"]).groupBy("skey").applyInPandas(_fit, "skey string, size long, passes long, extra long, n long")
-    plan = cut(plan)
-    rows = join_counted(join_counted(rows, plan, ["skey", "size"]), sources, ["skey"])
-    ranked = group_rank(rows, ["skey", "size"], "__u", keys, "n", "__r")
+    kinds = sources.count()
+    plan = join_counted(lengths, sources, ["skey"], rows=kinds).groupBy("skey").applyInPandas(_fit, "skey string, size long, passes long, extra long, n long")
+    plan = cut(plan.coalesce(max(1, kinds)))
+    rows = join_counted(join_counted(rows, plan, ["skey", "size"]), sources, ["skey"], rows=kinds)
+    ranked = group_rank(rows, ["skey", "size"], "__u", keys, "n", "__r").coalesce(parts(n))
     return ranked.withColumn("times", F.col("passes") + (F.col("__r") <= F.col("extra")).cast("long")).drop("__u", "n", "passes", "extra", "__r")
 
 

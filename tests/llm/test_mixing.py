@@ -1,10 +1,13 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 
 from memlake.llm.mixing import op5_mixing, subset_counts
+from memlake.sources.shared import ensure_checkpoint_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, target double"
 
@@ -106,3 +109,24 @@ def test_a_large_budget_is_shared_out_at_every_length():
         assert np.abs(take - share * spare).max() <= 3  # no length is favoured
     odd = subset_counts(np.array([70_000, 100_000]), np.array([5, 5]), 180_000)
     assert (odd * [70_000, 100_000]).sum() == 170_000
+
+
+def test_few_rows_make_few_files_in_any_number_of_partitions(spark, tables, tmp_path):
+    data = [(i, "w " * (i % 50), "en", f"s{i % 3}", 1, 0.0) for i in range(600)]
+    d = tables(documents=(data, DOCS))
+    want = sorted(map(str, op5_mixing(spark, d).collect()))
+    shared = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    files = lambda: {x for x in shared.rglob("part-*")}
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        old = files()
+        op5_mixing(spark, d).write.parquet(f"{tmp_path}/out")
+        new = files() - old
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(new) <= 12 and len([*(tmp_path / "out").glob("part-*")]) == 1
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == want
