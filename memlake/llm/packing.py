@@ -11,6 +11,7 @@ windows of powers of two. Steps take windows of all sizes in equal measure.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import re
 import zlib
@@ -33,6 +34,8 @@ GROUP_DOCS, STEP_WINDOWS = 1024, 16
 CACHE_WORDS = 100_000
 #: Texts encoded at once, so that a word that several of them hold is looked up once.
 BATCH_BYTES, BATCH_DOCS = 3 << 20, 2000
+#: Texts whose ids are gathered at once.
+GATHER_DOCS = 100
 TOKENS = "doc_id long, doc_tokens long, whole array<long>, rest binary, base long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, seq long, offset long, tier int, step long"
 
@@ -76,8 +79,8 @@ def encode_words(words: list[str], vocabulary: str) -> list[bytes]:
             data, stop = ids.astype("<u4").tobytes(), (stop * 4).tolist()
             out.update((w, data[a:b]) for w, a, b in zip(part, [0, *stop], stop, strict=False))
     rest = [w for w in words if w not in out]
-    for i in range(0, len(rest), 20_000):
-        part = rest[i : i + 20_000]
+    for i in range(0, len(rest), 1000):  # an encoding holds far more than its ids
+        part = rest[i : i + 1000]
         out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, full.encode_batch_fast(part, add_special_tokens=False), strict=True))
     return [out[w] for w in words]
 
@@ -124,10 +127,16 @@ def encode(texts: pa.Array, vocabulary: str = VOCABULARY, end: int = END) -> tup
     flat = np.frombuffer(b"".join([*flat, np.array([end], "<u4").tobytes()]), "<u4")
     begin, sizes = (np.append(np.stack(x, 1).ravel(), [last, 0]) for x, last in ((begin, at), (sizes, 1)))
     flat, sizes = flat[spread(begin, sizes)], sizes[::2] + sizes[1::2]
-    codes = np.insert(codes, offsets[1:], len(words))
-    begin, sizes = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-    ids = flat[spread(begin, sizes)]
-    return ids, np.concatenate(([0], np.cumsum(sizes)))[offsets + np.arange(len(offsets))]
+    codes, stop = np.insert(codes, offsets[1:], len(words)), offsets + np.arange(len(offsets))
+    del texts, words, offsets
+    begin = np.cumsum(sizes) - sizes
+    at = np.concatenate(([0], np.cumsum([sizes[codes[a:z]].sum() for a, z in itertools.pairwise(stop.tolist())], dtype=np.int64)))
+    ids = np.empty(at[-1], flat.dtype)
+    for i in range(0, len(stop) - 1, GATHER_DOCS):  # places take more memory than ids
+        k = min(i + GATHER_DOCS, len(stop) - 1)
+        own = codes[stop[i] : stop[k]]
+        ids[at[i] : at[k]] = flat[spread(begin[own], sizes[own])]
+    return ids, at
 
 
 def tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end: int = END) -> DataFrame:

@@ -44,9 +44,9 @@ SAMPLE_ROWS, SAMPLE_TEXT, SEED = 2000, 100_000, 7
 PARTS = 8
 THRESHOLD = 0.7
 #: Words whose scores a worker remembers between batches.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Documents split into words at once.
-SLICE = 400
+SLICE = 200
 #: Words spelled at once, and the marks that they may have together.
 CHUNK, MARKS = 20_000, 1 << 19
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -81,18 +81,6 @@ def spelled(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         at += n
 
 
-def all_grams(marks: np.ndarray, order: int) -> Iterator[np.ndarray]:
-    """For k = 1 to order: a hash of the last k marks (fewer at the start) up to each place."""
-    with np.errstate(over="ignore"):
-        h = (marks + np.uint64(11)) * _B
-        yield h ^ (h >> np.uint64(32))
-        for k in range(1, order):
-            h = h.copy()
-            own = h[:, k:]
-            own[:] = np.where(marks[:, :-k] > 0, (own ^ (own >> np.uint64(29))) * _A + marks[:, :-k] * _M, own)
-            yield h ^ (h >> np.uint64(32))
-
-
 def prefixes(marks: np.ndarray) -> np.ndarray:
     """A hash of all marks up to each place."""
     h = np.empty_like(marks)
@@ -135,8 +123,13 @@ class KneserNey:
         key, ctx, row, col = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        own_ctx, of_ctx = np.unique(ctx[first], return_inverse=True)
-        return {"keys": keys, "inverse": inverse.astype(np.int32), "row": row, "ctx": own_ctx, "of_ctx": of_ctx, "shared": self._shared(words, row[first], col[first])}
+        inverse, ctx, col = inverse.astype(np.int32), ctx[first], col[first]
+        del key
+        own_ctx, of_ctx = np.unique(ctx, return_inverse=True)
+        at, inner = find(keys, ctx)
+        prev = np.where(inner, at, len(keys)).astype(np.int32)  # the place of the mark before; the start mark comes after all places
+        del ctx, at, inner
+        return {"keys": keys, "inverse": inverse, "row": row, "ctx": own_ctx, "of_ctx": of_ctx, "shared": self._shared(words, row[first], col, prev)}
 
     def weighed(self, spelling: dict[str, np.ndarray], toxic: np.ndarray, ordinary: np.ndarray) -> KneserNey:
         """The model of words that were counted so often in the two classes; the larger class is scaled to the mass of
@@ -158,31 +151,40 @@ class KneserNey:
         model.value, model.ctx_value = value.astype(np.float32), ctx_value.astype(np.float32)
         return model
 
-    def _shared(self, words: list[str], row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    def _shared(self, words: list[str], row: np.ndarray, col: np.ndarray, prev: np.ndarray) -> np.ndarray:
         """Interpolated Kneser-Ney over all distinct grams, whichever class they come from, at the
-        given places of the words."""
-        last = np.zeros((self.order + 1, len(row)), np.uint64)  # hashes of the last 1, 2, ... marks up to each place
-        before = np.zeros((self.order, len(row)), np.uint64)  # and up to the one before
+        given places of the words; grams grow by one mark a round, found by the place before."""
+        n = len(row)
         by_row = np.argsort(row, kind="stable")
         begin = np.searchsorted(row[by_row], np.arange(len(words) + 1))
         letters: set[int] = set()
+        mark = np.zeros(n + 2, np.uint64)
+        mark[n] = 1  # the start; before it nothing
         for words_here, marks, _ in spelled(words):
-            n = begin[words_here + 1] - begin[words_here]
-            own = by_row[spread(begin[words_here], n)]
+            size = begin[words_here + 1] - begin[words_here]
+            own = by_row[spread(begin[words_here], size)]
             letters.update(np.unique(marks).tolist())
-            i, j = np.repeat(np.arange(len(words_here)), n), col[own].astype(np.int64)
-            for k, h in enumerate(all_grams(marks, self.order + 1)):
-                last[k, own] = h[i, j]
-                if k < self.order:
-                    before[k, own] = h[i, j - 1]
-        p = np.full(len(row), 1.0 / max(len(letters), 2))
+            mark[own] = marks[np.repeat(np.arange(len(words_here)), size), col[own].astype(np.int64)]
+        del by_row, begin
+        prev = np.append(prev, np.array([n + 1, n + 1], np.int32))
+        back = np.arange(n + 2, dtype=np.int32)
+        p = np.full(n, 1.0 / max(len(letters), 2))
+        with np.errstate(over="ignore"):
+            h = (mark + np.uint64(11)) * _B
+        longer = h ^ (h >> np.uint64(32))
         for k in range(self.order):
-            _, one = np.unique(last[k + 1], return_index=True)  # distinct left extensions of each gram
-            g, cont = np.unique(last[k][one], return_counts=True)
-            at = np.searchsorted(g, last[k])
+            last, back = longer, prev[back]
+            far = mark[back]
+            with np.errstate(over="ignore"):
+                h = np.where(far > 0, (h ^ (h >> np.uint64(29))) * _A + far * _M, h)
+            longer = h ^ (h >> np.uint64(32))
+            _, one = np.unique(longer[:n], return_index=True)  # distinct left extensions of each gram
+            g, cont = np.unique(last[one], return_counts=True)
+            at = np.searchsorted(g, last[:n])
             lead = np.zeros(len(g), np.uint64)
             if k:
-                lead[at] = before[k - 1]
+                lead[at] = before
+            before = last[prev[:n]]
             c, of = np.unique(lead, return_inverse=True)
             total, kinds = np.bincount(of, cont, len(c)), np.bincount(of, minlength=len(c))
             i = of[at]
@@ -262,13 +264,14 @@ def count_words(texts: list[str | None], group: np.ndarray, groups: int) -> tupl
     for t, g in zip(texts, group.tolist(), strict=True):
         counts[g].update(set(words_of(t)))
     words = sorted(set().union(*counts))
-    return words, np.array([[c[w] for w in words] for c in counts], float).reshape(groups, len(words))
+    return words, np.stack([np.fromiter((c[w] for w in words), float, len(words)) for c in counts])
 
 
 def train(texts: list[str | None], toxic: np.ndarray, part: np.ndarray) -> tuple[KneserNey, np.ndarray]:
     """Counts from all rows; the curve from rows scored by models that did not count their part (0 to PARTS - 1)."""
     base = KneserNey()
     words, n = count_words(texts, 2 * part + ~toxic, 2 * PARTS)
+    tidy()
     spelling, n = base.spelling(words), n.reshape(PARTS, 2, len(words))
     every, x = n.sum(axis=0), np.zeros(len(texts))
     for k in range(PARTS):
@@ -326,6 +329,8 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
                 got = score_of(evidence(part.column("text").to_pylist(), gain, kn), w)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*fields, "score"])
             tidy()
+        kn = gain = b = part = None
+        tidy()  # the worker waits for other tasks
 
     return docs.mapInArrow(run, schema)
 

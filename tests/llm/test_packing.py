@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from memlake.llm import packing
@@ -78,3 +80,18 @@ def test_null_ids_and_empty(spark, tables):
     assert packing.op6_packing(spark, tables(documents=([], DOCS))).collect() == []
     got = packing.op6_packing(spark, tables(documents=([(None, "one two", None, None, None, 1, 1)] * 3, DOCS))).collect()
     assert [r.doc_id for r in got] and sum(r.length for r in got) == 9
+
+
+def test_encoding_a_slice_takes_little_memory():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts = pa.array([" ".join(rng.choices(words, k=400)) for _ in range(1500)])
+    packing.encode(texts)  # words are known and the tokenizer is loaded
+    tracemalloc.start()
+    try:
+        ids, at = packing.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(at) == 1501 and at[-1] == len(ids)
+    assert peak < 12 * len(ids), peak / len(ids)

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -121,3 +122,15 @@ def test_words_of_any_length_are_spelled_whole(monkeypatch):
     monkeypatch.setattr(tx, "MARKS", 50)
     got = tx.KneserNey().fit(words, np.arange(5) + 1.0, np.arange(5) + 2.0)
     assert np.allclose(want.ratios(words), got.ratios(words)) and tx.words_of("x" * 3000) == ["x" * 3000]
+
+
+def test_training_on_words_takes_little_memory():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 12))) for _ in range(30_000)})
+    tracemalloc.start()
+    try:
+        places = len(tx.KneserNey().spelling(words)["keys"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 340 * places, peak / places
