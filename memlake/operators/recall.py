@@ -87,11 +87,11 @@ def text_cosines(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_c
 def word_cosines(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(query_id, id, cosine) as text_cosines, by hashed words: split in Spark, numbered and added up a batch at once."""
     asked = queries.select("query_id", tokens(F.col("query")).alias("t")).collect()
-    vectors = words.hash_words(pa.array([r.t for r in asked], pa.list_(pa.string())))
+    sums = words.hash_sums(pa.array([r.t for r in asked], pa.list_(pa.string())))
 
     @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
     def cosines(said: pa.Array) -> pa.Array:
-        return pa.array(list(words.hash_words(said) @ vectors.T), pa.list_(pa.float64()))
+        return pa.array(list(words.sum_cosines(words.hash_sums(said), sums)), pa.list_(pa.float64()))
 
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), cosines(tokens(F.col(text_col))).alias("__c"))
     ids = F.array(*[F.lit(r.query_id) for r in asked])
